@@ -47,16 +47,54 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def bounded_sample(df: DataFrame, id_col: str, rows: int, parts: int = 8) -> DataFrame:
-    """About `rows` rows at most, chosen by a hash of the id, dealt to `parts` tasks.
+def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """`rows` rows at most in expectation, chosen by a hash of the id.
 
     Only for fitting models; the bound is the operators' documented parameter.
     """
     total = df.select(id_col).count()
-    if total > rows:
-        cut = int(rows / total * 2**62)
-        df = df.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(id_col)), 2) < cut)
-    return df.repartition(parts)
+    if total <= rows:
+        return df
+    return df.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(id_col)), 2) < int(rows / total * 2**62))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: Column, rows: int, parts: int = 8) -> DataFrame:
+    """(id, text, y): at most about `rows` labelled rows for each value of the label.
+
+    The choice is made on the narrow label table, so what is broadcast to the
+    scan of the texts is no larger than the documented bound. Rows without a
+    label, text or matching id are left out.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("id"), label.cast("int").alias("y")).filter("id is not null and y is not null").distinct()
+    size = sorted(r["y"] for r in known.groupBy("y").count().collect())
+    if not size:
+        size = [0]
+    chosen = None
+    for y in size:
+        one = bounded_sample(known.filter(F.col("y") == y), "id", rows)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return checkpoint(texts.join(F.broadcast(chosen), "id").repartition(parts))
+
+
+def map_texts(docs: DataFrame, text_col: str, new: list[tuple[str, str, pa.DataType]], score: Callable[[list], list[list]], columns: list[str] | None = None) -> DataFrame:
+    """docs with new columns made from whole texts; score(texts) gives a list of values for each new column.
+
+    columns: those of docs that return; all where None. Columns of docs named
+    like a new one (in any case) are replaced.
+    """
+    taken = {n.lower() for n, _, _ in new}
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in taken]
+    src = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = score(b.column(0).to_pylist())
+            made = [pa.array(v, t) for v, (_, _, t) in zip(got, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], *(n for n, _, _ in new)])
+
+    kinds = dict(src.dtypes)
+    return map_arrow(src, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{n}` {k}" for n, k, _ in new)]))
 
 
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

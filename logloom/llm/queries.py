@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import simhash
-from logloom.llm.common import table
+from logloom.llm import language, simhash, toxicity
+from logloom.llm.common import crc_mod, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 5) != 0))
+    out = toxicity.score(docs, model, score_col="score", columns=["doc_id"])
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    out = language.identify(docs, model, score_col="score", columns=["doc_id"])
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
 
 ORACLE_SQL: dict[str, str] = {}
