@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from logloom.llm.common import labelled_sample, map_arrow, map_texts
 from logloom.llm.ngrams import code_points, text_buckets
 
-ORDERS = (5, 6)
+ORDERS = (4, 5, 6)
 HASH_BITS = 20
 #: Rows of each class that a model is fitted on, at most.
 TRAIN_ROWS = 3000
-#: Features kept: those whose log-count ratios say most.
-FEATURES = 20000
+#: Features kept: those whose log-count ratios are the most standard errors from zero.
+FEATURES = 4000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -82,7 +82,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: floa
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, features: int = FEATURES, orders: tuple[int, ...] = ORDERS, bits: int = HASH_BITS, alpha: float = 0.5, l2: float = 1e-4, steps: int = 150) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, features: int = FEATURES, orders: tuple[int, ...] = ORDERS, bits: int = HASH_BITS, alpha: float = 0.5, l2: float = 1e-3, steps: int = 150) -> ToxicityModel:
     """Fit on at most about `train_rows` rows of each class.
 
     The frequencies of the buckets are counted in the tasks; the driver picks
@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         freq[r["y"], np.frombuffer(r["at"], dtype=np.int32)] += np.frombuffer(r["counts"], dtype=np.int32)
         n[r["y"]] += r["n"]
     ratio = np.log((freq[1] + alpha) / (n[1] + 2 * alpha)) - np.log((freq[0] + alpha) / (n[0] + 2 * alpha))
-    worth = np.abs(ratio) * np.sqrt(freq.sum(axis=0))
+    worth = np.abs(ratio) / np.sqrt((1.0 / (freq + alpha)).sum(axis=0))
+    worth[freq.sum(axis=0) == 0] = 0.0
     order = np.lexsort((np.arange(1 << bits), -worth))[:features]
     ids = np.sort(order[worth[order] > 0])
     keep = np.zeros(1 << bits, dtype=bool)
