@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import language, simhash, toxicity
+from logloom.llm import language, packing, simhash, toxicity
 from logloom.llm.common import crc_mod, table
 
 
@@ -14,6 +14,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 5) != 0))
@@ -28,6 +33,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
 
 ORACLE_SQL: dict[str, str] = {}
