@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import language, packing, simhash, toxicity
-from logloom.llm.common import crc_mod, table
+from logloom.llm import language, packing, simhash, toxicity, warc
+from logloom.llm.common import crc_mod, shared_folder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    out = warc.read(spark, path, with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 5) != 0))
@@ -33,6 +40,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
 
 ORACLE_SQL: dict[str, str] = {}
