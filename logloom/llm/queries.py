@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import html_text, language, licenses, packing, simhash, toxicity, warc
+from logloom.llm import html_text, language, licenses, packing, simhash, toxicity, vectors, warc
 from logloom.llm.common import crc_mod, shared_folder, table
 
 
@@ -34,6 +34,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 5) != 0))
@@ -48,6 +52,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op6_licenses": op6_licenses, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language}
 
 ORACLE_SQL: dict[str, str] = {"op6_licenses": licenses.oracle_sql()}
