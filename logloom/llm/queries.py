@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, html_text, language, licenses, packing, simhash, toxicity, vectors, warc
+from logloom.llm import decontam, html_text, language, licenses, packing, quality, simhash, toxicity, vectors, warc
 from logloom.llm.common import crc_mod, shared_folder, table
 
 
@@ -30,6 +30,14 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings: 0 junk, 1 well-formed but toxic, 2 well-formed and clean."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(crc_mod("doc_id", 5) != 0), rating=F.col("quality") * (F.lit(2) - F.col("toxic")))
+    out = quality.grade(docs, model, least=1, columns=["doc_id"])
+    return out.withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -56,6 +64,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL: dict[str, str] = {"op6_licenses": licenses.oracle_sql()}
