@@ -1,19 +1,23 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints are 64-bit majority votes over XXH64 of word shingles. Linking
-works on the distinct fingerprints only, so copies collapse first. The trie is
-rooted three times: a pair with at most `budget` differing bits agrees on one
-of budget + 1 blocks of bits, so each rotation puts one block at the top of the
-trie, where no error may be spent, and that prefix is the shuffle key. Below
-it, node pairs are walked together bit by bit; differing bits accumulate and a
-pair of nodes is dropped as soon as it exceeds the budget. A prefix with more
-than `hot` fingerprints is dealt out further: its node pairs SPLIT_BITS lower
-become groups of their own, so no task gets a whole hot prefix.
+Fingerprints are 64-bit majority votes over XXH64 of words or word shingles.
+Linking works on the distinct fingerprints only, so copies collapse first. Two
+tries walked together drop a pair of nodes as soon as their differing bits
+exceed the error budget. The bits are cut into three blocks; a pair within the
+budget has at most a third of it in some block, so each arrangement of the bits
+puts one block on top, where only that third may be spent. Where that third is
+not zero, the block is cut in turn, so that every arrangement begins with bits
+that agree: they are the shuffle key. A key with more than `hot` fingerprints
+is dealt out further: its node pairs SPLIT_BITS lower become groups of their
+own, so no task gets a whole hot key. Each group gives the shortest links that
+join its components, at most one for a fingerprint, and skips node pairs whose
+members are all joined already; a dense group never becomes all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import checkpoint, local_components, map_arrow, split_groups
+from logloom.llm.common import checkpoint, map_arrow, split_groups
 from logloom.llm.components import connected_components
 
 BITS = 64
@@ -44,7 +48,7 @@ def fingerprint(text: bytes | None, k: int = 3, seed: int = 42) -> int:
     end = np.cumsum(size + 1) - 1
     start = end - size
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[a:b], seed) for a, b in zip(start[: 1 - k].tolist(), end[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    h = np.fromiter([digest(joined[a:b], seed) for a, b in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)], dtype="<u8")
     seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     return int.from_bytes(np.packbits((seen * 2 > len(h)).ravel(), bitorder="little").tobytes(), "little")
 
@@ -61,14 +65,104 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(src, run, "id long, fp long")
 
 
-def trie_pairs(values: np.ndarray, starts: list[tuple[int, int, int, int, int]], depth: int, budget: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions in `values` that differ in at most `budget` bits.
+@dataclass(frozen=True)
+class Arrangement:
+    """An order of the fingerprint's bits, as segments (first bit, length)."""
 
-    values: uint64, ascending in each start range. starts: node pairs (a0, a1, b0,
-    b1, errors so far) whose members agree above `depth` but for those errors.
-    Yields parts of bounded size; each pair comes once.
+    segments: tuple[tuple[int, int], ...]
+    exact: int  # leading bits that must agree: the shuffle key
+    limits: tuple[int, ...]  # errors allowed after each number of bits
+
+    def sql(self) -> str:
+        at, parts = 0, []
+        for first, n in self.segments:
+            at += n
+            part = f"(shiftrightunsigned(fp, {BITS - first - n}) & {(1 << n) - 1}L)"
+            parts.append(f"shiftleft({part}, {BITS - at})")
+        return "(" + " | ".join(parts) + ")"
+
+    def undo(self, v: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(v), dtype=np.uint64), 0
+        for first, n in self.segments:
+            at += n
+            out |= ((v >> np.uint64(BITS - at)) & np.uint64((1 << n) - 1)) << np.uint64(BITS - first - n)
+        return out
+
+
+def arrangements(budget: int) -> list[Arrangement]:
+    """Arrangements that together meet every pair within the budget."""
+    blocks = [(0, 22), (22, 21), (43, 21)]
+    top = budget // 3
+    made = []
+    for k, (first, n) in enumerate(blocks):
+        rest = [x for m, x in enumerate(blocks) if m != k]
+        m = top + 1
+        subs = [(first + n * i // m, n * (i + 1) // m - n * i // m) for i in range(m)]
+        for i, sub in enumerate(subs):
+            limits = tuple(0 if d <= sub[1] else top if d <= n else budget for d in range(BITS + 1))
+            made.append(Arrangement((sub, *(x for j, x in enumerate(subs) if j != i), *rest), sub[1], limits))
+    return made
+
+
+def _expand(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the members of each node pair; within a node each pair once."""
+    nb = b1 - b0
+    n = (a1 - a0) * nb
+    at = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i, j = a0[at] + k // nb[at], b0[at] + k % nb[at]
+    ok = (a0[at] != b0[at]) | (i < j)
+    return i[ok], j[ok]
+
+
+class Forest:
+    """Shortest links that join the components found so far."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.change = np.arange(n)  # number of label changes up to each place
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        for step in np.unique(d):
+            x, y = i[d == step], j[d == step]
+            while len(x):
+                a, b = self.label[x], self.label[y]
+                open_ = a != b
+                if not open_.any():
+                    break
+                x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+                high, at = np.unique(np.maximum(a, b), return_index=True)
+                self.links.append((x[at], y[at]))
+                up = np.arange(len(self.label))
+                up[high] = np.minimum(a, b)[at]
+                while (up[up] != up).any():
+                    up = up[up]
+                self.label = up[self.label]
+        self.change = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])]) if len(self.label) else self.label
+
+    def joined(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Node pairs whose members all lie in one component."""
+        c = self.change
+        return (c[a0] == c[a1 - 1]) & (c[b0] == c[b1 - 1]) & (self.label[a0] == self.label[b0])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *(x for x, _ in self.links)]), np.concatenate([none, *(y for _, y in self.links)])
+
+
+def trie_walk(values: np.ndarray, starts: list[tuple[int, int, int, int, int]], depth: int, limits: tuple[int, ...], forest: Forest, chunk: int = 1 << 17, leaf: int = 24) -> None:
+    """Walk node pairs of the trie over `values` and add links to the forest.
+
+    values: uint64, ascending within each start range. starts: node pairs (a0,
+    a1, b0, b1, errors so far) whose members agree above `depth` but for those
+    errors. Node pairs of up to `leaf` pairs of members are compared outright.
+    Work is done in parts of bounded size, deepest first.
     """
+    budget = limits[-1]
     ones: dict[int, np.ndarray] = {}
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
 
     def below(d: int) -> np.ndarray:
         if d not in ones:
@@ -76,28 +170,38 @@ def trie_pairs(values: np.ndarray, starts: list[tuple[int, int, int, int, int]],
             ones[d] = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
         return ones[d]
 
-    if not starts:
-        return
-    stack = [(depth, np.array(starts, dtype=np.int64))]
+    def fold() -> None:
+        nonlocal held
+        if found:
+            forest.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        found.clear()
+        held = 0
+
+    stack = [(depth, np.array(starts, dtype=np.int64))] if starts else []
     while stack:
         d, f = stack.pop()
         if len(f) > chunk:
             stack.append((d, f[chunk:]))
             f = f[:chunk]
         a0, a1, b0, b1, e = f.T
-        same = a0 == b0
-        single = (a1 - a0 == 1) & (b1 - b0 == 1) & ~same
-        if single.any():
-            i, j = a0[single], b0[single]
-            ok = np.bitwise_count(values[i] ^ values[j]) <= budget
-            yield i[ok], j[ok]
-        go = ~single & ~(same & (a1 - a0 == 1))
-        if d >= BITS or not go.any():
+        open_ = ~forest.joined(a0, a1, b0, b1)
+        a0, a1, b0, b1, e = a0[open_], a1[open_], b0[open_], b1[open_], e[open_]
+        small = ((a1 - a0) * (b1 - b0) <= leaf) | (d >= BITS)
+        if small.any():
+            i, j = _expand(a0[small], a1[small], b0[small], b1[small])
+            n = np.bitwise_count(values[i] ^ values[j])
+            ok = n <= budget
+            found.append((i[ok], j[ok], n[ok]))
+            held += int(ok.sum())
+            if held > 1 << 16:
+                fold()
+            go = ~small
+            a0, a1, b0, b1, e = a0[go], a1[go], b0[go], b1[go], e[go]
+        if not len(a0):
             continue
-        a0, a1, b0, b1, e, same = a0[go], a1[go], b0[go], b1[go], e[go], same[go]
         c = below(d)
         am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
-        other = ~same
+        other = a0 != b0
         parts = [
             np.stack([a0, am, b0, bm, e]),
             np.stack([am, a1, bm, b1, e]),
@@ -105,12 +209,14 @@ def trie_pairs(values: np.ndarray, starts: list[tuple[int, int, int, int, int]],
             np.stack([am, a1, b0, bm, e + 1])[:, other],
         ]
         nxt = np.concatenate(parts, axis=1)
-        nxt = nxt[:, (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= budget)]
+        nxt = nxt[:, (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= limits[d + 1])]
+        nxt = nxt[:, (nxt[0] != nxt[2]) | (nxt[1] - nxt[0] > 1)]
         if nxt.shape[1]:
             stack.append((d + 1, nxt.T))
+    fold()
 
 
-def _walk(budget: int, prefix: list[int]):
+def _walk(plan: list[Arrangement]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in split_groups(batches, ["r", "bucket", "na", "nb"]):
             r, bucket, na, nb, node = (t.column(k).to_numpy() for k in ("r", "bucket", "na", "nb", "node"))
@@ -121,63 +227,48 @@ def _walk(budget: int, prefix: list[int]):
             new[1:] = (r[1:] != r[:-1]) | (bucket[1:] != bucket[:-1]) | (na[1:] != na[:-1]) | (nb[1:] != nb[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(v))
-            todo: dict[int, list] = {}
+            todo: dict[tuple[int, int], list] = {}
             for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
-                depth, x, y = prefix[r[a]], int(na[a]), int(nb[a])
+                k, x, y = int(r[a]), int(na[a]), int(nb[a])
                 if x == y:
-                    todo.setdefault(depth + (SPLIT_BITS if x >= 0 else 0), []).append((a, b, a, b, 0))
+                    todo.setdefault((k, plan[k].exact + (SPLIT_BITS if x >= 0 else 0)), []).append((a, b, a, b, 0))
                 else:
                     m = a + int(np.searchsorted(node[a:b], x, side="right"))
                     if a < m < b:
-                        todo.setdefault(depth + SPLIT_BITS, []).append((a, m, m, b, (x ^ y).bit_count()))
-            i, j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            label = None
-            held = 0
-            for depth, starts in todo.items():
-                for p, q in trie_pairs(v, starts, depth, budget):
-                    i.append(p)
-                    j.append(q)
-                    held += len(p)
-                    if held > 1 << 20:  # fold into a forest, so that a dense group stays small
-                        label = local_components(len(v), np.concatenate(i), np.concatenate(j))
-                        i, j, held = [np.arange(len(v))], [label], 0
-            label = local_components(len(v), np.concatenate(i), np.concatenate(j))
-            got = np.flatnonzero(label != np.arange(len(v)))
-            back = np.array([0, *np.cumsum(prefix)[:-1]], dtype=np.uint64)
-
-            def plain(k: np.ndarray) -> np.ndarray:
-                turn = back[r[k]]
-                x = v[k]
-                return np.where(turn == 0, x, (x >> turn) | (x << ((np.uint64(BITS) - turn) % np.uint64(BITS)))).view(np.int64)
-
-            yield pa.RecordBatch.from_arrays([pa.array(plain(got)), pa.array(plain(label[got]))], names=["u", "v"])
+                        todo.setdefault((k, plan[k].exact + SPLIT_BITS), []).append((a, m, m, b, (x ^ y).bit_count()))
+            forest = Forest(len(v))
+            for (k, depth), starts in todo.items():
+                trie_walk(v, starts, depth, plan[k].limits, forest)
+            i, j = forest.edges()
+            plain = np.zeros(len(v), dtype=np.uint64)
+            for k, arranged in enumerate(plan):
+                at = np.flatnonzero(r == k)
+                plain[at] = arranged.undo(v[at])
+            yield pa.RecordBatch.from_arrays([pa.array(plain[i].view(np.int64)), pa.array(plain[j].view(np.int64))], names=["u", "v"])
 
     return run
 
 
 def trie_links(fps: DataFrame, budget: int = 2, hot: int = HOT) -> DataFrame:
-    """Distinct fingerprints (fp long) -> links (u, v): a spanning forest of the links found in each trie."""
-    blocks = budget + 1
-    prefix = [BITS // blocks + (1 if k < BITS % blocks else 0) for k in range(blocks)]
-    turns, at = [], 0
-    for p in prefix:
-        turns.append(at)
-        at += p
-
-    def turned(k: int):
-        return F.col("fp") if k == 0 else F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", BITS - k))
-
-    roots = F.array(*[F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(turned(turns[r]), BITS - prefix[r]).alias("bucket"), turned(turns[r]).alias("v")) for r in range(blocks)])
-    nodes = fps.select(F.explode(roots).alias("x")).select("x.*")
+    """Distinct fingerprints (fp long) -> links (u, v) of at most `budget` bits that
+    join all that such links join: the shortest ones found in each group."""
+    plan = arrangements(budget)
+
+    def text(values: list) -> str:
+        return f"array({', '.join(map(str, values))})"
+
+    roots = [f"named_struct('r', {k}, 'bucket', shiftrightunsigned({x.sql()}, {BITS - x.exact}), 'v', {x.sql()})" for k, x in enumerate(plan)]
+    nodes = fps.select(F.explode(F.expr(text(roots))).alias("x")).select("x.*")
     crowd = nodes.groupBy("r", "bucket").count().filter(F.col("count") > 1)
     nodes = nodes.join(crowd, ["r", "bucket"])
-    cut = F.expr(f"cast(shiftrightunsigned(v, {BITS - SPLIT_BITS} - element_at(array({', '.join(map(str, prefix))}), r + 1)) & {2**SPLIT_BITS - 1} as int)")
-    masks = [sum(1 << b for b in c) for n in range(budget + 1) for c in combinations(range(SPLIT_BITS), n)]
+    cut = F.expr(f"cast(shiftrightunsigned(v, {BITS - SPLIT_BITS} - element_at({text([x.exact for x in plan])}, r + 1)) & {2**SPLIT_BITS - 1} as int)")
+    most = max(x.limits[x.exact + SPLIT_BITS] for x in plan)
+    masks = [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(SPLIT_BITS), n)]
     around = F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.least(cut, cut.bitwiseXOR(m)).alias("na"), F.greatest(cut, cut.bitwiseXOR(m)).alias("nb")))
     whole = F.array(F.struct(F.lit(-1).alias("na"), F.lit(-1).alias("nb")))
     nodes = nodes.select("r", "bucket", "v", cut.alias("node"), F.explode(F.when(F.col("count") > hot, around).otherwise(whole)).alias("x")).select("r", "bucket", "x.na", "x.nb", "node", "v")
     dealt = nodes.repartition("r", "bucket", "na", "nb").sortWithinPartitions("r", "bucket", "na", "nb")
-    return map_arrow(dealt, _walk(budget, prefix), "u long, v long")
+    return map_arrow(dealt, _walk(plan), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, budget: int = 2, hot: int = HOT) -> DataFrame:
@@ -196,3 +287,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     where = named.join(least, "root").select("fp", "component_id")
     return sigs.join(where, "fp", "left").select("id", "fp", "component_id")
+
+
+#: Near copies: five-word shingles, this similarity; bits by which word-set fingerprints of such texts may differ.
+SHINGLE = 5
+SIMILAR = 0.8
+COPY_BUDGET = 8
+#: Shingle hashes kept for the similarity check. Texts whose shingles together are
+#: no more than that are compared exactly; larger ones by an estimate, which may
+#: fall short of the similarity by SHORT (two standard errors).
+SKETCH = 64
+SHORT = 0.1
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def text_sketch(text: bytes | None, k: int = SHINGLE, size: int = SKETCH) -> tuple[int, int, np.ndarray]:
+    """(fingerprint of the set of words, hash of the word sequence, smallest shingle hashes)."""
+    words = text.lower().split() if text else []
+    if not words:
+        return 0, 0, np.zeros(0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
+    one = np.unique(h)
+    seen = np.bincount((one.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+    fp = int.from_bytes(np.packbits((seen * 2 > len(one)).ravel(), bitorder="little").tobytes(), "little")
+    n = min(k, len(words))
+    s = np.full(len(words) - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        s = (s ^ h[i : i + len(s)]) * _MUL
+        s ^= s >> np.uint64(31)
+    s = np.unique(s >> np.uint64(1))[:size].view(np.int64)
+    return fp, digest(b" ".join(words)), s
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = COPY_BUDGET, similar: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    """One row per input row: (id, component_id) of texts joined by near-copy links.
+
+    Candidates are fingerprints of word sets within `budget` bits, linked by the
+    trie join; each link is then checked by the similarity of the texts' sets of
+    five-word shingles (texts of fewer words: one shingle; no words: all alike).
+    component_id is the smallest id of the component; null ids and repeated rows
+    as in near_duplicates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [text_sketch(t) for t in b.column(1).to_pylist()]
+            fp, c = (np.array([g[k] for g in got], dtype=np.uint64).view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(c), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["id", "fp", "c", "sketch"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    sigs = checkpoint(map_arrow(src, run, "id long, fp long, c long, sketch array<long>"))
+    classes = checkpoint(sigs.groupBy("c", "fp").agg(F.min("id").alias("least")))
+    heads = classes.groupBy("fp").agg(F.min("c").alias("c"), F.count("*").alias("n"))
+    stars = classes.join(heads.filter("n > 1").select("fp", F.col("c").alias("v")), "fp").select(F.col("c").alias("u"), "v").filter("u != v")
+    links = trie_links(heads.select("fp"), budget, hot).distinct()
+    links = links.join(heads.select(F.col("fp").alias("u"), F.col("c").alias("cu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("c").alias("cv")), "v")
+    links = checkpoint(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).unionByName(stars))
+    ends = links.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+    sketches = sigs.select("c", "sketch").join(ends, "c", "left_semi").groupBy("c").agg(F.first("sketch").alias("sketch"))
+    pairs = links.join(sketches.select(F.col("c").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("c").alias("v"), F.col("sketch").alias("b")), "v")
+    union = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
+    both = F.size(F.array_intersect(F.col("union"), F.array_intersect("a", "b")))
+    least = F.when(F.size(F.array_union("a", "b")) < SKETCH, F.lit(similar)).otherwise(F.lit(similar - SHORT))
+    alike = pairs.withColumn("union", union).filter((F.size("union") == 0) | (both >= least * F.size("union"))).select("u", "v")
+    roots = connected_components(alike)
+    named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least_id = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    where = named.join(least_id, "root").select("c", "component_id")
+    return sigs.select("id", "c").join(where, "c", "left").select("id", "component_id")
