@@ -10,9 +10,13 @@ TRUTH = T.StructType([T.StructField("EventId", T.StringType()), T.StructField("E
 MINED = T.StructType([T.StructField("EventId", T.IntegerType()), T.StructField("EventTemplate", T.StringType()), T.StructField("Occurrences", T.LongType())])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Doubled quotes inside quotes; every text is literal, so `null` and `NA` stay words."""
-    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("nullValue", "\x00").option("emptyValue", "").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, empty_is_null: bool = False) -> DataFrame:
+    """Doubled quotes inside quotes; every text is literal, so `null` and `NA` stay words.
+
+    An empty text is one unless empty_is_null, as in labels with gaps.
+    """
+    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    return df if empty_is_null else df.na.fill("")
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
