@@ -31,7 +31,7 @@ from logloom.llm.components import connected_components
 
 BITS = 64
 SPLIT_BITS = 8
-HOT = 4096
+HOT = 1 << 18
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
 
