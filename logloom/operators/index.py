@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.shared import checkpoint
 from logloom.functions.text import alpha_tokens
 
 
@@ -18,16 +19,30 @@ def lengths(templates: DataFrame, id_col: str = "tid", template_col: str = "temp
     return templates.groupBy(F.col(id_col).alias("tid")).agg(F.sum(F.size(alpha_tokens(F.col(template_col)))).cast("long").alias("n_tokens"))
 
 
+def rare_postings(posting: DataFrame, size: DataFrame, least: float) -> DataFrame:
+    """The postings of each template's rarest tokens, just so many that a query
+    without any of them cannot contain `least` of the template."""
+    df = posting.groupBy("token").agg(F.count("*").alias("df"))
+    by = Window.partitionBy("tid").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    seen = posting.join(df, "token").join(size, "tid").withColumn("before", F.coalesce(F.sum("tf").over(by), F.lit(0)))
+    return seen.filter(F.col("before") <= F.col("n_tokens") - F.ceil(F.lit(least) * F.col("n_tokens"))).select("token", "tid")
+
+
 def candidates(queries: DataFrame, templates: DataFrame, k: int = 3, least: float = 0.5, qid: str = "qid", query_col: str = "template", id_col: str = "tid", template_col: str = "template") -> DataFrame:
     """(qid, tid, score, rank): the k templates that the query's tokens contain best.
 
     score is the overlap, counting repeats, over the template's tokens; ties
-    rank by tid. Candidates below `least` are left out. The join is an equi-join
-    on tokens, so a query meets only templates that share one with it; a token
-    that very many templates have is split by adaptive execution.
+    rank by tid. Candidates below `least` are left out, which makes it enough to
+    meet a template by its rarest tokens: common words bring no pairs together.
     """
     have = queries.select(F.col(qid).alias("qid"), F.explode(alpha_tokens(F.col(query_col))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    overlap = have.join(postings(templates, id_col, template_col), "token").groupBy("qid", "tid").agg(F.sum(F.least("qtf", "tf")).alias("common"))
-    scored = overlap.join(lengths(templates, id_col, template_col), "tid").withColumn("score", F.col("common") / F.col("n_tokens"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tid")))
-    return best.filter((F.col("rank") <= k) & (F.col("score") >= least)).select("qid", "tid", "score", F.col("rank").cast("long").alias("rank"))
+    # ids may be long texts: rows are numbered, and get their ids back at the end
+    numbered = checkpoint(templates.select(F.col(id_col).alias("id"), F.col(template_col).alias("template"), F.monotonically_increasing_id().alias("n")))
+    posting = checkpoint(postings(numbered, "n", "template"))  # the index: built once, read for each step
+    size = posting.groupBy("tid").agg(F.sum("tf").alias("n_tokens"))
+    met = have.join(rare_postings(posting, size, least), "token").select("qid", "tid").distinct()
+    overlap = met.join(posting, "tid").join(have, ["qid", "token"]).groupBy("qid", "tid").agg(F.sum(F.least("qtf", "tf")).alias("common"))
+    scored = overlap.join(size, "tid").withColumn("score", F.col("common") / F.col("n_tokens")).filter(F.col("score") >= least)
+    named = scored.join(numbered.select(F.col("n").alias("tid"), "id"), "tid").select("qid", F.col("id").alias("tid"), "score")
+    best = named.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tid")))
+    return best.filter(F.col("rank") <= k).select("qid", "tid", "score", F.col("rank").cast("long").alias("rank"))

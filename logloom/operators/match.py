@@ -39,18 +39,27 @@ def pattern(template: Column, wildcard: str = ".*") -> Column:
 def match_join(lines: DataFrame, templates: DataFrame, content_col: str = "content", template_col: str = "template") -> DataFrame:
     """(content, template): each distinct content with the template that fits it best.
 
-    Templates with PREFIX literal characters in front join on them; only those
-    that begin with a wildcard earlier meet every content, as the broadcast
-    side of a nested loop whose size Spark checks.
+    The literal text before a template's first wildcard and after its last one
+    are join keys where they have PREFIX characters; only templates with neither
+    meet every content, as the broadcast side of a nested loop whose size Spark
+    checks. Both ends and the longest literal part are compared before the
+    regular expression is.
     """
-    t = templates.select(F.col(template_col).alias("template")).distinct().withColumn("rx", pattern(F.col("template")))
-    t = t.withColumn("head", F.regexp_extract("template", r"^(?:(?!<\*>).)*", 0))
-    c = lines.select(F.col(content_col).alias("content")).distinct()
-    keyed = t.filter(F.length("head") >= PREFIX).withColumn("k", F.substring("head", 1, PREFIX))
-    near = c.withColumn("k", F.substring("content", 1, PREFIX)).join(keyed, "k").filter(F.expr("content rlike rx"))
-    open_ = t.filter(F.length("head") < PREFIX)
-    far = c.join(open_, F.expr("content rlike rx and startswith(content, head)"))
-    hits = near.select("content", "template").unionByName(far.select("content", "template"))
+    t = templates.select(F.col(template_col).alias("template")).filter("template is not null").distinct().withColumn("rx", pattern(F.col("template")))
+    parts = F.split("template", r"<\*>", -1)
+    t = t.withColumn("head", F.element_at(parts, 1)).withColumn("tail", F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.col("template")))
+    t = t.withColumn("core", F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))).getField("p"))
+    t = t.withColumn("k1", F.when(F.length("head") >= PREFIX, F.substring("head", 1, PREFIX))).withColumn("k2", F.when(F.length("tail") >= PREFIX, F.substring("tail", -PREFIX, PREFIX)))
+    c = lines.select(F.col(content_col).alias("content")).distinct().withColumn("k1", F.substring("content", 1, PREFIX)).withColumn("k2", F.substring("content", -PREFIX, PREFIX))
+    fit = F.expr("startswith(content, head) and endswith(content, tail) and contains(content, core) and content rlike rx")
+    hits = None
+    for first, last in ((True, True), (True, False), (False, True), (False, False)):
+        some = t.filter((F.col("k1").isNotNull() if first else F.col("k1").isNull()) & (F.col("k2").isNotNull() if last else F.col("k2").isNull()))
+        keys = ["k1"] * first + ["k2"] * last
+        some = some.drop(*({"k1", "k2"} - set(keys)))
+        met = c.join(some, keys).filter(fit) if keys else c.join(some, fit)
+        met = met.select("content", "template")
+        hits = met if hits is None else hits.unionByName(met)
     return hits.groupBy("content").agg(F.min_by("template", priority(F.col("template"))).alias("template"))
 
 
