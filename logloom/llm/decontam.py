@@ -72,6 +72,7 @@ class Canonical:
     shape: np.ndarray  # hash of each canonical token
     value: np.ndarray  # hash of each token as written, case aside
     slot: np.ndarray  # whether it is a placeholder
+    plain: np.ndarray  # shape with names as words: how a text without capitals has them
 
 
 def canonical(text: str) -> Canonical:
@@ -87,23 +88,24 @@ def canonical(text: str) -> Canonical:
     after_num[1:] = num[:-1]
     name = ((flags & np.uint64(_NAME)) > 0) & ~before_end
     units = ((flags & np.uint64(_UNIT)) > 0) & after_num
-    shape = value.copy()
-    shape[num] = _KIND_HASH["num"]
+    plain = value.copy()
+    plain[num] = _KIND_HASH["num"]
+    plain[units] = _KIND_HASH["unit"]
+    shape = plain.copy()
     shape[name] = _KIND_HASH["name"]
-    shape[units] = _KIND_HASH["unit"]
     keep = ~end
-    return Canonical(shape[keep], value[keep], (num | name | units)[keep])
+    return Canonical(shape[keep], value[keep], (num | name | units)[keep], plain[keep])
 
 
-def windows(c: Canonical, width: int) -> np.ndarray:
+def windows(tokens: np.ndarray, width: int) -> np.ndarray:
     """Hash of each window; a sequence shorter than that is one window, an empty one none."""
-    n = len(c.shape)
+    n = len(tokens)
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
     w = min(width, n)
     h = np.full(n - w + 1, w, dtype=np.uint64)
     for k in range(w):
-        h = (h ^ c.shape[k : k + n - w + 1]) * _MUL
+        h = (h ^ tokens[k : k + n - w + 1]) * _MUL
         h ^= h >> np.uint64(31)
     return h
 
@@ -124,10 +126,14 @@ class Benchmark:
     @classmethod
     def of(cls, ids: list, texts: list[str], width: int) -> "Benchmark":
         items = [canonical(t) for t in texts]
-        hs = [windows(c, width) for c in items]
-        keys = np.concatenate(hs) if hs else np.zeros(0, dtype=np.uint64)
-        item = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
-        pos = np.concatenate([np.arange(len(h)) for h in hs]) if hs else np.zeros(0, dtype=np.int64)
+        hs = [windows(c.shape, width) for c in items]
+        plain = [windows(c.plain, width) for c in items]
+        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *hs, *plain])
+        item = np.tile(np.repeat(np.arange(len(hs)), [len(h) for h in hs]), 2)
+        pos = np.tile(np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(h)) for h in hs)]), 2)
+        once = np.ones(len(keys), dtype=bool)  # most windows have no name and are the same twice
+        once[len(keys) // 2 :] = keys[len(keys) // 2 :] != keys[: len(keys) // 2]
+        keys, item, pos = keys[once], item[once], pos[once]
         order = np.argsort(keys, kind="stable")
         return cls(ids, items, np.array([len(h) for h in hs]), keys[order], item[order], pos[order], width, np.flatnonzero([0 < len(c.shape) < width for c in items]))
 
@@ -138,7 +144,7 @@ class Benchmark:
             return []
         out = []
         for widths in {self.width, *(len(self.items[k].shape) for k in self.short)}:
-            h = windows(doc, widths)
+            h = windows(doc.shape, widths)
             if widths > len(doc.shape):
                 continue
             lo = np.searchsorted(self.keys, h, side="left")
