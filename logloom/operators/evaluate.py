@@ -34,6 +34,14 @@ def correct_groups(table: DataFrame) -> DataFrame:
     return table.filter((F.col("k") == 1) & (F.col("n_p") == F.col("n_g")) & F.col("p").isNotNull())
 
 
+def _side_by_side(parts: list[DataFrame], by: list[str], columns: list[str]) -> DataFrame:
+    """One row for each group with the columns of all parts, which have a row for a group at most."""
+    rows = None
+    for part in parts:
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy(*by).agg(*[F.max(c).alias(c) for c in columns])
+
+
 def scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Pairwise precision, recall and F1, and grouping accuracy (GA).
 
@@ -47,7 +55,7 @@ def scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     cells = t.groupBy(*by).agg(F.sum(F.when(known, pair_count(F.col("n")))).alias("accurate"), F.coalesce(F.sum(right), F.lit(0)).alias("correct"), F.sum("n").alias("rows"))
     parsed = t.filter(known).select(*by, "p", "n_p").distinct().groupBy(*by).agg(F.sum(pair_count(F.col("n_p"))).alias("parsed"))
     real = t.select(*by, "g", "n_g").distinct().groupBy(*by).agg(F.sum(pair_count(F.col("n_g"))).alias("real"))
-    one = cells.join(parsed, by, "left").join(real, by, "left") if by else cells.crossJoin(parsed).crossJoin(real)  # one row each
+    one = _side_by_side([cells, parsed, real], by, ["accurate", "correct", "rows", "parsed", "real"])
     p, r = F.try_divide("accurate", "parsed"), F.try_divide("accurate", "real")
     return one.select(*by, "accurate", "parsed", "real", "correct", "rows", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"), F.try_divide("correct", "rows").alias("ga"))
 
@@ -63,7 +71,7 @@ def parsing_accuracy(pairs: DataFrame, truth_templates: DataFrame, parsed_templa
     right = correct_groups(t)
     named = right.join(truth_templates.select(*by, F.col("EventId").alias("g"), F.col("EventTemplate").alias("gt")), [*by, "g"]).join(parsed_templates.select(*by, F.col("EventId").alias("p"), F.col("EventTemplate").alias("pt")), [*by, "p"])
     same = named.filter(comparable(F.col("gt")) == comparable(F.col("pt"))).groupBy(*by).agg(F.sum("n").alias("same"))
-    one = rows.join(same, by, "left") if by else rows.crossJoin(same)  # one row each
+    one = _side_by_side([rows, same], by, ["rows", "same"])
     return one.select(*by, F.coalesce("same", F.lit(0)).alias("same"), "rows", F.try_divide(F.coalesce("same", F.lit(0)), "rows").alias("pa"))
 
 
@@ -72,4 +80,4 @@ def evaluate(truth: DataFrame, parsed: DataFrame, truth_templates: DataFrame, pa
     pairs = aligned(truth, parsed, size=size)
     s = scores(pairs)
     p = parsing_accuracy(pairs, truth_templates, parsed_templates)
-    return s.crossJoin(p.select("pa")).select("precision", "recall", "f1", "ga", "pa")  # one row each
+    return _side_by_side([s.select("precision", "recall", "f1", "ga"), p.select("pa")], [], ["precision", "recall", "f1", "ga", "pa"])
