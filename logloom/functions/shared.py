@@ -24,3 +24,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+#: A table up to this size (bytes, by Spark's estimate) in fewer files than there are cores is dealt out before work.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in a file or two has one scan task with rows; give every core some.
+
+    Larger tables, and those with a file for each core, are left as they are:
+    their scans are parallel and need no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import align, normalise, text
-from logloom.functions.shared import checkpoint
+from logloom.functions.shared import checkpoint, spread
 from logloom.operators import evaluate, index, match, mine, output
 from logloom.sources import formats, logs, tables
 
@@ -32,8 +32,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.document_lines(_table(spark, sf_dir, "documents"))
+    return logs.document_lines(_documents(spark, sf_dir))
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
