@@ -2,7 +2,8 @@
 
 Every round is a handful of joins and aggregations; no links ever reach the
 driver. A hub of the graph is one key of an aggregation with map-side combine
-and of a sort-merge join whose large side adaptive execution may split.
+and of a join. The aggregate is checkpointed before it is joined, so that both
+sides of the join are plain exchanges and adaptive execution may split the hub.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         # large star: every larger neighbour of u goes to the smallest node around u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # small star: the smaller neighbours of u, and u, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = checkpoint(small.filter("u != v").distinct())
         after = _fingerprint(e)

@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     uniq = checkpoint(sigs.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(trie_links(uniq.select("fp"), budget, hot))
     named = uniq.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
     where = named.join(least, "root").select("fp", "component_id")
     return sigs.join(where, "fp", "left").select("id", "fp", "component_id")
 
@@ -345,7 +345,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.join(heads.select(F.col("fp").alias("u"), F.col("c").alias("cu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("c").alias("cv")), "v")
     links = checkpoint(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).unionByName(stars))
     ends = links.select(F.explode(F.array("u", "v")).alias("c")).distinct()
-    sketches = sigs.select("c", "sketch").join(ends, "c", "left_semi").groupBy("c").agg(F.first("sketch").alias("sketch"))
+    # aggregated first, so that copies combine before the shuffle; checkpointed, so
+    # that a text with very many links is split in the joins that follow
+    sketches = checkpoint(sigs.groupBy("c").agg(F.first("sketch").alias("sketch")).join(ends, "c", "left_semi"))
     pairs = links.join(sketches.select(F.col("c").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("c").alias("v"), F.col("sketch").alias("b")), "v")
     union = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
     both = F.size(F.array_intersect(F.col("union"), F.array_intersect("a", "b")))
@@ -353,6 +355,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = pairs.withColumn("union", union).filter((F.size("union") == 0) | (both >= least * F.size("union"))).select("u", "v")
     roots = connected_components(alike)
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least_id = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least_id = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
     where = named.join(least_id, "root").select("c", "component_id")
     return sigs.select("id", "c").join(where, "c", "left").select("id", "component_id")

@@ -128,7 +128,8 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     into blocks by their angle to a pivot, the member with the smallest id; block
     pairs are groups, but for those that the triangle inequality decides.
     """
-    size = members.groupBy("root").agg(F.count("*").alias("m"))
+    # small aggregates are checkpointed: a component with a third of the rows is then split in the joins with them
+    size = checkpoint(members.groupBy("root").agg(F.count("*").alias("m")))
     sized = members.join(size, "root")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
         return few.select("id", F.col("n").alias("n_links"))
 
     # blocks of a large component, cut along the angle to its pivot
-    pivot = members.join(large, "root").groupBy("root").agg(F.min_by("v", "id").alias("p"))
+    pivot = checkpoint(members.join(large, "root").groupBy("root").agg(F.min_by("v", "id").alias("p")))
     dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
     def norm(c: str):
@@ -160,7 +161,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     fine = F.floor(F.col("angle") / F.lit(np.pi) * steps)
     bins = placed.groupBy("root", fine.alias("bin")).agg(F.count("*").alias("c"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("c") / block))
-    bins = bins.withColumn("parts", parts.cast("int"))
+    bins = checkpoint(bins.withColumn("parts", parts.cast("int")))
     dealt = placed.withColumn("bin", fine).join(bins, ["root", "bin"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meta = checkpoint(dealt.groupBy("root", "bin", "part").agg(F.count("*").alias("c"), F.min("angle").alias("lo"), F.max("angle").alias("hi")))
     a, b = meta.alias("a"), meta.alias("b")
@@ -172,6 +173,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     both = checkpoint(both.select(F.col("a.root").alias("root"), F.col("a.bin").alias("abin"), F.col("a.part").alias("apart"), F.col("b.bin").alias("bbin"), F.col("b.part").alias("bpart"), F.col("a.c").alias("ac"), F.col("b.c").alias("bc"), same.alias("same"), sure.alias("sure")))
     # decided by the angles: every member of the one block links with every member of the other
     known = both.filter("sure").select(F.explode(F.expr("if(same, array(struct(root, abin as bin, apart as part, ac - 1 as n)), array(struct(root, abin as bin, apart as part, bc as n), struct(root, bbin as bin, bpart as part, ac as n)))")).alias("x")).select("x.*").groupBy("root", "bin", "part").agg(F.sum("n").alias("n"))
+    known = checkpoint(known)
     counted = dealt.select("root", "bin", "part", "id").join(known, ["root", "bin", "part"]).select("id", "n")
     # the others are compared, each pair of blocks a group of its own
     open_ = both.filter("not sure").withColumn("pair", F.monotonically_increasing_id()).select(F.explode(F.expr("if(same, array(struct(root, abin as bin, apart as part, pair, 0 as side)), array(struct(root, abin as bin, apart as part, pair, 0 as side), struct(root, bbin as bin, bpart as part, pair, 1 as side)))")).alias("x")).select("x.*")
