@@ -52,10 +52,12 @@ class Recorded:
         return self.templates.get(message) or self.other.extract(message)
 
     def is_constant(self, message: str, token: str) -> bool:
-        return self.constants.get((message, token), self.other.is_constant(message, token))
+        known = self.constants.get((message, token))
+        return self.other.is_constant(message, token) if known is None else known
 
     def same(self, first: str, second: str) -> bool:
-        return self.merges.get((first, second), self.other.same(first, second))
+        known = self.merges.get((first, second))
+        return self.other.same(first, second) if known is None else known
 
 
 class Chat:
