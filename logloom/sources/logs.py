@@ -48,7 +48,13 @@ def read_log(spark: SparkSession, path: str, fmt: LineFormat | str) -> DataFrame
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"))
     parsed = parse_lines(raw, fmt).withColumn("__row", F.monotonically_increasing_id())
     fields = compile_format(fmt).fields if isinstance(fmt, str) else fmt.fields
-    return number_lines(parsed, "__file", "__at", "__row").select("LineId", *[F.col(f"`{f}`") for f in fields])
+    # a split is a group of bounded size: rows are ranked inside it, and splits are counted
+    block = ["__file", "__at"]
+    ranked = parsed.withColumn("__k", F.row_number().over(Window.partitionBy(*block).orderBy("__row")))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    size = parsed.groupBy(*block).agg(F.count("*").alias("n")).withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = ranked.join(size, block).withColumn("LineId", F.col("__offset") + F.col("__k"))
+    return numbered.select("LineId", *[F.col(f"`{f}`") for f in fields])
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

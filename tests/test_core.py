@@ -189,3 +189,18 @@ def test_entry_has_sql_for_queries():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "mask_template_counts" in e.oracle_sql()
+
+
+def test_read_log_over_many_splits(spark, tmp_path):
+    rows = [f"[t{k}] p - {'bad' if k % 7 == 0 else 'm'} {k}" if k % 5 else "no header" for k in range(2000)]
+    (tmp_path / "a.log").write_text("\n".join(rows[:1500]) + "\n")
+    (tmp_path / "b.log").write_text("\n".join(rows[1500:]) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = [(r["LineId"], r["Time"]) for r in logs.read_log(spark, str(tmp_path), formats.FORMATS["Proxifier"]).orderBy("LineId").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == list(enumerate((f"t{k}" for k in range(2000) if k % 5), 1))
