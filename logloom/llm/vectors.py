@@ -8,7 +8,7 @@ forest inside each task; the forests of all passes are united into components.
 Links only run inside a component, so an exact count of each vector's links
 compares the members of its component with each other: in one block if there
 are few, else block against block, dealt to tasks. Blocks whose members'
-angles to a pivot prove them all linked, or not linked at all, are counted
+angles to the centre prove them all linked, or not linked at all, are counted
 without comparing anything.
 """
 
@@ -29,6 +29,8 @@ PASSES = 8
 WINDOW = 48
 #: Members of a component that are compared as one block.
 BLOCK = 1024
+#: Bins of the angle to a component's centre, over half a turn.
+ANGLE_BINS = 4096
 #: Slack on cosines near the threshold, beyond the rounding of double precision.
 EPS = 1e-9
 
@@ -121,12 +123,34 @@ def count_block(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[
     return hit.sum(axis=1), hit.sum(axis=0)
 
 
+def centres(members: DataFrame) -> DataFrame:
+    """(root, p): the sum of each component's unit vectors, added up where they lie first."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            roots, at = np.unique(b.column("root").to_numpy(), return_inverse=True)
+            total: dict[int, np.ndarray] = {}
+            t = pa.Table.from_batches([b])
+            for same in _by_dimension(t):  # members of a component have one length
+                x = unit(matrix(t.column("v").take(pa.array(same))))
+                for k in np.unique(at[same]):
+                    total[int(roots[k])] = x[at[same] == k].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["root", "v"])
+
+    parts = map_arrow(members.select("root", "v"), sums, "root long, v array<double>").select("root", F.posexplode("v").alias("k", "x"))
+    whole = parts.groupBy("root", "k").agg(F.sum("x").alias("x")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("l"))
+    return whole.select("root", F.transform("l", lambda e: e.x).alias("p"))
+
+
 def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(id, v, root) -> (id, n_links): links of each member inside its component.
 
-    Components of up to `block` members are one group. Larger ones are dealt
-    into blocks by their angle to a pivot, the member with the smallest id; block
-    pairs are groups, but for those that the triangle inequality decides.
+    Components of up to `block` members are one group. The members of larger ones
+    are put into bins by their angle to the centre. The triangle inequality shows
+    for most pairs of bins that all their members link, or none; the members of the
+    remaining pairs are compared, block against block.
     """
     # small aggregates are checkpointed: a component with a third of the rows is then split in the joins with them
     size = checkpoint(members.groupBy("root").agg(F.count("*").alias("m")))
@@ -147,37 +171,34 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     if large.isEmpty():
         return few.select("id", F.col("n").alias("n_links"))
 
-    # blocks of a large component, cut along the angle to its pivot
-    pivot = checkpoint(members.join(large, "root").groupBy("root").agg(F.min_by("v", "id").alias("p")))
+    # the members of a large component in bins by their angle to its centre
+    giant = checkpoint(sized.filter(F.col("m") > block).select("root", "id", "v"))
+    centre = checkpoint(centres(giant))
     dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
     def norm(c: str):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
 
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (norm("v") * norm("p")))))
-    placed = sized.filter(F.col("m") > block).join(pivot, "root").select("root", "id", "v", "m", angle.alias("angle"))
-    placed = checkpoint(placed)
-    steps = 4096
-    fine = F.floor(F.col("angle") / F.lit(np.pi) * steps)
-    bins = placed.groupBy("root", fine.alias("bin")).agg(F.count("*").alias("c"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("c") / block))
-    bins = checkpoint(bins.withColumn("parts", parts.cast("int")))
-    dealt = placed.withColumn("bin", fine).join(bins, ["root", "bin"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    meta = checkpoint(dealt.groupBy("root", "bin", "part").agg(F.count("*").alias("c"), F.min("angle").alias("lo"), F.max("angle").alias("hi")))
-    a, b = meta.alias("a"), meta.alias("b")
+    cosine = F.try_divide(dot, norm("v") * norm("p"))  # without a centre all are put at a right angle, which decides nothing
+    angle = F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))), F.lit(np.pi / 2))
+    placed = checkpoint(giant.join(centre, "root").select("root", "id", "v", angle.alias("angle")).withColumn("bin", F.floor(F.col("angle") / F.lit(np.pi) * ANGLE_BINS)))
+    bins = placed.groupBy("root", "bin").agg(F.count("*").alias("c"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    bins = checkpoint(bins.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("c") / block)).cast("int")))
+    dealt = placed.join(bins.select("root", "bin", "parts"), ["root", "bin"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    # pairs of bins, of which a component has a bounded number: those too far apart are left out
     limit = float(np.arccos(min(1.0, threshold)))
-    key = lambda s: F.struct(F.col(f"{s}.bin"), F.col(f"{s}.part"))
-    both = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("b.lo") - F.col("a.hi") <= limit + EPS) & (F.col("a.lo") - F.col("b.hi") <= limit + EPS) & (key("a") <= key("b")))
-    same = key("a") == key("b")
+    a, b = bins.alias("a"), bins.alias("b")
+    both = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.bin") <= F.col("b.bin")) & (F.col("b.lo") - F.col("a.hi") <= limit + EPS))
     sure = F.col("a.hi") + F.col("b.hi") < limit - EPS
-    both = checkpoint(both.select(F.col("a.root").alias("root"), F.col("a.bin").alias("abin"), F.col("a.part").alias("apart"), F.col("b.bin").alias("bbin"), F.col("b.part").alias("bpart"), F.col("a.c").alias("ac"), F.col("b.c").alias("bc"), same.alias("same"), sure.alias("sure")))
-    # decided by the angles: every member of the one block links with every member of the other
-    known = both.filter("sure").select(F.explode(F.expr("if(same, array(struct(root, abin as bin, apart as part, ac - 1 as n)), array(struct(root, abin as bin, apart as part, bc as n), struct(root, bbin as bin, bpart as part, ac as n)))")).alias("x")).select("x.*").groupBy("root", "bin", "part").agg(F.sum("n").alias("n"))
-    known = checkpoint(known)
-    counted = dealt.select("root", "bin", "part", "id").join(known, ["root", "bin", "part"]).select("id", "n")
+    both = checkpoint(both.select(F.col("a.root").alias("root"), F.col("a.bin").alias("abin"), F.col("b.bin").alias("bbin"), F.col("a.c").alias("ac"), F.col("b.c").alias("bc"), F.col("a.parts").alias("ap"), F.col("b.parts").alias("bp"), sure.alias("sure")))
+    # decided by the angles: every member of the one bin links with every member of the other
+    known = both.filter("sure").select(F.explode(F.expr("if(abin = bbin, array(struct(root, abin as bin, ac - 1 as n)), array(struct(root, abin as bin, bc as n), struct(root, bbin as bin, ac as n)))")).alias("x")).select("x.*")
+    known = checkpoint(known.groupBy("root", "bin").agg(F.sum("n").alias("n")))
+    counted = dealt.select("root", "bin", "id").join(known, ["root", "bin"]).select("id", "n")
     # the others are compared, each pair of blocks a group of its own
-    open_ = both.filter("not sure").withColumn("pair", F.monotonically_increasing_id()).select(F.explode(F.expr("if(same, array(struct(root, abin as bin, apart as part, pair, 0 as side)), array(struct(root, abin as bin, apart as part, pair, 0 as side), struct(root, bbin as bin, bpart as part, pair, 1 as side)))")).alias("x")).select("x.*")
-    sides = checkpoint(open_).join(dealt.select("root", "bin", "part", "id", "v"), ["root", "bin", "part"]).select("pair", "side", "id", "v").repartition("pair").sortWithinPartitions("pair", "side")
+    open_ = both.filter("not sure").select("root", "abin", "bbin", F.explode(F.expr("sequence(0, ap - 1)")).alias("pa"), "bp").select("root", "abin", "bbin", "pa", F.explode(F.expr("sequence(0, bp - 1)")).alias("pb")).filter("abin < bbin or pa <= pb")
+    open_ = open_.withColumn("pair", F.monotonically_increasing_id()).select(F.explode(F.expr("if(abin = bbin and pa = pb, array(struct(root, abin as bin, pa as part, pair, 2 as side)), array(struct(root, abin as bin, pa as part, pair, 0 as side), struct(root, bbin as bin, pb as part, pair, 1 as side)))")).alias("x")).select("x.*")
+    sides = checkpoint(open_).join(dealt, ["root", "bin", "part"]).select("pair", "side", "id", "v").repartition("pair").sortWithinPartitions("pair", "side")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in split_groups(batches, ["pair"], rows=2000):
@@ -187,7 +208,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 x = unit(matrix(t.column("v").slice(lo, hi - lo)))
                 m = int((side[lo:hi] == 0).sum())
-                if m == hi - lo:
+                if side[lo] == 2:  # a block with itself; one of two blocks may be empty
                     n[lo:hi], _ = count_block(x, None, threshold)
                 else:
                     n[lo : lo + m], n[lo + m : hi] = count_block(x[:m], x[m:], threshold)

@@ -60,3 +60,13 @@ def test_edge_cases(spark):
     assert all(by[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9))
     assert by[None] == (0, None, False)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_component_without_a_centre(spark):
+    t = np.linspace(0, 2 * np.pi, 41)[:-1]  # a ring: neighbours link, the sum is zero
+    x = np.stack([np.cos(t), np.sin(t)], axis=1)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "id long, v array<double>, root long")
+    got = {r["id"]: r["n_links"] for r in vectors.exact_links(df, 0.95, 8).collect()}
+    assert got == {k: 4 for k in range(40)}
+    exact = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [-1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [-1.0, 0.0], 0)], "id long, v array<double>, root long")
+    assert {r["id"]: r["n_links"] for r in vectors.exact_links(exact, 0.95, 2).collect()} == dict.fromkeys(range(4), 1)
