@@ -180,7 +180,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
 
     cosine = F.try_divide(dot, norm("v") * norm("p"))  # without a centre all are put at a right angle, which decides nothing
-    angle = F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))), F.lit(np.pi / 2))
+    angle = F.when(cosine.isNull(), F.lit(np.pi / 2)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
     placed = checkpoint(giant.join(centre, "root").select("root", "id", "v", angle.alias("angle")).withColumn("bin", F.floor(F.col("angle") / F.lit(np.pi) * ANGLE_BINS)))
     bins = placed.groupBy("root", "bin").agg(F.count("*").alias("c"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     bins = checkpoint(bins.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("c") / block)).cast("int")))
