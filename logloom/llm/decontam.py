@@ -121,6 +121,7 @@ class Benchmark:
     item: np.ndarray
     pos: np.ndarray
     width: int
+    length: np.ndarray  # tokens of each item
     short: np.ndarray  # items with fewer than `width` tokens
 
     @classmethod
@@ -135,7 +136,7 @@ class Benchmark:
         once[len(keys) // 2 :] = keys[len(keys) // 2 :] != keys[: len(keys) // 2]
         keys, item, pos = keys[once], item[once], pos[once]
         order = np.argsort(keys, kind="stable")
-        return cls(ids, items, np.array([len(h) for h in hs]), keys[order], item[order], pos[order], width, np.flatnonzero([0 < len(c.shape) < width for c in items]))
+        return cls(ids, items, np.array([len(h) for h in hs]), keys[order], item[order], pos[order], width, np.array([len(c.shape) for c in items], dtype=np.int64), np.flatnonzero([0 < len(c.shape) < width for c in items]))
 
     def hits(self, text: str, cover: float, agree: float) -> list[tuple[int, float, int, int]]:
         """(item, share found, first and last token of the alignment) of each item in the text."""
@@ -155,7 +156,7 @@ class Benchmark:
             n = np.searchsorted(self.keys, h[hit], side="right") - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             p, item, t = np.repeat(hit, n), self.item[at], self.pos[at]
-            ok = np.array([len(self.items[k].shape) == widths if widths < self.width else len(self.items[k].shape) >= self.width for k in range(len(self.items))])[item]
+            ok = self.length[item] == widths if widths < self.width else self.length[item] >= self.width
             p, item, t = p[ok], item[ok], t[ok]
             for k in np.unique(item):
                 m = item == k
