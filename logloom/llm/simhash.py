@@ -339,7 +339,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     sigs = checkpoint(map_arrow(src, run, "id long, fp long, c long, sketch array<long>"))
     classes = checkpoint(sigs.groupBy("c", "fp").agg(F.min("id").alias("least")))
-    heads = classes.groupBy("fp").agg(F.min("c").alias("c"), F.count("*").alias("n"))
+    heads = checkpoint(classes.groupBy("fp").agg(F.min("c").alias("c"), F.count("*").alias("n")))
     stars = classes.join(heads.filter("n > 1").select("fp", F.col("c").alias("v")), "fp").select(F.col("c").alias("u"), "v").filter("u != v")
     links = trie_links(heads.select("fp"), budget, hot).distinct()
     links = links.join(heads.select(F.col("fp").alias("u"), F.col("c").alias("cu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("c").alias("cv")), "v")
