@@ -99,14 +99,15 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     Null html is an empty payload. A row with a null id revisits an equal payload
     that has an id; where none has, it is a response. Repeated rows are each
-    written. Only a digest and an id for each payload are aggregated; the join
-    that brings them back has one row for a digest on that side, so a payload
-    that fills a third of the table is split by adaptive execution.
+    written. Only digests that occur twice come back to the rows, one row each, so
+    that Spark may broadcast them by their size, or split a payload that fills a
+    third of the table.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    largest = src.groupBy("digest").agg(F.max("page_id").alias("keep"))
+    twice = src.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    largest = checkpoint(twice)  # an exchange of its own then, or a broadcast if it is small
     again = F.when((F.octet_length("payload") >= min_bytes) & ~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep"))
-    marked = src.join(largest, "digest").select("page_id", "row", "url", "payload", again.alias("refers_to"))
+    marked = src.join(largest, "digest", "left").select("page_id", "row", "url", "payload", again.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
