@@ -26,6 +26,8 @@ SEGMENT = 32 << 10
 CHUNK = 8 << 10
 #: Records of one archive file, at most; with the segment size this bounds a file.
 FILE_RECORDS = 20_000
+#: Digests of repeated payloads that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_DIGESTS = 100_000
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -99,13 +101,15 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     Null html is an empty payload. A row with a null id revisits an equal payload
     that has an id; where none has, it is a response. Repeated rows are each
-    written. Only digests that occur twice come back to the rows, one row each, so
-    that Spark may broadcast them by their size, or split a payload that fills a
-    third of the table.
+    written. Only digests that occur twice come back to the rows, one row each: up to
+    BROADCAST_DIGESTS of them by broadcast, more by a shuffle in which a payload
+    that fills a third of the table may be split.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     twice = src.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    largest = checkpoint(twice)  # an exchange of its own then, or a broadcast if it is small
+    largest = checkpoint(twice)  # an exchange of its own then
+    if largest.count() <= BROADCAST_DIGESTS:
+        largest = F.broadcast(largest)  # the payloads stay where they are
     again = F.when((F.octet_length("payload") >= min_bytes) & ~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep"))
     marked = src.join(largest, "digest", "left").select("page_id", "row", "url", "payload", again.alias("refers_to"))
 
