@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import checkpoint, map_arrow, split_groups
+from logloom.llm.common import checkpoint, local_components, map_arrow, split_groups
 from logloom.llm.components import connected_components
 
 BITS = 64
@@ -293,67 +293,126 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SHINGLE = 5
 SIMILAR = 0.8
 COPY_BUDGET = 8
-#: Shingle hashes kept for the similarity check. Texts whose shingles together are
-#: no more than that are compared exactly; larger ones by an estimate, which may
-#: fall short of the similarity by SHORT (two standard errors).
-SKETCH = 64
-SHORT = 0.1
+#: Texts of a fingerprint component that are compared as one block, with themselves or with another block.
+COPY_BLOCK = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def text_sketch(text: bytes | None, k: int = SHINGLE, size: int = SKETCH) -> tuple[int, int, np.ndarray]:
-    """(fingerprint of the set of words, hash of the word sequence, smallest shingle hashes)."""
+def text_print(text: bytes | None) -> tuple[int, int]:
+    """(fingerprint of the set of words, hash of the word sequence)."""
     words = text.lower().split() if text else []
     if not words:
-        return 0, 0, np.zeros(0, dtype=np.int64)
+        return 0, 0
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
-    one = np.unique(h)
+    one = np.unique(np.fromiter(map(digest, words), dtype=np.uint64, count=len(words)))
     seen = np.bincount((one.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     fp = int.from_bytes(np.packbits((seen * 2 > len(one)).ravel(), bitorder="little").tobytes(), "little")
+    return fp, digest(b" ".join(words))
+
+
+def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles of the whole text, ascending, each once."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     n = min(k, len(words))
     s = np.full(len(words) - n + 1, n, dtype=np.uint64)
     for i in range(n):
         s = (s ^ h[i : i + len(s)]) * _MUL
         s ^= s >> np.uint64(31)
-    s = np.unique(s >> np.uint64(1))[:size].view(np.int64)
-    return fp, digest(b" ".join(words)), s
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = COPY_BUDGET, similar: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    return np.unique(s >> np.uint64(1)).view(np.int64)
+
+
+def similar_pairs(fp: np.ndarray, sets: list[np.ndarray], left: int, budget: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within `budget` bits whose sets have the similarity: of one of the first
+    `left` members with one of the others, or of any two if `left` is their number."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(sets)
+    _, flat = np.unique(flat, return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, dtype=np.int64)
+    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    cross = left < len(sets)
+    for i in range(left):
+        j = np.arange(left if cross else i + 1, len(sets))
+        j = j[np.bitwise_count(fp[j] ^ fp[i]) <= budget]
+        j = j[(size[j] >= similar * size[i]) & (size[i] >= similar * size[j])]
+        if not len(j):
+            continue
+        mine = flat[start[i] : start[i] + size[i]]
+        mark[mine] = 1
+        n = size[j]
+        at = np.repeat(start[j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # no set is empty: texts without words are one text
+        both = np.add.reduceat(mark[flat[at]], np.cumsum(n) - n)
+        mark[mine] = 0
+        j = j[both >= similar * (size[i] + n - both)]
+        us.append(np.full(len(j), i))
+        vs.append(j)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = COPY_BUDGET, similar: float = SIMILAR, hot: int = HOT, block: int = COPY_BLOCK) -> DataFrame:
     """One row per input row: (id, component_id) of texts joined by near-copy links.
 
-    Candidates are fingerprints of word sets within `budget` bits, linked by the
-    trie join; each link is then checked by the similarity of the texts' sets of
-    five-word shingles (texts of fewer words: one shingle; no words: all alike).
+    Two different texts link if the fingerprints of their word sets are within
+    `budget` bits and the sets of their five-word shingles (texts of fewer words:
+    one shingle) have the similarity, exactly and over the whole texts. The trie
+    join gives the components of the fingerprints; every such pair lies in one of
+    them, and each text of a component is compared with each other one, block
+    against block, dealt to tasks. Shingles are made in a second pass, of one row
+    of each text in a component of several. Texts without words are all alike.
     component_id is the smallest id of the component; null ids and repeated rows
     as in near_duplicates.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_sketch(t) for t in b.column(1).to_pylist()]
-            fp, c = (np.array([g[k] for g in got], dtype=np.uint64).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(c), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["id", "fp", "c", "sketch"])
+            got = [text_print(t) for t in b.column(2).to_pylist()]
+            fp, c = (pa.array(np.array([g[k] for g in got], dtype=np.uint64).view(np.int64)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, c], names=["id", "row", "fp", "c"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    sigs = checkpoint(map_arrow(src, run, "id long, fp long, c long, sketch array<long>"))
-    classes = checkpoint(sigs.groupBy("c", "fp").agg(F.min("id").alias("least")))
-    heads = checkpoint(classes.groupBy("fp").agg(F.min("c").alias("c"), F.count("*").alias("n")))
-    stars = classes.join(heads.filter("n > 1").select("fp", F.col("c").alias("v")), "fp").select(F.col("c").alias("u"), "v").filter("u != v")
-    links = trie_links(heads.select("fp"), budget, hot).distinct()
-    links = links.join(heads.select(F.col("fp").alias("u"), F.col("c").alias("cu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("c").alias("cv")), "v")
-    links = checkpoint(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).unionByName(stars))
-    ends = links.select(F.explode(F.array("u", "v")).alias("c")).distinct()
-    # aggregated first, so that copies combine before the shuffle; checkpointed, so
-    # that a text with very many links is split in the joins that follow
-    sketches = checkpoint(sigs.groupBy("c").agg(F.first("sketch").alias("sketch")).join(ends, "c", "left_semi"))
-    pairs = links.join(sketches.select(F.col("c").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("c").alias("v"), F.col("sketch").alias("b")), "v")
-    union = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
-    both = F.size(F.array_intersect(F.col("union"), F.array_intersect("a", "b")))
-    least = F.when(F.size(F.array_union("a", "b")) < SKETCH, F.lit(similar)).otherwise(F.lit(similar - SHORT))
-    alike = pairs.withColumn("union", union).filter((F.size("union") == 0) | (both >= least * F.size("union"))).select("u", "v")
-    roots = connected_components(alike)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["c", "s"])
+
+    # `row` finds a row again: its key is crowded only where whole rows repeat
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("t"))
+    sigs = checkpoint(map_arrow(src, prints, "id long, row long, fp long, c long"))
+    classes = checkpoint(sigs.groupBy("c", "fp").agg(F.min("id").alias("least"), F.min("row").alias("row")))
+    crowds = connected_components(trie_links(classes.select("fp").distinct(), budget, hot)).withColumnRenamed("node", "fp")
+    placed = classes.join(crowds, "fp", "left").select("row", "c", "fp", F.coalesce("root", "fp").alias("root"))
+    # small aggregates are checkpointed: a crowd of very many texts is then split in the join
+    crowd = checkpoint(placed.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1").withColumn("parts", F.ceil(F.col("m") / block).cast("int")).drop("m"))
+    members = checkpoint(placed.join(crowd, "root").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))
+    known = map_arrow(src.select("row", "t").join(members.select("row", "c"), "row").select("c", "t"), sets, "c long, s array<long>")
+    known = checkpoint(known.groupBy("c").agg(F.first("s").alias("s")))  # whole rows may repeat
+    whole = members.join(known, "c").select("root", "parts", "part", "c", "fp", "s")
+    sides = whole.select("root", "part", "c", "fp", "s", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    sides = sides.select("root", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"), "part", "c", "fp", "s").repartition("root", "pa", "pb").sortWithinPartitions("root", "pa", "pb", "part", "c")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in split_groups(batches, ["root", "pa", "pb"], rows=2 * block):
+            root, first, second, part, c, fp = (t.column(k).to_numpy() for k in ("root", "pa", "pb", "part", "c", "fp"))
+            new = np.ones(len(c) + 1, dtype=bool)
+            new[1:-1] = (root[1:] != root[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            cut = np.flatnonzero(new)
+            us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                left = int((part[a:b] == first[a]).sum())
+                if first[a] != second[a] and not 0 < left < b - a:
+                    continue
+                s = t.column("s").slice(a, b - a).combine_chunks()
+                at, flat = s.offsets.to_numpy(), s.values.to_numpy()
+                i, j = similar_pairs(fp[a:b].view(np.uint64), [flat[p:q] for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], left, budget, similar)
+                label = local_components(b - a, i, j)  # pairs that passed, as a forest
+                got = np.flatnonzero(label != np.arange(b - a))
+                us.append(c[a:b][got])
+                vs.append(c[a:b][label[got]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    roots = connected_components(map_arrow(sides, compare, "u long, v long"))
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least_id = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
     where = named.join(least_id, "root").select("c", "component_id")

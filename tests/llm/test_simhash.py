@@ -100,3 +100,24 @@ def test_near_copies(spark):
     got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(got[d] == min(x for x, y in truth.items() if y == g) for d, g in truth.items())
     assert (got[1000], got[1001], got[1002], got[1003]) == (1000, 1001, 1002, 1002)
+
+
+def exact_similarity(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_below_the_similarity_stay_apart(spark):
+    rng = np.random.default_rng(11)
+    docs, pairs = [], []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 2000, 300)]
+        copy = list(base)
+        for k in range(20, 300, 300 // 9):  # nine edits: 45 of 296 shingles, a similarity of 0.74
+            copy[k] = f"x{g}"
+        pairs.append((2 * g, 2 * g + 1))
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    text = dict(docs)
+    assert all(0.7 < exact_similarity(text[a], text[b]) < 0.8 for a, b in pairs)
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d for d in text}
