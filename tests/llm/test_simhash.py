@@ -121,3 +121,23 @@ def test_near_copies_below_the_similarity_stay_apart(spark):
     assert all(0.7 < exact_similarity(text[a], text[b]) < 0.8 for a, b in pairs)
     got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: d for d in text}
+
+
+def test_near_copies_links_every_near_pair(spark):
+    rng = np.random.default_rng(5)
+    docs = []
+    for g in range(12):  # copies of one base: they link with it, and by chance with one another
+        base = [f"g{g}w{k}" for k in rng.integers(0, 2000, 300)]
+        for c in range(14):
+            copy = list(base)
+            for k in rng.integers(0, 300, 0 if c == 0 else 1 + c):
+                copy[k] = f"x{k}"
+            docs.append((100 * g + c, " ".join(copy)))
+    docs += [(5000, "a b c d e f g h"), (5001, "b a c d e f g h"), (5002, "c d e f g h a b"), (5003, "c d e f g h a b a")]  # one set of words
+    fps = [simhash.text_print(t.encode())[0] for _, t in docs]
+    near = [(i, j) for j in range(len(docs)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 8 and exact_similarity(docs[i][1], docs[j][1]) >= 0.8]
+    label = local_components(len(docs), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    want = {docs[k][0]: docs[x][0] for k, x in enumerate(label.tolist())}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (4, simhash.COPY_BLOCK):
+        assert {r["id"]: r["component_id"] for r in simhash.near_copies(df, block=block).collect()} == want
