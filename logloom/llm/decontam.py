@@ -13,6 +13,7 @@ verbatim copy and in a question whose parameters were exchanged throughout.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,9 +146,14 @@ class Benchmark:
             return []
         out = []
         for widths in {self.width, *(len(self.items[k].shape) for k in self.short)}:
-            h = windows(doc.shape, widths)
             if widths > len(doc.shape):
                 continue
+            h = windows(doc.shape, widths)
+            where = np.arange(len(h))
+            if (doc.plain != doc.shape).any():  # names also as words: how an item without capitals has them
+                other = windows(doc.plain, widths)
+                new = np.flatnonzero(other != h)
+                h, where = np.concatenate([h, other[new]]), np.concatenate([where, new])
             lo = np.searchsorted(self.keys, h, side="left")
             hit = np.flatnonzero((lo < len(self.keys)) & (self.keys[np.minimum(lo, len(self.keys) - 1)] == h)) if len(self.keys) else []
             if not len(hit):
@@ -155,7 +161,7 @@ class Benchmark:
             lo = lo[hit]
             n = np.searchsorted(self.keys, h[hit], side="right") - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            p, item, t = np.repeat(hit, n), self.item[at], self.pos[at]
+            p, item, t = np.repeat(where[hit], n), self.item[at], self.pos[at]
             ok = self.length[item] == widths if widths < self.width else self.length[item] >= self.width
             p, item, t = p[ok], item[ok], t[ok]
             for k in np.unique(item):
@@ -168,35 +174,81 @@ class Benchmark:
         return out
 
     def _aligned(self, doc: Canonical, k: int, p: np.ndarray, t: np.ndarray, cover: float, agree: float) -> tuple[int, float, int, int] | None:
-        """The first alignment with enough windows and consistent slots."""
-        diag = p - t
-        order = np.lexsort((t, diag))
-        p, t, diag = p[order], t[order], diag[order]
+        """The alignment with most windows of those with enough windows and consistent slots."""
+        diag, t = np.unique(np.stack([p - t, t]), axis=1)  # a window may be met by its names and by its words
         need = cover * self.count[k]
+        last = min(self.width, len(self.items[k].shape)) - 1
         best = None
-        tried = -1
-        for d in np.unique(diag):
+        lines, first, size = np.unique(diag, return_index=True, return_counts=True)
+        # straight alignments, fullest first
+        for m in np.argsort(-size, kind="stable"):
+            if size[m] < need or (best is not None and size[m] <= best[1] * self.count[k]):
+                break
+            x = t[first[m] : first[m] + size[m]]
+            if self._consistent(doc, k, x + lines[m], x, agree):
+                best = (k, float(size[m] / self.count[k]), int(x[0] + lines[m]), int(x[-1] + lines[m]) + last)
+        if best is not None and best[1] == 1.0:
+            return best
+        # those that shift by words put in or left out
+        for d in lines:
             a, b = np.searchsorted(diag, d), np.searchsorted(diag, d + DRIFT, side="right")
-            if b <= tried or b - a < need:
+            if diag[b - 1] == d or b - a < need or len(np.unique(t[a:b])) < need:
                 continue
-            share = len(np.unique(t[a:b])) / self.count[k]
-            if share >= cover and (best is None or share > best[1]) and self._consistent(doc, k, p[a:b], t[a:b], agree):
-                best = (k, float(share), int(p[a:b].min()), int(p[a:b].max()) + min(self.width, len(self.items[k].shape)) - 1)
-                if share == 1.0:
-                    break
+            pp, tt = self._chain(doc, k, diag[a:b] - d, t[a:b], int(d))
+            share = len(tt) / self.count[k]
+            if share >= cover and (best is None or share > best[1]) and self._consistent(doc, k, pp, tt, agree):
+                best = (k, float(share), int(pp[0]), int(pp[-1]) + last)
         return best
 
+    def _chain(self, doc: Canonical, k: int, shift: np.ndarray, t: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the document and in the item of the longest chain of windows that
+        rises in both; of equal ones that with more windows as written, then fewer shifts."""
+        c = self.items[k]
+        w = min(self.width, len(c.shape))
+        order = np.lexsort((shift, t))
+        same = (c.value[t[order][:, None] + np.arange(w)] == doc.value[(t + shift + d)[order][:, None] + np.arange(w)]).all(axis=1)
+        # by shift: for each window its place, and the best chain up to it, which only gets better
+        at: list[list[int]] = [[] for _ in range(DRIFT + 1)]
+        top: list[list[tuple[float, int]]] = [[] for _ in range(DRIFT + 1)]
+        back = np.full(len(order), -1)
+        for n, (x, s, e) in enumerate(zip(t[order].tolist(), shift[order].tolist(), same.tolist(), strict=True)):
+            score, came = 0.0, -1
+            for r in range(DRIFT + 1):
+                m = bisect_left(at[r], min(x, x + s - r)) - 1
+                if m >= 0 and (got := top[r][m][0] - (1e-6 if r != s else 0.0)) > score:
+                    score, came = got, top[r][m][1]
+            back[n] = came
+            score += 1.001 if e else 1.0
+            at[s].append(x)
+            top[s].append(max((score, n), top[s][-1] if top[s] else (0.0, -1), key=lambda v: v[0]))
+        n = max((v[-1] for v in top if v), key=lambda v: v[0])[1]
+        path = []
+        while n >= 0:
+            path.append(n)
+            n = int(back[n])
+        at_ = order[path[::-1]]
+        return t[at_] + shift[at_] + d, t[at_]
+
     def _consistent(self, doc: Canonical, k: int, p: np.ndarray, t: np.ndarray, agree: float) -> bool:
-        """Whether each slot value of the item meets one value of the document."""
+        """Whether each slot value of the item meets one value of the document.
+
+        The windows are one alignment, so one place of the item meets one of the
+        document. Without an ordinary word any numbers or names would fit: then
+        the values must be those of the item.
+        """
         c = self.items[k]
         w = min(self.width, len(c.shape))
         tt = (t[:, None] + np.arange(w)).ravel()
         pp = (p[:, None] + np.arange(w)).ravel()
-        s = c.slot[tt]
-        if not s.any():
+        tt, once = np.unique(tt, return_index=True)
+        pp = pp[once]
+        same = c.value[tt] == doc.value[pp]
+        if same.all():
             return True
-        pairs = np.unique(np.stack([tt[s], pp[s]]), axis=1)
-        theirs, ours = c.value[pairs[0]], doc.value[pairs[1]]
+        s = c.slot[tt]
+        if s.all():
+            return same.sum() >= agree * len(tt)
+        theirs, ours = c.value[tt[s]], doc.value[pp[s]]
         good = total = 0
         for v in np.unique(theirs):
             met = ours[theirs == v]

@@ -58,3 +58,26 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontam.flag(d, b).collect()] == [False]
     assert decontam.flag(d.limit(0), d.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+SERIES = "What is the next number in the series 2, 4, 6, 8, 10, 12, 14, 16?"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found"),
+    [
+        (SERIES, f"Some text. {SERIES} More text.", True),
+        (SERIES, f"Some text with 1 3 5 7 in it. {SERIES} And 7 8 9 10.", True),
+        (SERIES, "So what is the next number in the series 3, 5, 7, 9, 11, 13, 15, 17?", True),  # all exchanged
+        ("Find the mean and median of these values: 3 5 7 9 11 13 15 17 19 21", "First find the mean and median of these values: 3 5 7 9 11 13 15 17 19 21 now", True),
+        ("Who Wrote The Old Book About Green Rivers And Long Summer Nights", "Asked: Who Wrote The Old Book About Green Rivers And Long Summer Nights", True),
+        ("Who Wrote The Old Book About Green Rivers And Long Summer Nights", "we ask who wrote the old book about green rivers and long summer nights", True),
+        ("alice bought apples in paris and gave bob pears from london", "Then Alice bought apples in Paris and gave Bob pears from London.", True),
+        ("2 4 6 8 10 12 14 16", "numbers 2 4 6 8 10 12 14 16 here", True),
+        ("2 4 6 8 10 12 14 16", "numbers 3 5 7 9 11 13 15 17 here", False),  # no word, other numbers
+        (f"{ITEM} Now tell how many pears she has left in the end.", f"Now. {ITEM.replace('sold', 'quickly sold')} Now tell how many pears she has left in the end.", True),  # a word put in
+    ],
+)
+def test_runs_of_placeholders_and_capitals(item, text, found):
+    b = decontam.Benchmark.of([7], [item], decontam.WIDTH)
+    assert bool(b.hits(text, decontam.COVER, decontam.AGREE)) is found
