@@ -2,7 +2,7 @@
 
 Each pass hashes a vector with BITS random hyperplanes, orders all vectors
 lexicographically by the concatenated hash bits (a range partitioning, so equal
-or crowded keys spread over tasks) and compares every vector with its
+or crowded keys spread over tasks), deals the order out in runs and compares every vector with its
 `window` successors in double precision. Verified pairs are folded into a
 forest inside each task; the forests of all passes are united into components.
 Links only run inside a component, so an exact count of each vector's links
@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import checkpoint, local_components, map_arrow, split_groups
 from logloom.llm.components import connected_components
+from logloom.sources.logs import number_lines
 
 BITS = 62
 PASSES = 8
 WINDOW = 48
+#: Vectors of an ordering that are compared in one run, besides the window that follows.
+SPAN = 1024
 #: Members of a component that are compared as one block.
 BLOCK = 1024
 #: Bins of the angle to a component's centre, over half a turn.
@@ -75,7 +78,7 @@ def _by_dimension(t: pa.Table, name: str = "v") -> Iterator[np.ndarray]:
         yield np.flatnonzero(dims == d)
 
 
-def one_pass(rows: DataFrame, threshold: float, window: int, bits: int, seed: int) -> DataFrame:
+def one_pass(rows: DataFrame, threshold: float, window: int, bits: int, seed: int, span: int = SPAN) -> DataFrame:
     """(u, v) long: a forest of the pairs that one ordering brings together."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,11 @@ def one_pass(rows: DataFrame, threshold: float, window: int, bits: int, seed: in
                 tail_id, tail = ids[-window:], x[-window:]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    dealt = map_arrow(rows, keyed, "key long, id long, v array<double>").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    # runs of the order, each with the next `window` rows: a vector meets all its successors, whatever partition they are in
+    placed = number_lines(map_arrow(rows, keyed, "key long, id long, v array<double>"), "key", "id", name="rank")
+    run = F.floor((F.col("rank") - 1) / max(span, window))
+    runs = F.when((run > 0) & ((F.col("rank") - 1) % max(span, window) < window), F.array(run, run - 1)).otherwise(F.array(run))
+    dealt = placed.select(F.explode(runs).alias("run"), "rank", "id", "v").repartition("run").sortWithinPartitions("run", "rank").select("id", "v")
     return map_arrow(dealt, compare, "u long, v long")
 
 

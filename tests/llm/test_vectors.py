@@ -70,3 +70,15 @@ def test_component_without_a_centre(spark):
     assert got == {k: 4 for k in range(40)}
     exact = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [-1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [-1.0, 0.0], 0)], "id long, v array<double>, root long")
     assert {r["id"]: r["n_links"] for r in vectors.exact_links(exact, 0.95, 2).collect()} == dict.fromkeys(range(4), 1)
+
+
+def test_windows_reach_over_partitions(spark):
+    x = data(9, [(60, 0.05)])  # every two link
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = vectors.one_pass(df, 0.95, 1, vectors.BITS, 7).collect()  # with a window of one, only neighbours
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    label = local_components(60, np.array([r["u"] for r in links]), np.array([r["v"] for r in links]))
+    assert (label == 0).all()
