@@ -16,8 +16,9 @@ members are all joined already; a dense group never becomes all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -151,13 +152,33 @@ class Forest:
         return np.concatenate([none, *(x for x, _ in self.links)]), np.concatenate([none, *(y for _, y in self.links)])
 
 
-def trie_walk(values: np.ndarray, starts: list[tuple[int, int, int, int, int]], depth: int, limits: tuple[int, ...], forest: Forest, chunk: int = 1 << 17, leaf: int = 24) -> None:
+def _strips(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The node pairs in runs of about `most` pairs of members; larger ones cut into strips."""
+    size = (a1 - a0) * (b1 - b0)
+    for k in np.flatnonzero(size > most).tolist():
+        step = max(1, most // int(b1[k] - b0[k]))
+        for x in range(int(a0[k]), int(a1[k]), step):
+            y = min(x + step, int(a1[k]))
+            if a0[k] != b0[k]:
+                yield np.array([x]), np.array([y]), b0[k : k + 1], b1[k : k + 1]
+            else:  # within one node: the strip with itself, and with what follows
+                yield np.array([x, x]), np.array([y, y]), np.array([x, y]), np.array([y, int(b1[k])])
+    at = np.flatnonzero(size <= most)
+    run = np.cumsum(size[at]) // most
+    for part in np.split(at, np.flatnonzero(run[1:] != run[:-1]) + 1):
+        if len(part):
+            yield a0[part], a1[part], b0[part], b1[part]
+
+
+def trie_walk(values: np.ndarray, starts: list[tuple[int, int, int, int, int]], depth: int, limits: tuple[int, ...], forest: Forest, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, chunk: int = 1 << 17, leaf: int = 24, most: int = 1 << 21) -> None:
     """Walk node pairs of the trie over `values` and add links to the forest.
 
-    values: uint64, ascending within each start range. starts: node pairs (a0,
-    a1, b0, b1, errors so far) whose members agree above `depth` but for those
-    errors. Node pairs of up to `leaf` pairs of members are compared outright.
-    Work is done in parts of bounded size, deepest first.
+    values: uint64, ascending within each start range; values may repeat.
+    starts: node pairs (a0, a1, b0, b1, errors so far) whose members agree above
+    `depth` but for those errors. Node pairs of up to `leaf` pairs of members
+    are compared outright. check(i, j) tells which pairs within the budget may
+    link: only those enter the forest, so a pair that fails joins nothing. Work
+    is done in parts of bounded size, deepest first.
     """
     budget = limits[-1]
     ones: dict[int, np.ndarray] = {}
@@ -188,13 +209,18 @@ def trie_walk(values: np.ndarray, starts: list[tuple[int, int, int, int, int]],
         a0, a1, b0, b1, e = a0[open_], a1[open_], b0[open_], b1[open_], e[open_]
         small = ((a1 - a0) * (b1 - b0) <= leaf) | (d >= BITS)
         if small.any():
-            i, j = _expand(a0[small], a1[small], b0[small], b1[small])
-            n = np.bitwise_count(values[i] ^ values[j])
-            ok = n <= budget
-            found.append((i[ok], j[ok], n[ok]))
-            held += int(ok.sum())
-            if held > 1 << 16:
-                fold()
+            for strip in _strips(a0[small], a1[small], b0[small], b1[small], most):
+                i, j = _expand(*strip)
+                n = np.bitwise_count(values[i] ^ values[j])
+                ok = (n <= budget) & (forest.label[i] != forest.label[j])
+                i, j, n = i[ok], j[ok], n[ok]
+                if check is not None:
+                    ok = check(i, j)
+                    i, j, n = i[ok], j[ok], n[ok]
+                found.append((i, j, n))
+                held += len(i)
+                if held > 1 << 16:
+                    fold()
             go = ~small
             a0, a1, b0, b1, e = a0[go], a1[go], b0[go], b1[go], e[go]
         if not len(a0):
@@ -216,13 +242,19 @@ def trie_walk(values: np.ndarray, starts: list[tuple[int, int, int, int, int]],
     fold()
 
 
-def _walk(plan: list[Arrangement]):
+def _walk(plan: list[Arrangement], named: bool, similar: float):
+    """Links of each group: between fingerprints, or between the named texts whose sketches allow the similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in split_groups(batches, ["r", "bucket", "na", "nb"]):
             r, bucket, na, nb, node = (t.column(k).to_numpy() for k in ("r", "bucket", "na", "nb", "node"))
             v = t.column("v").to_numpy().view(np.uint64)
             key = np.lexsort((v, node, nb, na, bucket, r))
             r, bucket, na, nb, node, v = r[key], bucket[key], na[key], nb[key], node[key], v[key]
+            check = None
+            if named:
+                sketch = np.stack([t.column(k).to_numpy().view(np.uint64)[key] for k in SKETCH], axis=1)
+                check = partial(may_be_similar, sketch, similar=similar)
             new = np.ones(len(v), dtype=bool)
             new[1:] = (r[1:] != r[:-1]) | (bucket[1:] != bucket[:-1]) | (na[1:] != na[:-1]) | (nb[1:] != nb[:-1])
             first = np.flatnonzero(new)
@@ -238,8 +270,12 @@ def _walk(plan: list[Arrangement]):
                         todo.setdefault((k, plan[k].exact + SPLIT_BITS), []).append((a, m, m, b, (x ^ y).bit_count()))
             forest = Forest(len(v))
             for (k, depth), starts in todo.items():
-                trie_walk(v, starts, depth, plan[k].limits, forest)
+                trie_walk(v, starts, depth, plan[k].limits, forest, check)
             i, j = forest.edges()
+            if named:
+                c = t.column("c").to_numpy()[key]
+                yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j])], names=["u", "v"])
+                continue
             plain = np.zeros(len(v), dtype=np.uint64)
             for k, arranged in enumerate(plan):
                 at = np.flatnonzero(r == k)
@@ -249,16 +285,21 @@ def _walk(plan: list[Arrangement]):
     return run
 
 
-def trie_links(fps: DataFrame, budget: int = 2, hot: int = HOT) -> DataFrame:
+def trie_links(fps: DataFrame, budget: int = 2, hot: int = HOT, similar: float | None = None) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (u, v) of at most `budget` bits that
-    join all that such links join: the shortest ones found in each group."""
+    join all that such links join: the shortest ones found in each group.
+
+    With `similar`, rows are texts (fp, c long, and the words of SKETCH), links
+    are between their c, and texts link only if their sketches allow the similarity.
+    """
     plan = arrangements(budget)
+    own = [] if similar is None else ["c", *SKETCH]
 
     def text(values: list) -> str:
         return f"array({', '.join(map(str, values))})"
 
     roots = [f"named_struct('r', {k}, 'bucket', shiftrightunsigned({x.sql()}, {BITS - x.exact}), 'v', {x.sql()})" for k, x in enumerate(plan)]
-    nodes = fps.select(F.explode(F.expr(text(roots))).alias("x")).select("x.*")
+    nodes = fps.select(*own, F.explode(F.expr(text(roots))).alias("x")).select("x.*", *own)
     crowd = nodes.groupBy("r", "bucket").count().filter(F.col("count") > 1)
     nodes = nodes.join(crowd, ["r", "bucket"])
     cut = F.expr(f"cast(shiftrightunsigned(v, {BITS - SPLIT_BITS} - element_at({text([x.exact for x in plan])}, r + 1)) & {2**SPLIT_BITS - 1} as int)")
@@ -266,9 +307,9 @@ def trie_links(fps: DataFrame, budget: int = 2, hot: int = HOT) -> DataFrame:
     masks = [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(SPLIT_BITS), n)]
     around = F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.least(cut, cut.bitwiseXOR(m)).alias("na"), F.greatest(cut, cut.bitwiseXOR(m)).alias("nb")))
     whole = F.array(F.struct(F.lit(-1).alias("na"), F.lit(-1).alias("nb")))
-    nodes = nodes.select("r", "bucket", "v", cut.alias("node"), F.explode(F.when(F.col("count") > hot, around).otherwise(whole)).alias("x")).select("r", "bucket", "x.na", "x.nb", "node", "v")
+    nodes = nodes.select("r", "bucket", "v", cut.alias("node"), *own, F.explode(F.when(F.col("count") > hot, around).otherwise(whole)).alias("x")).select("r", "bucket", "x.na", "x.nb", "node", "v", *own)
     dealt = nodes.repartition("r", "bucket", "na", "nb").sortWithinPartitions("r", "bucket", "na", "nb")
-    return map_arrow(dealt, _walk(plan), "u long, v long")
+    return map_arrow(dealt, _walk(plan, similar is not None, similar or 0.0), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, budget: int = 2, hot: int = HOT) -> DataFrame:
@@ -293,40 +334,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SHINGLE = 5
 SIMILAR = 0.8
 COPY_BUDGET = 8
-#: Texts of a fingerprint component that are compared as one block, with themselves or with another block.
-COPY_BLOCK = 256
+#: Texts, and shingles, of a component that are compared as one block, with themselves or with another block.
+COPY_BLOCK = 1024
+COPY_SHINGLES = 1 << 20
+#: Words of a sketch: 64 bins of four bits.
+SKETCH = ("s0", "s1", "s2", "s3")
+#: Standard errors by which a sketch may fall short of the similarity: about one pair in 30,000 falls shorter.
+SLACK = 4.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0x1111111111111111)
+_BINS = np.arange(64, dtype=np.int64) << np.int64(57)
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """From the hashes of a text's words: those of its shingles, ascending, each once."""
+    n = min(k, len(h))
+    s = np.full(len(h) - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        s = (s ^ h[i : i + len(s)]) * _MUL
+        s ^= s >> np.uint64(31)
+    return np.unique(s >> np.uint64(1)).view(np.int64)
 
 
-def text_print(text: bytes | None) -> tuple[int, int]:
-    """(fingerprint of the set of words, hash of the word sequence)."""
+def _word_hashes(text: bytes | None) -> tuple[list[bytes], np.ndarray]:
     words = text.lower().split() if text else []
-    if not words:
-        return 0, 0
-    digest = xxhash.xxh64_intdigest
-    one = np.unique(np.fromiter(map(digest, words), dtype=np.uint64, count=len(words)))
-    seen = np.bincount((one.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
-    fp = int.from_bytes(np.packbits((seen * 2 > len(one)).ravel(), bitorder="little").tobytes(), "little")
-    return fp, digest(b" ".join(words))
+    return words, np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Hashes of all shingles of the whole text, ascending, each once."""
-    words = text.lower().split() if text else []
+    _, h = _word_hashes(text)
+    return _shingles(h, k) if len(h) else np.zeros(0, dtype=np.int64)
+
+
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Four words: for each of 64 bins four bits of its least shingle hash, 0 for an empty bin."""
+    at = np.searchsorted(s, _BINS)
+    least = s[np.minimum(at, len(s) - 1)] if len(s) else np.full(64, -1)
+    here = (at < len(s)) & (least >> np.int64(57) == np.arange(64))
+    bits = np.where(here, 1 + (least % 1_000_003) % 15, 0).astype(np.uint64).reshape(4, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+def _nibbles(x: np.ndarray) -> np.ndarray:
+    """How many groups of four bits are not zero."""
+    x = x | (x >> np.uint64(2))
+    return np.bitwise_count((x | (x >> np.uint64(1))) & _LOW).sum(axis=1).astype(np.int64)
+
+
+def may_be_similar(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similar: float) -> np.ndarray:
+    """Whether the sketches of each pair are as alike as texts of that similarity are, but for SLACK."""
+    a, b = sketch[i], sketch[j]
+    used = _nibbles(a | b)
+    return used - _nibbles(a ^ b) >= similar * used - SLACK * np.sqrt(similar * (1 - similar) * used)
+
+
+def text_print(text: bytes | None) -> tuple[int, int, int, np.ndarray]:
+    """(fingerprint of the set of words, hash of the word sequence, number of shingles, sketch of the shingles)."""
+    words, h = _word_hashes(text)
     if not words:
-        return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    n = min(k, len(words))
-    s = np.full(len(words) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        s = (s ^ h[i : i + len(s)]) * _MUL
-        s ^= s >> np.uint64(31)
-    return np.unique(s >> np.uint64(1)).view(np.int64)
+        return 0, 0, 0, np.zeros(4, dtype=np.uint64)
+    one = np.unique(h)
+    seen = np.bincount((one.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+    fp = int.from_bytes(np.packbits((seen * 2 > len(one)).ravel(), bitorder="little").tobytes(), "little")
+    s = _shingles(h, SHINGLE)
+    return fp, xxhash.xxh64_intdigest(b" ".join(words)), len(s), sketch_of(s)
 
 
 def similar_pairs(fp: np.ndarray, sets: list[np.ndarray], left: int, budget: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within `budget` bits whose sets have the similarity: of one of the first
-    `left` members with one of the others, or of any two if `left` is their number."""
+    """Pairs within `budget` bits whose sets have the similarity, as many as join all
+    that such pairs join: of one of the first `left` members with one of the others,
+    or of any two if `left` is their number. A member meets one of each group that is
+    joined already, and the rest of the group only where that one does not pass."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets)
     _, flat = np.unique(flat, return_inverse=True)
@@ -334,44 +413,61 @@ def similar_pairs(fp: np.ndarray, sets: list[np.ndarray], left: int, budget: int
     mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, dtype=np.int64)
     us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     cross = left < len(sets)
+    label = np.arange(len(sets))
+
+    def passing(i: int, j: np.ndarray) -> np.ndarray:
+        n = size[j]
+        at = np.repeat(start[j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # no set is empty: texts without words are one text
+        both = np.add.reduceat(mark[flat[at]], np.cumsum(n) - n)
+        return j[both >= similar * (size[i] + n - both)]
+
     for i in range(left):
         j = np.arange(left if cross else i + 1, len(sets))
         j = j[np.bitwise_count(fp[j] ^ fp[i]) <= budget]
         j = j[(size[j] >= similar * size[i]) & (size[i] >= similar * size[j])]
-        if not len(j):
-            continue
         mine = flat[start[i] : start[i] + size[i]]
         mark[mine] = 1
-        n = size[j]
-        at = np.repeat(start[j] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        # no set is empty: texts without words are one text
-        both = np.add.reduceat(mark[flat[at]], np.cumsum(n) - n)
+        for step in (0, 1):
+            j = j[label[j] != label[i]]
+            if not len(j):
+                break
+            head = np.unique(label[j], return_index=True)[1] if step == 0 else np.arange(len(j))
+            got = passing(i, j[head])
+            if len(got):
+                us.append(np.full(len(got), i))
+                vs.append(got)
+                label[np.isin(label, label[got])] = label[i]
+            if step == 0:
+                j = np.delete(j, head)
         mark[mine] = 0
-        j = j[both >= similar * (size[i] + n - both)]
-        us.append(np.full(len(j), i))
-        vs.append(j)
     return np.concatenate(us), np.concatenate(vs)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = COPY_BUDGET, similar: float = SIMILAR, hot: int = HOT, block: int = COPY_BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = COPY_BUDGET, similar: float = SIMILAR, hot: int = HOT, block: int = COPY_BLOCK, weight: int = COPY_SHINGLES) -> DataFrame:
     """One row per input row: (id, component_id) of texts joined by near-copy links.
 
     Two different texts link if the fingerprints of their word sets are within
     `budget` bits and the sets of their five-word shingles (texts of fewer words:
     one shingle) have the similarity, exactly and over the whole texts. The trie
-    join gives the components of the fingerprints; every such pair lies in one of
-    them, and each text of a component is compared with each other one, block
-    against block, dealt to tasks. Shingles are made in a second pass, of one row
-    of each text in a component of several. Texts without words are all alike.
-    component_id is the smallest id of the component; null ids and repeated rows
-    as in near_duplicates.
+    join gives candidate components: its links are pairs within the budget whose
+    sketches allow the similarity, so texts that only look alike by their
+    fingerprints are not chained. Every link lies in such a component, and each
+    text of one is compared with each other one, block against block, dealt to
+    tasks; blocks have a bounded number of texts and of shingles. Shingles are
+    made again in a second pass, of one row of each text in a component of
+    several. Texts without words are all alike; repeated texts and very long ones
+    need nothing of their own. component_id is the smallest id of the component;
+    null ids and repeated rows as in near_duplicates. Columns other than the two
+    are ignored, whatever their names; an empty table gives an empty result.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [text_print(t) for t in b.column(2).to_pylist()]
             fp, c = (pa.array(np.array([g[k] for g in got], dtype=np.uint64).view(np.int64)) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, c], names=["id", "row", "fp", "c"])
+            sketch = np.array([g[3] for g in got], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, c, pa.array([g[2] for g in got], pa.int64()), *map(pa.array, sketch.T.copy())], names=["id", "row", "fp", "c", "n", *SKETCH])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,12 +475,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # `row` finds a row again: its key is crowded only where whole rows repeat
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("t"))
-    sigs = checkpoint(map_arrow(src, prints, "id long, row long, fp long, c long"))
-    classes = checkpoint(sigs.groupBy("c", "fp").agg(F.min("id").alias("least"), F.min("row").alias("row")))
-    crowds = connected_components(trie_links(classes.select("fp").distinct(), budget, hot)).withColumnRenamed("node", "fp")
-    placed = classes.join(crowds, "fp", "left").select("row", "c", "fp", F.coalesce("root", "fp").alias("root"))
+    sigs = checkpoint(map_arrow(src, prints, "id long, row long, fp long, c long, n long, " + ", ".join(f"{k} long" for k in SKETCH)))
+    classes = checkpoint(sigs.groupBy("c", "fp", "n", *SKETCH).agg(F.min("id").alias("least"), F.min("row").alias("row")))
+    crowds = connected_components(trie_links(classes.select("fp", "c", *SKETCH), budget, hot, similar)).withColumnRenamed("node", "c")
+    placed = classes.join(crowds, "c").select("row", "c", "fp", "n", "root")
     # small aggregates are checkpointed: a crowd of very many texts is then split in the join
-    crowd = checkpoint(placed.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1").withColumn("parts", F.ceil(F.col("m") / block).cast("int")).drop("m"))
+    crowd = checkpoint(placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int").alias("parts")))
     members = checkpoint(placed.join(crowd, "root").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))
     known = map_arrow(src.select("row", "t").join(members.select("row", "c"), "row").select("c", "t"), sets, "c long, s array<long>")
     known = checkpoint(known.groupBy("c").agg(F.first("s").alias("s")))  # whole rows may repeat
@@ -393,7 +489,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sides = sides.select("root", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"), "part", "c", "fp", "s").repartition("root", "pa", "pb").sortWithinPartitions("root", "pa", "pb", "part", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in split_groups(batches, ["root", "pa", "pb"], rows=2 * block):
+        for t in split_groups(batches, ["root", "pa", "pb"], rows=512):
             root, first, second, part, c, fp = (t.column(k).to_numpy() for k in ("root", "pa", "pb", "part", "c", "fp"))
             new = np.ones(len(c) + 1, dtype=bool)
             new[1:-1] = (root[1:] != root[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])

@@ -141,3 +141,56 @@ def test_near_copies_links_every_near_pair(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for block in (4, simhash.COPY_BLOCK):
         assert {r["id"]: r["component_id"] for r in simhash.near_copies(df, block=block).collect()} == want
+
+
+def test_sketches_let_similar_texts_pass():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 6, 20, 80, 300, 3000):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, n + 4)]
+        for edits in (0, 1, n // 60, n // 50):
+            copy = list(base)
+            for k in range(edits):
+                copy[(k * 45 + 3) % len(copy)] = f"x{k}"
+            a, b = " ".join(base), " ".join(copy)
+            if exact_similarity(a, b) >= 0.8:
+                s = np.stack([simhash.text_print(t.encode())[3] for t in (a, b)])
+                assert simhash.may_be_similar(s, np.array([0]), np.array([1]), 0.8).all()
+    texts = [" ".join(f"t{g}w{k}" for k in rng.integers(0, 500, 200)) for g in range(40)]
+    s = np.stack([simhash.text_print(t.encode())[3] for t in texts])
+    i, j = np.triu_indices(len(texts), 1)
+    assert not simhash.may_be_similar(s, i, j, 0.8).any()
+
+
+@pytest.mark.parametrize("most", [50, 1 << 21])
+def test_walk_meets_all_pairs_of_a_repeated_value(most):
+    rng = np.random.default_rng(1)
+    v = np.sort(np.repeat(np.array([5, 7, 1 << 40], dtype=np.uint64), [300, 40, 60]))
+    kind = rng.integers(0, 6, len(v))
+    forest = simhash.Forest(len(v))
+    simhash.trie_walk(v, [(0, len(v), 0, len(v), 0)], 0, tuple([2] * 65), forest, check=lambda i, j: kind[i] == kind[j], most=most)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 2
+    i, j = np.nonzero(near & (kind[:, None] == kind[None, :]))
+    assert (local_components(len(v), *forest.edges()) == local_components(len(v), i, j)).all()
+
+
+def test_near_copies_equal_brute_force_over_texts_with_like_words(spark):
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(60)]  # few words: most texts are near by fingerprint, few by shingles
+    docs = []
+    for g in range(400):
+        base = [words[k] for k in rng.integers(0, 60, 120)]
+        docs.append(" ".join(base))
+        for c in range(int(rng.integers(0, 8))):
+            copy = list(base)
+            if c == 3:
+                rng.shuffle(copy)
+            for k in rng.integers(0, 120, c % 4):
+                copy[k] = words[int(rng.integers(0, 60))]
+            docs.append(" ".join(copy))
+    fp = np.array([simhash.text_print(t.encode())[0] for t in docs], dtype=np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 8, 1))
+    ok = np.array([exact_similarity(docs[a], docs[b]) >= 0.8 for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    assert 0 < ok.sum() < len(ok) / 2
+    want = local_components(len(docs), i[ok], j[ok])
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), block=64).collect()}
+    assert [got[k] for k in range(len(docs))] == want.tolist()
