@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -81,3 +82,39 @@ SERIES = "What is the next number in the series 2, 4, 6, 8, 10, 12, 14, 16?"
 def test_runs_of_placeholders_and_capitals(item, text, found):
     b = decontam.Benchmark.of([7], [item], decontam.WIDTH)
     assert bool(b.hits(text, decontam.COVER, decontam.AGREE)) is found
+
+
+SHORT = "Which green river runs past the old stone mill before it meets the grey northern sea"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found"),
+    [
+        (SHORT, f"Well. {SHORT.replace('stone', 'wooden')} now", True),  # one word exchanged inside
+        (SHORT, f"Well. {SHORT.replace('stone ', '')} now", True),  # one left out
+        (SHORT, f"Well. {SHORT.replace('stone', 'wooden').replace('grey', 'cold')} now", True),
+        (SHORT, "Well. Which green river runs past the new town and then the grey hills of the northern sea", False),
+        (SHORT, " ".join(reversed(SHORT.split())), False),
+        # every slot stands once: words and shape decide
+        ("What is the distance in km between Paris and Rome?", "Tell me what is the distance in km between Oslo and Bergen?", True),
+    ],
+)
+def test_edits_of_short_items(item, text, found):
+    b = decontam.Benchmark.of([7], [item], decontam.WIDTH)
+    assert bool(b.hits(text, decontam.COVER, decontam.AGREE)) is found
+
+
+@pytest.mark.parametrize("kind", ["other", "same", "within", "zeros", "bits", "words"])
+def test_tables_of_numbers_take_no_time(kind):
+    rng = random.Random(7)
+    item = [str(rng.randrange(10**6)) for _ in range(10_000)]
+    text = {"other": [str(rng.randrange(10**6)) for _ in range(10_000)], "same": item, "within": [*map(str, range(9_000)), *item, *map(str, range(9_000))], "zeros": ["0"] * 20_000, "bits": [str(rng.randrange(2)) for _ in range(20_000)], "words": ["to", "be"] * 10_000}[kind]
+    if kind == "zeros":
+        item = ["0"] * 10_000
+    if kind == "words":
+        item = ["to", "be"] * 5_000
+    b = decontam.Benchmark.of([7], [" ".join(item)], decontam.WIDTH)
+    began = time.perf_counter()
+    found = b.hits(" ".join(text), decontam.COVER, decontam.AGREE)
+    assert time.perf_counter() - began < 4  # seconds; pairs of windows would be 100 million
+    assert bool(found) is (kind not in ("other", "bits"))
