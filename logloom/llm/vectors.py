@@ -214,8 +214,8 @@ def one_pass(keyed: DataFrame, p: int, threshold: float, window: int, kind: str,
         return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=names)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in split_groups(batches, ["b"], rows=2 * window):
-            b = t.column("b").to_numpy()
+        for t in split_groups(batches, ["run"], rows=2 * window):
+            b = t.column("run").to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 one = t.slice(lo, hi - lo)
@@ -230,11 +230,10 @@ def one_pass(keyed: DataFrame, p: int, threshold: float, window: int, kind: str,
     after = F.sum("n").over(Window.orderBy("part"))  # one row for each partition
     ends = checkpoint(size.withColumn("end", after).withColumn("start", F.col("end") - F.col("n")))
     edge = found.filter("v is not null").join(F.broadcast(ends.select("part", "start")), "part").select((F.col("start") + F.col("pos")).alias("rank"), F.col("u").alias("id"), "v")
-    step = F.floor(F.col("rank") / window)  # ends lie at most one step from the rows near them
-    near = F.broadcast(ends.select(F.col("part").alias("b"), "end", F.floor(F.col("end") / window).alias("step")))
-    met = edge.select("rank", "id", "v", F.explode(F.array(step - 1, step, step + 1)).alias("step")).join(near, "step")
-    met = met.filter((F.col("rank") >= F.col("end") - window) & (F.col("rank") < F.col("end") + window)).select("b", "rank", "id", "v")
-    dealt = met.repartition("b").sortWithinPartitions("b", "rank").select("b", "id", "v")
+    span = max(SPAN, window)
+    run = F.floor(F.col("rank") / span)
+    runs = F.when((run > 0) & (F.col("rank") % span < window), F.array(run, run - 1)).otherwise(F.array(run))
+    dealt = edge.select(F.explode(runs).alias("run"), "rank", "id", "v").repartition("run").sortWithinPartitions("run", "rank").select("run", "id", "v")
     links = found.filter("w is not null and u is not null").select("u", F.col("w").alias("v"))
     return checkpoint(links.unionByName(map_arrow(dealt, across, "u long, v long")).distinct())
 
