@@ -6,7 +6,10 @@ sequences of their own. The rest, which only differ by length here, are dealt
 by a hash into groups of about GROUP pieces. In a group, best fit in descending
 length gives a start; then underfull bins trade: one item moves, one is
 exchanged for one, or two for one, wherever that raises the sum of squared
-fills, so that fill drains from the emptiest bins until they are empty.
+fills, so that fill drains from the emptiest bins until they are empty. Bins
+are indexed by room and by what they hold, so the receiver of a trade is the
+best of all bins, not of a few. The search ends where no trade is left, where
+the bins are as few as the tokens allow, or after EFFORT trades a bin.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ WINDOW = 2048
 END_ID = 0
 #: Pieces packed together by one task.
 GROUP = 60_000
+#: Trades for each underfull bin after which the search ends, with trades left or not.
+EFFORT = 20
 
 
 class Encoder:
@@ -37,7 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import base64
@@ -57,9 +62,10 @@ class Encoder:
         return cls._made[key]
 
     def ids(self, text: str) -> np.ndarray:
-        """The rank file holds the same vocabulary and is faster; texts beyond
-        Latin-1, where two regex engines could tell letters apart, take the other."""
-        if self.fast is not None:
+        """The rank file holds the same vocabulary and is faster. Texts beyond Latin-1,
+        where two regex engines could tell letters apart, and those with the string of
+        a special token, which has an id of its own, take the tokenizer's file."""
+        if self.fast is not None and not any(x in text for x in self.special):
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
@@ -137,128 +143,146 @@ def best_fit(lengths: np.ndarray, window: int) -> np.ndarray:
 
 
 class _Bins:
-    """Underfull bins, found by room and by the lengths they hold."""
+    """Underfull bins, found by room, and by room and the length of an item or of two items they hold.
+
+    Rooms are bits of an integer, so the least room that suffices is one shift away.
+    """
 
     def __init__(self, lengths: np.ndarray, bin_of: np.ndarray, window: int) -> None:
         self.size, self.window = lengths.tolist(), window
         self.items: dict[int, list[int]] = {}
-        order = np.argsort(bin_of, kind="stable")
         fill = np.bincount(bin_of, weights=lengths).astype(np.int64)
-        self.room = {int(b): window - int(fill[b]) for b in np.flatnonzero((fill < window) & (fill > 0))}
-        for k, b in zip(order.tolist(), bin_of[order].tolist(), strict=True):
-            if b in self.room:
+        self.room: dict[int, int] = {}
+        self.bins: dict[tuple[int, int, int], dict[int, None]] = {}  # (items, their length, room) -> bins
+        self.rooms: dict[tuple[int, int], int] = {}  # (items, their length) -> rooms, as bits
+        for k, b in enumerate(bin_of.tolist()):
+            if fill[b] < window:
                 self.items.setdefault(b, []).append(k)
-        self.by_length: dict[int, dict[int, int]] = {}  # length -> item -> its bin
-        self.where: dict[int, int] = {}
-        for b, got in self.items.items():
-            for k in got:
-                self.put(k, b)
-
-    def put(self, k: int, b: int) -> None:
-        self.where[k] = b
-        self.by_length.setdefault(self.size[k], {})[k] = b
-
-    def take(self, k: int) -> None:
-        del self.where[k]
-        same = self.by_length[self.size[k]]
-        del same[k]
-        if not same:
-            del self.by_length[self.size[k]]
-
-    def move(self, k: int, to: int) -> None:
-        frm = self.where[k]
-        self.take(k)
-        self.items[frm].remove(k)
-        self.room[frm] += self.size[k]
-        self.items.setdefault(to, []).append(k)
-        self.room[to] -= self.size[k]
-        self.put(k, to)
-
-    def close(self, b: int) -> None:
-        """A full bin trades no more."""
-        for k in self.items[b]:
-            self.take(k)
+        for b in self.items:
+            self.room[b] = window - int(fill[b])
+            self.enter(b)
 
-
-def local_search(lengths: np.ndarray, bin_of: np.ndarray, window: int, tries: int = 400) -> np.ndarray:
-    """Trade between underfull bins until none of the moves raises the sum of squared fills.
-
-    The emptiest bins give: an item moves to the fullest bin with room for it; an
-    item is exchanged for a shorter one whose bin then gets fuller; or for two
-    that together are shorter. A receiver never has less fill than the giver, so
-    each trade raises the sum of squares, and a giver that runs empty is a bin
-    saved. tries bounds the trades looked at for each giver, not the pieces.
+    def _held(self, b: int) -> Iterator[tuple[int, int]]:
+        count: dict[int, int] = {}
+        for k in self.items[b]:
+            count[self.size[k]] = count.get(self.size[k], 0) + 1
+        yield 0, 0
+        held = sorted(count)
+        for x in held:
+            yield 1, x
+        yield from ((2, n) for n in {x + y for i, x in enumerate(held) for y in held[i:] if x != y or count[x] > 1})
+
+    def enter(self, b: int) -> None:
+        r = self.room[b]
+        for kind in self._held(b):
+            self.bins.setdefault((*kind, r), {})[b] = None
+            self.rooms[kind] = self.rooms.get(kind, 0) | 1 << r
+
+    def leave(self, b: int) -> None:
+        r = self.room[b]
+        for kind in self._held(b):
+            same = self.bins[(*kind, r)]
+            del same[b]
+            if not same:
+                del self.bins[(*kind, r)]
+                self.rooms[kind] &= ~(1 << r)
+                if not self.rooms[kind]:
+                    del self.rooms[kind]
+
+    def least(self, items: int, length: int, need: int, not_bin: int) -> tuple[int, int] | None:
+        """(room, bin) of the fullest bin with such items and the room."""
+        bits = self.rooms.get((items, length), 0) >> need
+        at = need
+        while bits:
+            at += (bits & -bits).bit_length() - 1
+            bits = self.rooms[items, length] >> at
+            for b in self.bins[items, length, at]:
+                if b != not_bin:
+                    return at, b
+            bits >>= 1
+            at += 1
+        return None
+
+    def pick(self, b: int, items: int, length: int) -> list[int]:
+        """Items of the bin, one or two, of that length together."""
+        if items == 0:
+            return []
+        by = {}
+        for k in self.items[b]:
+            if items == 1 and self.size[k] == length:
+                return [k]
+            if items == 2 and length - self.size[k] in by:
+                return [by[length - self.size[k]], k]
+            by[self.size[k]] = k
+        raise AssertionError("the index names a bin without such items")
+
+
+def local_search(lengths: np.ndarray, bin_of: np.ndarray, window: int, effort: int = EFFORT) -> np.ndarray:
+    """Trade between underfull bins while a trade raises the sum of squared fills.
+
+    The emptiest bins give: an item moves to another bin, or is exchanged for a
+    shorter one, or for two that together are shorter. The receiver is the bin
+    that the trade fills most, of all bins. A receiver ends with more than the
+    giver had, so each trade raises the sum of squares, and a giver that runs
+    empty is a bin saved. Givers are looked at in rounds, until a round has no
+    trade. No fewer bins than the tokens need ends the search at once, and so do
+    `effort` trades for each underfull bin.
     """
+    fewest = -(-int(lengths.sum()) // window)
+    used = len(np.unique(bin_of))
+    if used <= fewest:
+        return bin_of
     s = _Bins(lengths, bin_of, window)
-    givers = [(-r, b) for b, r in s.room.items()]
-    heapq.heapify(givers)
-    spent = 0
-    limit = 40 * len(givers) + 1000
-    while givers and spent < limit:
-        r, g = heapq.heappop(givers)
-        if g not in s.room or s.room[g] != -r or not s.items.get(g):
-            continue
-        progress = False
-        for k in sorted(s.items[g], key=s.size.__getitem__, reverse=True):
-            size, fill = s.size[k], window - s.room[g]
-            best = None  # (room left at the receiver, receiver, items that come back)
-            looked = 0
-            for b, room in s.room.items():  # a move
-                if b != g and size <= room and (best is None or room - size < best[0]) and window - room + size > fill:
-                    best = (room - size, b, ())
+    left = effort * len(s.room)
+
+    def trade(g: int) -> bool:
+        fill = window - s.room[g]
+        best = None  # (room left at the receiver, items that come back, their length, receiver, item)
+        for size, k in sorted({s.size[k]: k for k in s.items[g]}.items(), reverse=True):
+            for items, back in [(0, 0), *(kind for kind in s.rooms if kind[0] and kind[1] < size)]:
+                gain = size - back
+                got = s.least(items, back, gain, g)
+                if got and window - got[0] + gain > fill and (best is None or got[0] - gain < best[0]):
+                    best = (got[0] - gain, items, back, got[1], k)
                     if best[0] == 0:
                         break
-                looked += 1
-                if looked > tries:
-                    break
-            if best is None or best[0]:
-                looked = 0
-                for other in range(size - 1, 0, -1):  # one for one: a shorter item comes back
-                    for j, b in s.by_length.get(other, {}).items():
-                        left = s.room[b] - (size - other)
-                        if b != g and left >= 0 and window - s.room[b] >= fill - size + other and (best is None or left < best[0]):
-                            best = (left, b, (j,))
-                        looked += 1
-                        if looked > tries or (best and best[0] == 0):
-                            break
-                    if looked > tries or (best and best[0] == 0):
-                        break
-            if best is None or best[0]:
-                looked = 0
-                for b, room in s.room.items():  # two for one
-                    if b == g or len(s.items[b]) < 2 or window - room < fill:
-                        continue
-                    got = sorted(s.items[b], key=s.size.__getitem__)
-                    for x in range(len(got) - 1):
-                        pair = s.size[got[x]] + s.size[got[x + 1]]
-                        left = room - size + pair
-                        if pair < size and left >= 0 and (best is None or left < best[0]):
-                            best = (left, b, (got[x], got[x + 1]))
-                    looked += 1
-                    if looked > tries:
-                        break
-            if best is None:
+            if best and best[0] == 0:
+                break
+        if best is None:
+            return False
+        _, items, back, b, k = best
+        s.leave(g)
+        s.leave(b)
+        home = s.pick(b, items, back)
+        s.items[b] = [x for x in s.items[b] if x not in home] + [k]
+        s.items[g] = [x for x in s.items[g] if x != k] + home
+        s.room[b] -= s.size[k] - back
+        s.room[g] += s.size[k] - back
+        for x in (g, b):
+            for j in s.items[x]:
+                bin_of[j] = x
+            if s.items[x] and s.room[x]:
+                s.enter(x)
+            else:  # empty, or full: it trades no more
+                del s.room[x], s.items[x]
+        return True
+
+    progress = True
+    while progress and left > 0 and used > fewest:
+        progress = False
+        givers = [(-r, b) for b, r in s.room.items()]
+        heapq.heapify(givers)
+        while givers and left > 0 and used > fewest:
+            r, g = heapq.heappop(givers)
+            if s.room.get(g) != -r:
                 continue
-            _, b, back = best
-            for j in back:
-                s.move(j, g)
-            s.move(k, b)
-            spent += 1
-            progress = True
-            if s.room[b] == 0:
-                s.close(b)
-                for j in s.items.pop(b):
-                    bin_of[j] = b
-                del s.room[b]
-            break
-        if progress:
-            if s.items[g]:
-                heapq.heappush(givers, (-s.room[g], g))
-            else:
-                del s.room[g], s.items[g]
-    for b, got in s.items.items():
-        for j in got:
-            bin_of[j] = b
+            if trade(g):
+                progress = True
+                left -= 1
+                if g in s.room:
+                    heapq.heappush(givers, (-s.room[g], g))
+                else:
+                    used -= 1
     return bin_of
 
 

@@ -13,15 +13,55 @@ def test_cut(n, want):
     assert packing.cut(n, 8) == want
 
 
-def test_fast_ids_equal_the_tokenizers_ids():
+def fresh():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+TRUTH = fresh()
+
+
+def test_ids_are_those_of_the_unaltered_tokenizer():
     enc = packing.Encoder.get(*packing.vocabulary())
-    texts = ["Hello  world\n\n it's 12,345 €", "<|endoftext|> x", "naïve Straße çà ñandú", "a" * 500, " \t\n ", "日本語 text", " x­", "don't WE'LL"]
+    texts = ["Hello  world\n\n it's 12,345 €", "<|endoftext|> x", "a<|endoftext|>", "<|endoftext", "naïve Straße çà ñandú", "a" * 500, " \t\n ", "日本語 text", " x­", "don't WE'LL", "\x00\x85\xa0 \xad½²ª"]
     for t in texts:
-        want = enc.slow.encode(t, add_special_tokens=False).ids
-        assert enc.ids(t).tolist() == want
+        assert enc.ids(t).tolist() == TRUTH.encode(t, add_special_tokens=False).ids
+    assert enc.ids("a<|endoftext|>")[-1] == TRUTH.token_to_id("<|endoftext|>")
     assert enc.fast is not None
 
 
+@given(st.text(alphabet=st.characters(max_codepoint=255), max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_latin_1_texts(text):
+    enc = packing.Encoder.get(*packing.vocabulary())
+    assert enc.ids(text).tolist() == TRUTH.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("lo", "hi"), [(300, 1300), (650, 720), (500, 1100)])
+def test_local_search_saves_bins(lo, hi):
+    lengths = np.random.default_rng(lo).integers(lo, hi, 600)
+    start = packing.best_fit(lengths, 2048)
+    got = packing.local_search(lengths, start.copy(), 2048)
+    fill = np.bincount(got, weights=lengths)
+    assert fill.max() <= 2048 and fill.sum() == lengths.sum()
+    assert len(np.unique(got)) < len(np.unique(start))
+
+
+def test_no_trade_is_left():
+    lengths = np.random.default_rng(3).integers(20, 60, 40)
+    got = packing.local_search(lengths, packing.best_fit(lengths, 100), 100, effort=10**6)
+    fill = np.bincount(got, weights=lengths)
+    for k, g in enumerate(got):  # a move or an exchange that would raise the sum of squares
+        for b in np.unique(got):
+            if b == g or fill[g] == 100 or fill[b] == 100:
+                continue
+            for back in [0, *lengths[got == b]]:
+                gain = lengths[k] - back
+                assert gain <= 0 or fill[b] + gain > 100 or fill[b] + gain <= fill[g]
+
+
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_assign_packs_every_item_once(sizes):
