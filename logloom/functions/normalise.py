@@ -1,8 +1,7 @@
 """Lenient template comparison: rewrites after which equivalent templates are equal.
 
-Each rule is applied until nothing changes; the expressions below do that in
-one pass on flat templates, so the chain is a plain projection. Rules that
-take something off both sides of a wildcard are repeated for nested text.
+Each rule is applied until nothing changes. Most rules get there in one pass;
+those that may apply again to what they made are repeated while they match.
 """
 
 from __future__ import annotations
@@ -69,21 +68,37 @@ RULES = [
     (r'<\*>(?:")+', "<*>"),
 ]
 #: Rules that may apply again to what they made.
-NESTED = frozenset({r"<<\*>>", r"'<\*>'", r"\(<\*>\)", r"\[<\*>\]", r'"<\*>"', r"#<\*>#"})
-DEPTH = 3
+NESTED = frozenset({r"<\*>##<*>", r"<<\*>>", r"'<\*>'", r"\(<\*>\)", r"\[<\*>\]", r'"<\*>"', r"#<\*>#"})
+
+
+def _settled(template: Column, pattern: str, to: str) -> Column:
+    """The rule repeated while it matches: each match shortens the text, so its length bounds the steps."""
+    def fix(t: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t)))
+        return F.when(t.rlike(pattern), F.aggregate(steps, t, lambda held, _: F.regexp_replace(held, pattern, to))).otherwise(t)
+
+    # inside a transform the text is a variable: the chain before it stands in the expression once
+    return F.transform(F.array(template), fix)[0]
 
 
 def comparable(template: Column) -> Column:
     """The template after all rewrites. Only for distinct templates: it is a long chain."""
     for pattern, to in RULES:
-        for _ in range(DEPTH if pattern in NESTED else 1):
-            template = F.regexp_replace(template, pattern, to)
+        template = _settled(template, pattern, to) if pattern in NESTED else F.regexp_replace(template, pattern, to)
     return template
 
 
-def sql(column: str) -> str:
-    """The same chain for DuckDB."""
-    for pattern, to in RULES:
-        for _ in range(DEPTH if pattern in NESTED else 1):
-            column = "regexp_replace({}, '{}', '{}', 'g')".format(column, pattern.replace("'", "''"), to)
-    return column
+def sql(templates: str) -> str:
+    """DuckDB: a table normal_form(template, normal) for a query that gives a column `template`.
+
+    A recursion that stays at a rule while it changes the text, apart from the chain above.
+    """
+    def texts(k: int) -> str:
+        return "[" + ", ".join("'" + r[k].replace("'", "''") + "'" for r in RULES) + "]"
+
+    return f"""rewrite_step AS (
+      SELECT template, template AS t, 1 AS k FROM ({templates}) x
+      UNION ALL
+      SELECT template, n, CASE WHEN n = t THEN k + 1 ELSE k END FROM (
+        SELECT template, t, k, regexp_replace(t, {texts(0)}[k], {texts(1)}[k], 'g') AS n FROM rewrite_step WHERE k <= {len(RULES)}) s),
+    normal_form AS (SELECT DISTINCT template, t AS normal FROM rewrite_step WHERE k = {len(RULES) + 1})"""

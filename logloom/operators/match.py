@@ -40,9 +40,10 @@ def match_join(lines: DataFrame, templates: DataFrame, content_col: str = "conte
     """(content, template): each distinct content with the template that fits it best.
 
     The literal text before a template's first wildcard and after its last one
-    are join keys where they have PREFIX characters; only templates with neither
-    meet every content, as the broadcast side of a nested loop whose size Spark
-    checks. Both ends and the longest literal part are compared before the
+    are join keys where they have PREFIX characters. A template with neither is
+    met by a whole word of its literal text, the longest, or by its first literal
+    character where it has no word; only one without any literal text meets every
+    content. Both ends and the longest literal part are compared before the
     regular expression is.
     """
     t = templates.select(F.col(template_col).alias("template")).filter("template is not null").distinct().withColumn("rx", pattern(F.col("template")))
@@ -57,8 +58,17 @@ def match_join(lines: DataFrame, templates: DataFrame, content_col: str = "conte
         some = t.filter((F.col("k1").isNotNull() if first else F.col("k1").isNull()) & (F.col("k2").isNotNull() if last else F.col("k2").isNull()))
         keys = ["k1"] * first + ["k2"] * last
         some = some.drop(*({"k1", "k2"} - set(keys)))
-        met = c.join(some, keys).filter(fit) if keys else c.join(some, fit)
-        met = met.select("content", "template")
+        if keys:
+            met = c.join(some, keys)
+        else:
+            # a word that is whole in the template is whole in the content: blanks, or the ends, stand on both sides
+            held = F.filter(F.flatten(F.transform(F.split("template", r"<\*>", -1), lambda p: F.split(p, " ", -1))), lambda w: F.contains(F.concat(F.lit(" "), "template", F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" "))) & (w != ""))
+            word = F.array_max(F.transform(held, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
+            letter = F.substring(F.replace("template", F.lit("<*>"), F.lit("")), 1, 1)
+            some = some.withColumn("key", F.when(word.isNotNull(), F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("c"), letter)))
+            own = F.concat(F.transform(F.split("content", " ", -1), lambda w: F.concat(F.lit("w"), w)), F.transform(F.split("content", ""), lambda x: F.concat(F.lit("c"), x)), F.array(F.lit("c")))
+            met = c.select("content", F.explode(F.array_distinct(own)).alias("key")).join(some, "key")
+        met = met.filter(fit).select("content", "template")
         hits = met if hits is None else hits.unionByName(met)
     return hits.groupBy("content").agg(F.min_by("template", priority(F.col("template"))).alias("template"))
 

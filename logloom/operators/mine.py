@@ -14,13 +14,14 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import align, text
 from logloom.functions.shared import checkpoint
 from logloom.operators.match import Catalog, Entry
 from logloom.operators.oracle import Heuristic, Oracle
+from logloom.sources.logs import number_lines
 
 #: Candidates looked at for each unmatched message, and their least score.
 CANDIDATES, LEAST = 3, 0.5
@@ -269,17 +270,27 @@ def mine_exact(lines: DataFrame, content_col: str = "content", order_col: str =
     return structured, spark.createDataFrame(catalog, "EventId int, EventTemplate string, Occurrences long")
 
 
-def merge_clusters(templates: DataFrame, template_col: str = "template") -> DataFrame:
-    """(template, root): templates that a rule merges into one of the two, transitively.
+def token_pairs(templates: DataFrame, template_col: str = "template") -> DataFrame:
+    """(a, b), a < b: templates of which one has the other's rarest letters-only token.
 
-    Pairs share the template's rarest letters-only token, so a template meets
-    only others with that token; a template without letters stays alone.
+    A common token brings no pairs together unless it is a template's rarest; a
+    template without letters meets none.
     """
     t = templates.select(F.col(template_col).alias("template")).distinct()
     tokens = t.select("template", F.explode(F.array_distinct(text.alpha_tokens(F.col("template")))).alias("token"))
     weight = tokens.groupBy("token").agg(F.count("*").alias("df"))
     rarest = tokens.join(weight, "token").groupBy("template").agg(F.min(F.struct("df", "token")).alias("m")).select("template", F.col("m.token").alias("token"))
-    pairs = rarest.withColumnRenamed("template", "a").join(tokens.withColumnRenamed("template", "b"), "token").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = rarest.withColumnRenamed("template", "a").join(tokens.withColumnRenamed("template", "b"), "token").filter("a != b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def merge_clusters(templates: DataFrame, template_col: str = "template") -> DataFrame:
+    """(template, root): templates that a rule merges into one of the two, transitively.
+
+    Pairs come from token_pairs; a template without letters stays alone.
+    """
+    t = templates.select(F.col(template_col).alias("template")).distinct()
+    pairs = token_pairs(t)
     verdict = pairs.withColumn("v", align.judged("a", "b")).filter("v.mergeable and (v.merged = a or v.merged = b)").select("a", "b")
     edges = checkpoint(verdict)
     label = checkpoint(t.withColumn("root", F.col("template")))
@@ -300,6 +311,6 @@ def mine_scalable(lines: DataFrame, content_col: str = "content", order_col: str
     sizes = checkpoint(masked.groupBy("__mask").agg(F.min(order_col).alias("first"), F.count("*").alias("rows")))
     roots = merge_clusters(sizes, "__mask").withColumnRenamed("template", "__mask")
     groups = sizes.join(roots, "__mask").groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("Occurrences"), F.min_by("__mask", F.struct(-text.wildcard_count(F.col("__mask")), "__mask")).alias("EventTemplate"))
-    numbered = checkpoint(groups.withColumn("EventId", (F.row_number().over(Window.orderBy("first")) - 1).cast("int")))
+    numbered = checkpoint(number_lines(groups, "first", "root", name="n").withColumn("EventId", (F.col("n") - 1).cast("int")))
     where = roots.join(numbered.select("root", "EventId", "EventTemplate"), "root").select("__mask", "EventId", "EventTemplate")
     return masked.join(where, "__mask").drop("__mask"), numbered.select("EventId", "EventTemplate", "Occurrences")

