@@ -9,20 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which Spark takes itself; only where none is set (tests) a temporary folder."""
+    """spark.checkpoint.dir, which Spark takes itself. Where none is set, a temporary
+    folder in local mode; an error on a cluster, whose machines do not share one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="logloom-checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="logloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
+    """Cut the lineage through the shared folder; never through executors' own disks."""
     _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
     return f"{_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
