@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.shared import spread
+from logloom.functions.shared import checkpoint, shared_folder, spread  # noqa: F401
 
 #: Rows of whole texts handed to a Python worker at once; bounds the worker's memory.
 BATCH_ROWS = 1000
@@ -30,29 +28,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Spark takes spark.checkpoint.dir itself. Only where neither the setting nor
-    the context names a folder (tests in local mode) a temporary one is used.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="logloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; never through executors' own disks."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
-
-
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m

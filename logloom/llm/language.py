@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import bounded_sample, map_arrow, map_texts
+from logloom.llm.common import map_arrow, map_texts
 from logloom.llm.ngrams import code_points, text_buckets
 
 ORDERS = (1, 2, 3)
 HASH_BITS = 14
-#: Rows that a model is fitted on, at most; scoring covers all rows.
-TRAIN_ROWS = 4000
+#: Rows of each language that a model is fitted on, at most; scoring covers all rows.
+TRAIN_ROWS = 1000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -46,32 +46,35 @@ class LanguageModel:
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, orders: tuple[int, ...] = ORDERS, bits: int = HASH_BITS, alpha: float = 0.5) -> LanguageModel:
-    """Fit on at most about `train_rows` rows with a text and a language.
+    """Fit on at most about `train_rows` rows of each language, chosen by a hash of the id.
 
-    Counts are summed in each task and reach the driver as one dense row for a
-    task and language. With no usable row the model has no language.
+    A language that few rows have is learned from all of them, however large the
+    table; how frequent languages are is counted over all rows. N-gram counts are
+    summed in each task and reach the driver as one dense row for a task and
+    language. With no usable row the model has no language.
     """
-    part = bounded_sample(rows.filter(F.col(lang_col).isNotNull()), id_col, train_rows).filter(F.col(text_col).isNotNull()).repartition(8)
+    known = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("__lang", F.col(lang_col).cast("string"))
+    total = {r["__lang"]: r["n"] for r in known.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
+    part = known.limit(0)
+    if total:
+        share = F.create_map(*[F.lit(x) for k, n in sorted(total.items()) for x in (k, int(min(1.0, train_rows / n) * 2**62))])
+        part = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(id_col)), 2) <= share[F.col("__lang")]).repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = seen.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
-                docs[lang] = docs.get(lang, 0) + 1
                 for ids in text_buckets(code_points(text.lower()), orders, bits):
                     c += np.bincount(ids, minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([docs[k] for k in seen], pa.int64()), pa.array([v.tobytes() for v in seen.values()], pa.binary())], names=["lang", "docs", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v.tobytes() for v in seen.values()], pa.binary())], names=["lang", "counts"])
 
-    got = map_arrow(part.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")), count, "lang string, docs long, counts binary").collect()
+    got = map_arrow(part.select(F.col(text_col).cast("string"), "__lang"), count, "lang string, counts binary").collect()
     langs = sorted({r["lang"] for r in got})
     counts = np.zeros((1 << bits, len(langs)))
-    docs = np.zeros(len(langs))
     for r in got:
-        k = langs.index(r["lang"])
-        counts[:, k] += np.frombuffer(r["counts"], dtype=np.int64)
-        docs[k] += r["docs"]
+        counts[:, langs.index(r["lang"])] += np.frombuffer(r["counts"], dtype=np.int64)
+    docs = np.array([total[k] for k in langs], dtype=np.float64)
     if not langs:
         return LanguageModel([], np.zeros((1 << bits, 0), dtype=np.float32), np.zeros(0), orders, bits)
     prob = (counts + alpha) / (counts + alpha).sum(axis=0)

@@ -24,9 +24,9 @@ from logloom.llm.common import checkpoint, map_arrow
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
-#: Records of one archive file, at most; with the segment size this bounds a file.
-FILE_RECORDS = 20_000
-#: Digests of repeated payloads that are broadcast, at most; more are joined by a shuffle.
+#: Records of one archive file, at most; with the segment size this bounds a file to 128 MB.
+FILE_RECORDS = 4_000
+#: Digests of repeated payloads, or responses revisited, that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -73,14 +73,20 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def records_of(page_id: int | None, row: int, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page: a response, with continuations if it is long, or a revisit."""
-    name = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{row}')}>"
+def record_id(page_id: int | None, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{row}')}>"
+
+
+def records_of(page_id: int | None, row: int, url: str | None, payload: bytes, refers_to: tuple[int, int, str | None] | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page: a response, with continuations if it is long, or a
+    revisit of the response with that page id, row and URL."""
+    name = record_id(page_id, row)
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}")]
     head += [("WARC-Target-URI", url)] * (url is not None) + [("X-Page-Id", str(page_id))] * (page_id is not None)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(*refers_to[:2])), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(refers_to[0]))]
+        head += [("WARC-Refers-To-Target-URI", refers_to[2])] * (refers_to[2] is not None)
         yield record(head, http + b"\r\n")
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -106,18 +112,18 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     that fills a third of the table may be split.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    twice = src.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = src.groupBy("digest").agg(F.max(F.struct("page_id", "row", "url")).alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     largest = checkpoint(twice)  # an exchange of its own then
     if largest.count() <= BROADCAST_DIGESTS:
         largest = F.broadcast(largest)  # the payloads stay where they are
-    again = F.when((F.octet_length("payload") >= min_bytes) & ~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep"))
-    marked = src.join(largest, "digest", "left").select("page_id", "row", "url", "payload", again.alias("refers_to"))
+    again = F.when((F.octet_length("payload") >= min_bytes) & ~F.col("keep.page_id").eqNullSafe(F.col("page_id")) & F.col("keep.page_id").isNotNull(), F.col("keep"))
+    marked = src.join(largest, "digest", "left").withColumn("to", again).select("page_id", "row", "url", "payload", "to.page_id", "to.row", "to.url").toDF("page_id", "row", "url", "payload", "to_page", "to_row", "to_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for page_id, row, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += records_of(page_id, row, url, payload, refers, segment)
+            for page_id, row, url, payload, *to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out += records_of(page_id, row, url, payload, tuple(to) if to[0] is not None else None, segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = map_arrow(marked, run, "value binary")
@@ -177,16 +183,15 @@ def http_payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_OUT = "record_id string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, problem string"
+_OUT = "record_id string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, problem string, target string"
 
 
 def _finish(heads: dict[str, str], block: bytes, problem: str | None, with_payload: bool) -> list:
     digest = heads.get("warc-payload-digest", "").removeprefix("sha1:") or None
     page, refers = heads.get("x-page-id"), heads.get("x-refers-to-page-id")
     payload, n = None, None
-    if heads.get("warc-type") == "revisit":
-        n = int(heads["x-payload-length"]) if "x-payload-length" in heads else None
-    else:
+    target = heads.get("warc-refers-to") if heads.get("warc-type") == "revisit" else None
+    if heads.get("warc-type") != "revisit":
         try:
             payload = http_payload(block)
         except ValueError as e:
@@ -196,7 +201,7 @@ def _finish(heads: dict[str, str], block: bytes, problem: str | None, with_paylo
             if digest not in (None, found):
                 problem = problem or "payload digest differs"
             digest = found
-    row = [heads.get("warc-record-id"), heads.get("warc-type"), int(page) if page else None, heads.get("warc-target-uri"), int(refers) if refers else None, n, digest, problem]
+    row = [heads.get("warc-record-id"), heads.get("warc-type"), int(page) if page else None, heads.get("warc-target-uri"), int(refers) if refers else None, n, digest, problem, target]
     return [*row, payload] if with_payload else row
 
 
@@ -205,16 +210,19 @@ def _batch(rows: list[list], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
-_KINDS = [("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string())]
+_KINDS = [("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string()), ("target", pa.string())]
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per response and revisit of the archives below path.
 
     problem is null, or says what is wrong with the record: a segment missing,
-    a total length or digest that differs, broken framing. A revisit has no
-    payload of its own; its length and digest are those its headers state.
-    Whole records are decoded where they are parsed; only segments are shuffled.
+    a total length or digest that differs, broken framing, a response that is not
+    there. A revisit has no payload of its own: the response it names must be in
+    the archives with the digest that it states, and gives its length. Whole
+    records are decoded where they are parsed; only segments are shuffled, and
+    the names of responses that are revisited. Repeated rows were written as
+    records of their own; an archive of an empty table gives no rows.
     """
     kinds = [*_KINDS, *([("payload", pa.binary())] if with_payload else [])]
     more = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("heads", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
@@ -270,4 +278,13 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
             yield _batch([whole()], kinds)
 
     parts = found.filter("segment is not null").select("origin", "segment", "total", "heads", "block").repartition("origin").sortWithinPartitions("origin", "segment")
-    return found.filter("segment is null").select(*names).unionByName(map_arrow(parts, join, fields))
+    every = found.filter("segment is null").select(*names).unionByName(map_arrow(parts, join, fields))
+    own = every.filter("target is null").drop("target")
+    revisits = every.filter("target is not null").drop("payload_bytes")
+    sure = every.filter("target is null and problem is null").select(F.col("record_id").alias("target"), F.col("payload_bytes"), F.col("payload_digest").alias("there"))
+    known = checkpoint(sure.join(revisits.select("target").distinct(), "target"))
+    if known.count() <= BROADCAST_DIGESTS:
+        known = F.broadcast(known)
+    wrong = F.when(F.col("there").isNull(), "response missing").when(F.col("there") != F.col("payload_digest"), "payload digest differs")
+    resolved = revisits.join(known, "target", "left").withColumn("problem", F.coalesce("problem", wrong)).drop("target", "there")
+    return own.unionByName(resolved)

@@ -90,3 +90,14 @@ def test_sample_is_bounded(spark):
     got = bounded_sample(spark.range(20000).withColumnRenamed("id", "doc_id"), "doc_id", 500).count()
     assert 350 < got < 650
     assert pytest.approx(0) == 0
+
+
+def test_a_rare_language_is_learned(spark):
+    """Five rows among thousands: a sample of the whole table would hold none of them."""
+    common = [(k, f"the words of row {k} are plain english ones and more of them", "en") for k in range(3000)]
+    rare = [(10_000 + k, "kaikki sanat ovat suomea ja niitä on monta lisää tässä", "fi") for k in range(5)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    model = language.fit(docs, train_rows=50)
+    assert model.langs == ["en", "fi"]
+    assert model.predict("sanat ovat suomea ja monta")[0] == "fi"
+    assert model.predict("plain words and more of them")[0] == "en"

@@ -72,3 +72,13 @@ def test_missing_segment_is_reported(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
     assert warc.read(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_revisits_are_resolved(spark, tmp_path):
+    response, other = (list(warc.records_of(k, k, f"u{k}", text, None)) for k, text in ((1, b"one"), (2, b"two")))
+    revisits = [next(warc.records_of(k, k, "u", text, to)) for k, text, to in ((3, b"one", (1, 1, "u1")), (4, b"one", (2, 2, None)), (5, b"one", (9, 9, "u9")))]
+    (tmp_path / "x.warc").write_bytes(archive([*revisits, *response, *other]))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], r["problem"]) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got[3] == ("revisit", 1, 3, None)
+    assert got[4][3] == "payload digest differs" and got[5] == ("revisit", 9, None, "response missing")
+    assert b"WARC-Refers-To: " + warc.record_id(1, 1).encode() in revisits[0] and b"WARC-Refers-To-Target-URI: u1" in revisits[0]
