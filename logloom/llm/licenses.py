@@ -33,6 +33,17 @@ SENTENCES = [
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("creative commons attribution", "cc-by"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    # sentences of the licenses' own bodies
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2.0"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "gpl"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
 ]
 #: Share of a sentence's pairs that must vote.
 COVER = 0.8

@@ -49,6 +49,9 @@ def test_scan_against_brute_force_and_sql(spark):
         ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
         ("licensed under the quite new apache license version 2.0", "apache-2.0"),
         ("nothing under the sun", ""),
+        ("Copyright (c) X\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "isc"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published", "gpl"),
     ],
 )
 def test_sentences(spark, text, labels):
