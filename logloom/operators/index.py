@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.shared import checkpoint
@@ -19,13 +19,20 @@ def lengths(templates: DataFrame, id_col: str = "tid", template_col: str = "temp
     return templates.groupBy(F.col(id_col).alias("tid")).agg(F.sum(F.size(alpha_tokens(F.col(template_col)))).cast("long").alias("n_tokens"))
 
 
-def rare_postings(posting: DataFrame, size: DataFrame, least: float) -> DataFrame:
-    """The postings of each template's rarest tokens, just so many that a query
-    without any of them cannot contain `least` of the template."""
+def index_rows(posting: DataFrame) -> DataFrame:
+    """(tid, n_tokens, terms): each template's tokens with how often they stand in it, the rarest of the index first."""
     df = posting.groupBy("token").agg(F.count("*").alias("df"))
-    by = Window.partitionBy("tid").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
-    seen = posting.join(df, "token").join(size, "tid").withColumn("before", F.coalesce(F.sum("tf").over(by), F.lit(0)))
-    return seen.filter(F.col("before") <= F.col("n_tokens") - F.ceil(F.lit(least) * F.col("n_tokens"))).select("token", "tid")
+    terms = F.array_sort(F.collect_list(F.struct("df", "token", "tf")))
+    return posting.join(df, "token").groupBy("tid").agg(F.sum("tf").alias("n_tokens"), terms.alias("terms"))
+
+
+def rare_tokens(least: float) -> Column:
+    """Of index_rows: just so many of the rarest tokens that a query without any of
+    them cannot contain `least` of the template."""
+    most = F.col("n_tokens") - F.ceil(F.lit(least) * F.col("n_tokens"))
+    start = F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<string>").alias("got"))
+    walked = F.aggregate("terms", start, lambda s, e: F.struct((s.before + e.tf).alias("before"), F.when(s.before <= most, F.array_append(s.got, e.token)).otherwise(s.got).alias("got")))
+    return walked.got
 
 
 def candidates(queries: DataFrame, templates: DataFrame, k: int = 3, least: float = 0.5, qid: str = "qid", query_col: str = "template", id_col: str = "tid", template_col: str = "template") -> DataFrame:
@@ -34,15 +41,17 @@ def candidates(queries: DataFrame, templates: DataFrame, k: int = 3, least: floa
     score is the overlap, counting repeats, over the template's tokens; ties
     rank by tid. Candidates below `least` are left out, which makes it enough to
     meet a template by its rarest tokens: common words bring no pairs together.
+    The overlap is taken inside the row, from both sides' tokens.
     """
     have = queries.select(F.col(qid).alias("qid"), F.explode(alpha_tokens(F.col(query_col))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
     # ids may be long texts: rows are numbered, and get their ids back at the end
     numbered = checkpoint(templates.select(F.col(id_col).alias("id"), F.col(template_col).alias("template"), F.monotonically_increasing_id().alias("n")))
-    posting = checkpoint(postings(numbered, "n", "template"))  # the index: built once, read for each step
-    size = posting.groupBy("tid").agg(F.sum("tf").alias("n_tokens"))
-    met = have.join(rare_postings(posting, size, least), "token").select("qid", "tid").distinct()
-    overlap = met.join(posting, "tid").join(have, ["qid", "token"]).groupBy("qid", "tid").agg(F.sum(F.least("qtf", "tf")).alias("common"))
-    scored = overlap.join(size, "tid").withColumn("score", F.col("common") / F.col("n_tokens")).filter(F.col("score") >= least)
+    rows = checkpoint(index_rows(postings(numbered, "n", "template")))  # the index: built once, read for each step
+    rare = rows.select("tid", F.explode(rare_tokens(least)).alias("token"))
+    met = have.select("qid", "token").join(rare, "token").select("qid", "tid").distinct()
+    asked = have.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("token", "qtf"))).alias("asked"))
+    common = F.aggregate("terms", F.lit(0).cast("long"), lambda s, e: s + F.least(e.tf, F.coalesce(F.col("asked")[e.token], F.lit(0))))
+    scored = met.join(rows, "tid").join(asked, "qid").select("qid", "tid", (common / F.col("n_tokens")).alias("score")).filter(F.col("score") >= least)
     named = scored.join(numbered.select(F.col("n").alias("tid"), "id"), "tid").select("qid", F.col("id").alias("tid"), "score")
     best = named.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tid")))
     return best.filter(F.col("rank") <= k).select("qid", "tid", "score", F.col("rank").cast("long").alias("rank"))
