@@ -80,6 +80,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     phrase, 0 where nothing is found. A null or empty text has no words, no
     places, empty label lists, null first and last words. Rows with null or
     equal ids each return. Very long texts are one array of words in one task.
+    Other columns are ignored, whatever their names; an empty table stays empty.
     """
     base = BASE if base is None else base
     sentences = SENTENCES if sentences is None else sentences

@@ -95,7 +95,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     """(id, row, piece, start, length, crc, [ids]): the cut token sequences of all rows.
 
     A null or empty text is the end id alone. row tells rows with equal ids
-    apart. crc is that of the ids as little-endian unsigned 32-bit integers.
+    apart, repeated rows too. crc is that of the ids as little-endian unsigned
+    32-bit integers. Other columns are ignored, whatever their names; an empty
+    table has no pieces.
     """
     paths = vocabulary(json_path, ranks_path)
 

@@ -132,8 +132,10 @@ def grade(docs: DataFrame, model: QualityModel, text_col: str = "text", least: i
     """docs (all columns, or those named) with expected_grade, tail_prob and kept.
 
     tail_prob is P(grade >= least), by default for the second lowest grade; kept
-    says that it reaches keep_at. Null texts are graded like empty ones. Every
-    row returns once; columns named like the new ones are replaced.
+    says that it reaches keep_at. Null texts are graded like empty ones, whole
+    texts however long. Every row returns once, repeated rows and equal ids too;
+    equal texts get equal grades; an empty table stays empty; columns named like
+    the new ones, in any case, are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     least = model.grades[min(1, len(model.grades) - 1)] if least is None else least

@@ -1,11 +1,17 @@
+import re
+import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from logloom.llm import queries
+from logloom.llm.common import checkpoint
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
@@ -54,3 +60,55 @@ def test_stages_only_take_rows_away(spark, tmp_path):
     assert not ids & {10_001, 10_002, 10_003, 10_004}
     assert left - {r for r in left if r[0] is None} <= before
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= len(left)
+
+
+def words(text):
+    return [w for w in re.split(r"[ \t\n\v\f\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
+def shingle_set(text):
+    w = words(text)
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_run_against_brute_force(spark):
+    """Stage by stage on all rows: near copies by exact similarity of all pairs, passages by containment, packing by its ids."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    frame = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        frame = checkpoint(stage(spark, frame, DATA))
+    left = sorted(r["doc_id"] for r in frame.collect())
+    sets = {d: shingle_set(docs[d]["text"]) for d in left}
+    links = [(a, b) for k, b in enumerate(left) for a in left[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    low = {d: d for d in left}
+    for _ in left:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    once = [d for d in left if low[d] == d]
+    clean = [d for d in once if not any(" ".join(words(t)) in " ".join(words(docs[d]["text"])) for t in items)]
+    assert len(clean) < len(once) < len(left) < len(docs)
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert sorted({r["doc_id"] for r in out}) == clean
+    truth = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = {}, {}
+    for r in out:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d, got in pieces.items():
+        ids = np.array([*truth.encode(docs[d]["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        for k, r in enumerate(sorted(got, key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (k, at, zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert out.count() == 0
