@@ -305,6 +305,14 @@ def merge_clusters(templates: DataFrame, template_col: str = "template") -> Data
         label = nxt
 
 
+def merged_masks(masks: DataFrame, mask_col: str = "template") -> DataFrame:
+    """(template, merged): for each mask the template of the group that a rule merges it
+    into, which is its mask with most wildcards, the least of equal ones."""
+    roots = merge_clusters(masks, mask_col)
+    best = checkpoint(roots.groupBy("root").agg(F.min_by("template", F.struct(-text.wildcard_count(F.col("template")), "template")).alias("merged")))
+    return roots.join(best, "root").select("template", "merged")
+
+
 def mine_scalable(lines: DataFrame, content_col: str = "content", order_col: str = "LineId") -> tuple[DataFrame, DataFrame]:
     """(structured, catalog) without an order: masks, merged by rule over shared tokens."""
     masked = lines.withColumn("__mask", text.mask(F.col(content_col)))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import align, normalise, text
-from logloom.functions.shared import checkpoint, spread
+from logloom.functions.shared import checkpoint, shared_folder, spread
 from logloom.operators import evaluate, index, match, mine, output
 from logloom.sources import formats, logs, tables
+from logloom.streaming.mine import mine_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -548,16 +549,23 @@ def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(hits, "content").groupBy("tid").agg(F.count("*").alias("lines"))
 
 
-@query(f"WITH {LINES} SELECT template, CAST(0 AS BIGINT) AS first_batch, count(*) AS lines FROM masked GROUP BY template")
-def stream_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' lines as a stream, in micro-batches of one file each."""
-    from logloom.functions.shared import shared_folder
-    from logloom.streaming.mine import mine_stream
-
+def _streamed(spark: SparkSession, lines: DataFrame, merge: bool) -> DataFrame:
     where = shared_folder(spark, "stream")
-    schema = _table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parquet*")
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("value"))
-    running, miner = mine_stream(lines, f"{where}/catalog", f"{where}/checkpoint")
+    running, miner = mine_stream(lines, f"{where}/catalog", f"{where}/checkpoint", merge=merge)
     running.awaitTermination()
     return miner.catalog()
+
+
+@query(f"WITH {LINES} SELECT template, CAST(0 AS BIGINT) AS first_batch, count(*) AS lines FROM masked GROUP BY template")
+def stream_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines as a stream, in micro-batches of one file each; free text, so masks are not merged."""
+    docs = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parquet*")
+    return _streamed(spark, docs.select(F.explode(F.split("text", "\n", -1)).alias("value")), merge=False)
+
+
+@query(f'WITH {_EVENT_CATALOG} SELECT "EventTemplate" AS template, CAST(0 AS BIGINT) AS first_batch, "Occurrences" AS lines FROM statement')
+def stream_mine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' messages as a stream: what the catalog misses is mined and merged."""
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+    said = F.concat(F.lit("app."), "event_type", F.lit(" got "), "props")
+    return _streamed(spark, events.filter("event_type != 'error'").select(said.alias("value")), merge=True)

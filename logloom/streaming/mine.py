@@ -1,8 +1,9 @@
 """Template matching and mining on a stream of lines.
 
 Every micro-batch is matched against the newest catalog version; what it misses
-is mined and makes the next version. Versions are numbered by the batch, so a
-batch that runs again writes the same version again.
+is mined, as masks that a rule merges, and makes the next version. Versions are
+numbered by the batch, so a batch that runs again writes the same version again.
+A version is a whole catalog: its size is that of the templates, not the lines.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions import text
+from logloom.functions.shared import checkpoint
 from logloom.operators.match import match_join
+from logloom.operators.mine import merged_masks
 
 CATALOG = "template string, first_batch long, lines long"
 
 
 class StreamMiner:
-    """foreachBatch state: catalog versions below `path`, one folder for each batch."""
+    """foreachBatch state: catalog versions below `path`, one folder for each batch.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    merge: whether a batch's new masks are merged by rule, as in mine_scalable;
+    for free text, whose lines share words but no statements, they are better left.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, merge: bool = True) -> None:
+        self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
 
     def _versions(self) -> list[int]:
         jvm = self.spark._jvm
@@ -45,13 +52,17 @@ class StreamMiner:
         old = self.catalog(before=batch_id)
         counts = content.groupBy("content").agg(F.count("*").alias("n"))
         hit = match_join(counts, old)
-        named = counts.join(hit, "content", "left").withColumn("template", F.coalesce("template", text.mask(F.col("content"))))
+        named = counts.join(hit, "content", "left").withColumn("missed", F.col("template").isNull()).withColumn("template", F.coalesce("template", text.mask(F.col("content"))))
+        if self.merge:
+            named = checkpoint(named)
+            groups = merged_masks(named.filter("missed").select("template").distinct())
+            named = named.join(groups, "template", "left").withColumn("template", F.when(F.col("missed"), F.col("merged")).otherwise(F.col("template")))
         seen = named.groupBy("template").agg(F.sum("n").alias("n"))
         new = old.join(seen, "template", "full").select("template", F.coalesce("first_batch", F.lit(batch_id)).cast("long").alias("first_batch"), (F.coalesce("lines", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("lines"))
         new.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
 
 
-def mine_stream(lines: DataFrame, path: str, checkpoint: str, **trigger) -> tuple[StreamingQuery, StreamMiner]:
+def mine_stream(lines: DataFrame, path: str, checkpoint: str, merge: bool = True, **trigger) -> tuple[StreamingQuery, StreamMiner]:
     """Start mining a streaming table with a `value` column; give the query and its state."""
-    miner = StreamMiner(lines.sparkSession, path)
+    miner = StreamMiner(lines.sparkSession, path, merge)
     return lines.writeStream.foreachBatch(miner).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(), miner
