@@ -28,6 +28,17 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back.
+
+    For what a loop makes anew from itself: a checkpoint keeps the constraints
+    known of its columns, which grow with each round until planning takes minutes.
+    """
+    path = shared_folder(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import checkpoint, local_components, map_arrow, split_groups
+from logloom.llm.common import checkpoint, local_components, map_arrow, split_groups, written
 from logloom.llm.components import connected_components
 
 #: Hashes concatenated to a key of at most KEY_BITS bits.
@@ -396,7 +396,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         found = one_pass(keyed, p, threshold, window, kind, parts)
         release(found)
         edges = found if edges is None else edges.unionByName(found)
-    roots = checkpoint(connected_components(edges))
+    roots = written(connected_components(edges))
     for p in range(first, MOST_PASSES if n > window and settled >= 0 else first):
         more = one_pass(with_keys(classes, [seed + p], kind), 0, threshold, window, kind, parts)
         for end in ("u", "v"):
@@ -407,7 +407,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         if joined:
             up = connected_components(more)
             old = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            roots = checkpoint(old.unionByName(up.join(roots, "node", "left_anti").select("node", "root")))
+            roots = written(old.unionByName(up.join(roots, "node", "left_anti").select("node", "root")))
         release(more)
         if joined <= settled * linked:
             break
