@@ -1,7 +1,8 @@
 """WARC archives: writing with deduplication and segments, reading with reassembly.
 
-Records go through Spark's text writer (record separator CR LF CR LF), so the
-archives can lie in any store that Spark writes; they come back as binary files.
+Each record is a gzip member of its own. Members go through Spark's text writer,
+whose line separator is the zero byte that ends every one of them, so the archives
+can lie in any store that Spark writes; they come back as binary files.
 A block longer than `segment` bytes is continued in further records that name
 its first record as their origin. The reader groups continuations by that
 identifier, orders them by segment number, holds them against the total length
@@ -24,8 +25,10 @@ from logloom.llm.common import checkpoint, map_arrow
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
-#: Records of one archive file, at most; with the segment size this bounds a file to 128 MB.
-FILE_RECORDS = 4_000
+#: Records of one archive file, at most; with the segment size this bounds a file to 64 MB.
+FILE_RECORDS = 2_000
+#: Bytes of an archive that are decompressed at a time.
+PIECE = 16 << 10
 #: Digests of repeated payloads, or responses revisited, that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
 END = b"\r\n\r\n"
@@ -63,6 +66,14 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member that ends in a zero byte, the highest of the length of what it
+    holds; from 16 MiB on, where that need not be zero, an empty member follows."""
+    z = zlib.compressobj(wbits=31)
+    out = z.compress(data) + z.flush()
+    return out if out[-1] == 0 else out + member(b"")
+
+
 def _plain(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -101,8 +112,8 @@ def records_of(page_id: int | None, row: int, url: str | None, payload: bytes, r
         yield record(more, block[at : at + segment])
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, segment: int = SEGMENT, compression: str = "gzip") -> None:
-    """Write a record per row. Of rows with equal payloads of at least min_bytes
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, segment: int = SEGMENT, compressed: bool = True) -> None:
+    """Write a record per row, in gzip members or plain. Of rows with equal payloads of at least min_bytes
     bytes, those with the largest id are responses and the others revisit it.
 
     Null html is an empty payload. A row with a null id revisits an equal payload
@@ -124,10 +135,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             out: list[bytes] = []
             for page_id, row, url, payload, *to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out += records_of(page_id, row, url, payload, tuple(to) if to[0] is not None else None, segment)
+            if compressed:
+                out = [member(r + END)[:-1] for r in out]  # the separator is the last byte
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = map_arrow(marked, run, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    separator = "\0" if compressed else END.decode()
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,18 +154,20 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if content[:2] != b"\x1f\x8b":
             yield content
             return
-        rest: bytes = content
-        while rest:
-            z = zlib.decompressobj(31)
+        view, at = memoryview(content), 0
+        while at < len(view):
+            z, rest = zlib.decompressobj(31), b""
             while not z.eof:
+                if not rest:
+                    rest = view[at : at + PIECE]
+                    at += len(rest)
                 got = z.decompress(rest, 1 << 20)
                 rest = z.unconsumed_tail
                 if got:
                     yield got
-                if not rest and not z.eof:
-                    if not got:
-                        raise ValueError("archive is cut short")
-            rest = z.unused_data
+                elif not rest and at >= len(view) and not z.eof:
+                    raise ValueError("archive is cut short")
+            at -= len(z.unused_data)
 
     def ready() -> Iterator[tuple[dict[str, str], bytes]]:
         at = 0

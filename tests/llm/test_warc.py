@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 import pytest
 
@@ -32,6 +33,29 @@ def test_parse_members_and_truncation():
         list(warc.parse(gzip.compress(a + b)[:-30]))
 
 
+def test_members_end_in_a_zero_byte():
+    for data in (b"", b"x", b"y" * 100_000, b"z" * ((1 << 24) + 1)):
+        m = warc.member(data)
+        assert m[-1] == 0 and gzip.decompress(m) == data
+
+
+def test_every_record_is_a_member(spark, tmp_path):
+    """Any member decompresses alone, and is one record; plain archives hold the same records."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "é" * (700 * k)) for k in range(1, 20)], "page_id long, url string, html string").coalesce(1)
+    for name, compressed in (("gz", True), ("plain", False)):
+        warc.write(pages, str(tmp_path / name), segment=9000, compressed=compressed)
+    (gz,) = (tmp_path / "gz").glob("part-*")
+    (plain,) = (tmp_path / "plain").glob("part-*")
+    rest, n = gz.read_bytes(), 0
+    while rest:
+        z = zlib.decompressobj(31)
+        one = z.decompress(rest)
+        assert one.startswith(b"WARC/1.1\r\n") and len(list(warc.parse(one))) == 1
+        rest, n = z.unused_data, n + 1
+    want = list(warc.parse(plain.read_bytes()))
+    assert n == len(want) > 19 and list(warc.parse(gz.read_bytes())) == want
+
+
 def test_round_trip(spark, tmp_path):
     big = "ü" * 40000 + "\r\n\r\nWARC/1.1\r\n" + "z" * 10
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u4", ""), (5, "u5", big), (6, "u6", "one"), (7, "u7", big), (None, "u8", "same"), (None, "u9", "alone"), (2, "u2", "same")]
