@@ -294,7 +294,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
             yield _batch([whole()], kinds)
 
     parts = found.filter("segment is not null").select("origin", "segment", "total", "heads", "block").repartition("origin").sortWithinPartitions("origin", "segment")
-    every = found.filter("segment is null").select(*names).unionByName(map_arrow(parts, join, fields))
+    joined = checkpoint(map_arrow(parts, join, fields))  # three parts of the plan take them
+    every = found.filter("segment is null").select(*names).unionByName(joined)
     own = every.filter("target is null").drop("target")
     revisits = every.filter("target is not null").drop("payload_bytes")
     sure = every.filter("target is null and problem is null").select(F.col("record_id").alias("target"), F.col("payload_bytes"), F.col("payload_digest").alias("there"))
