@@ -12,6 +12,7 @@ import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions import align
 
+if TYPE_CHECKING:
+    from logloom.operators.trie import Trie
+
 #: Characters of the literal beginning that form the join key.
 PREFIX = 4
 #: Templates that a compiled catalog may hold; beyond that the join is used.
@@ -154,7 +158,7 @@ class Catalog:
         return -1
 
 
-def match_catalog(lines: DataFrame, catalog: Catalog, content_col: str = "content") -> DataFrame:
+def match_catalog(lines: DataFrame, catalog: Catalog | Trie, content_col: str = "content") -> DataFrame:
     """(content, tid): each distinct content with its template's id, -1 without one."""
     shared = lines.sparkSession.sparkContext.broadcast(catalog)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import align, normalise, text
 from logloom.functions.shared import checkpoint, shared_folder, spread
-from logloom.operators import evaluate, index, match, mine, output
+from logloom.operators import evaluate, index, match, mine, output, trie
 from logloom.sources import formats, logs, tables
 from logloom.streaming.mine import mine_stream
 
@@ -536,19 +536,32 @@ def mined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scores(structured.select(F.col("EventId").alias("p"), F.col("truth").alias("g"))).select("precision", "recall", "f1", "ga", "rows")
 
 
-@query(f'WITH {_EVENT_CATALOG} SELECT "EventId" AS tid, "Occurrences" AS lines FROM statement')
-def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines against the catalog that was mined from them, each wildcard with the classes it was seen with."""
+def _event_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[match.Entry]]:
+    """Event lines and the catalog mined from them in the order of first lines, each wildcard with the classes it was seen with."""
     lines = checkpoint(_event_content(spark, sf_dir))
     structured, catalog = mine.mine_exact(lines)
     seen = structured.select("EventTemplate", "content").distinct().select(F.col("EventTemplate").alias("template"), align.realigned("EventTemplate", "content").getField("classes").alias("classes"))
     slots = match.class_union(seen).groupBy("template").agg(F.array_sort(F.collect_list(F.struct("slot", "classes"))).alias("slots"))
     rows = catalog.join(slots, F.col("EventTemplate") == F.col("template"), "left").limit(match.MAX_COMPILED + 1).collect()  # a larger catalog is refused
-    entries = [match.Entry(r["EventId"], r["EventTemplate"], [set(s["classes"]) for s in r["slots"] or []]) for r in rows]
+    return lines, [match.Entry(r["EventId"], r["EventTemplate"], [set(s["classes"]) for s in r["slots"] or []]) for r in sorted(rows, key=lambda r: r["EventId"])]
+
+
+@query(f'WITH {_EVENT_CATALOG} SELECT "EventId" AS tid, "Occurrences" AS lines FROM statement')
+def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against the mined catalog, by regular expressions of classes."""
+    lines, entries = _event_entries(spark, sf_dir)
     hits = match.match_catalog(lines, match.Catalog(entries))
     return lines.join(hits, "content").groupBy("tid").agg(F.count("*").alias("lines"))
 
 
+@query(f'WITH {_EVENT_CATALOG} SELECT "EventId" AS tid, "Occurrences" AS lines FROM statement')
+def trie_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against the mined catalog, by the prefix tree of its templates."""
+    lines, entries = _event_entries(spark, sf_dir)
+    hits = match.match_catalog(lines, trie.Trie(entries))
+    return lines.join(hits, "content").groupBy("tid").agg(F.count("*").alias("lines"))
+
+
 def _streamed(spark: SparkSession, lines: DataFrame, merge: bool) -> DataFrame:
     where = shared_folder(spark, "stream")
     running, miner = mine_stream(lines, f"{where}/catalog", f"{where}/checkpoint", merge=merge)
