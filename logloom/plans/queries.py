@@ -443,8 +443,24 @@ def _distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content(spark, sf_dir).select("content").distinct().withColumn("template", text.mask(F.col("content")))
 
 
-def _wild_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masks(spark, sf_dir).filter(F.contains("template", F.lit("<*>")))
+def _part_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements about parts, some of whose words are variables: templates that differ in few words."""
+    word = F.split("p_name", " ")
+    kind = F.when(F.col("p_size") % 4 == 0, F.lit("<*>")).otherwise(word[1])
+    grade = F.when(F.col("p_size") % 6 == 0, F.lit("<*>")).otherwise(F.col("p_type"))
+    return _table(spark, sf_dir, "part").select(F.concat_ws(" ", F.lit("made"), word[0], kind, F.lit("of"), grade, F.lit("size <*>")).alias("template")).distinct()
+
+
+#: Such templates have 13 tokens, blanks among them, and differ in three of their words at most, each at its own
+#: place. Word for word is thus their longest common sequence, and all else about a pair follows from the words.
+_PART_PAIRS = """said AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS w1, CASE WHEN p_size % 4 = 0 THEN '<*>' ELSE string_split(p_name, ' ')[2] END AS w2, CASE WHEN p_size % 6 = 0 THEN '<*>' ELSE p_type END AS w3 FROM part),
+    statement AS (SELECT *, 'made ' || w1 || ' ' || w2 || ' of ' || w3 || ' size <*>' AS template FROM said),
+    own AS (SELECT template, unnest(list_filter(['made', w1, w2, 'of', w3, 'size'], lambda t: t <> '<*>')) AS token FROM statement),
+    ranked AS (SELECT template, token, row_number() OVER (PARTITION BY template ORDER BY df, token) AS k FROM own JOIN (SELECT token, count(*) AS df FROM own GROUP BY token) w USING (token)),
+    met AS (SELECT DISTINCT least(r.template, o.template) AS a, greatest(r.template, o.template) AS b FROM ranked r JOIN own o USING (token) WHERE k = 1 AND r.template <> o.template),
+    pair AS (SELECT a, b, list_filter([[x.w1, y.w1], [x.w2, y.w2], [x.w3, y.w3]], lambda d: d[1] <> d[2]) AS diffs,
+        'made ' || CASE WHEN x.w1 = y.w1 THEN x.w1 ELSE '<*>' END || ' ' || CASE WHEN x.w2 = y.w2 THEN x.w2 ELSE '<*>' END || ' of ' || CASE WHEN x.w3 = y.w3 THEN x.w3 ELSE '<*>' END || ' size <*>' AS merged
+      FROM met JOIN statement x ON x.template = a JOIN statement y ON y.template = b)"""
 
 
 def _flat(x: str = "x") -> list:
@@ -484,20 +500,26 @@ def heuristic_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distinct_lines(spark, sf_dir).select("content", align.heuristic_template("content").alias("x")).select("content", *_flat())
 
 
-@query()
+@query(f"WITH {_PART_PAIRS} SELECT a, b, merged, array_to_string(list_transform(diffs, lambda d: d[1] || '|' || d[2]), ',') AS diffs, len(diffs) / 13.0::DOUBLE AS rate FROM pair")
 def merge_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of wildcard templates of which one has the other's rarest word, merged."""
-    return mine.token_pairs(_wild_templates(spark, sf_dir)).select("a", "b", align.merged("a", "b").alias("x")).select("a", "b", "x.*")
+    """Pairs of templates of which one has the other's rarest word, merged."""
+    got = mine.token_pairs(_part_templates(spark, sf_dir)).select("a", "b", align.merged("a", "b").alias("x"))
+    return got.select("a", "b", "x.merged", F.array_join(F.transform("x.diffs", lambda d: F.concat_ws("|", d.l, d.r)), ",").alias("diffs"), "x.rate")
 
 
-@query()
+@query(f"WITH {_PART_PAIRS} SELECT a, b, merged, len(diffs) <= 2 OR len(list_filter(diffs, lambda d: d[1] <> '<*>' AND d[2] <> '<*>')) = 0 AS mergeable FROM pair")
 def quick_judgment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mine.token_pairs(_wild_templates(spark, sf_dir)).select("a", "b", align.judged("a", "b").alias("x")).select("a", "b", "x.mergeable", "x.merged")
+    """A pair merges if wildcards cover its differences, or if those are a fifth of the words at most."""
+    return mine.token_pairs(_part_templates(spark, sf_dir)).select("a", "b", align.judged("a", "b").alias("x")).select("a", "b", "x.mergeable", "x.merged")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PART_PAIRS}, edge AS (SELECT a, b FROM pair WHERE merged IN (a, b) UNION SELECT b, a FROM pair WHERE merged IN (a, b)), "
+    "reached AS (SELECT template, template AS root FROM statement UNION SELECT edge.a, root FROM reached JOIN edge ON edge.b = reached.template) "
+    "SELECT template, min(root) AS root FROM reached GROUP BY template"
+)
 def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mine.merge_clusters(_wild_templates(spark, sf_dir))
+    return mine.merge_clusters(_part_templates(spark, sf_dir))
 
 
 @query(_PROJECTED)
