@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, html_text, language, licenses, packing, quality, simhash, toxicity, vectors, warc
+from logloom.llm import decontam, html_text, language, lexical, licenses, packing, quality, simhash, toxicity, vectors, warc
 from logloom.llm.common import crc_mod, shared_folder, table
 
 
@@ -64,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language, "op10_decontamination": op10_decontamination}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op6_licenses": licenses.oracle_sql()}
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language, "op10_decontamination": op10_decontamination, "op11_lexical": op11_lexical}
+
+ORACLE_SQL: dict[str, str] = {"op6_licenses": licenses.oracle_sql(), "op11_lexical": lexical.oracle_sql()}
