@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, html_text, language, lexical, licenses, packing, quality, simhash, toxicity, vectors, warc
+from logloom.llm import decontam, html_text, interpolation, language, lexical, licenses, packing, quality, simhash, toxicity, upsert, vectors, warc
 from logloom.llm.common import crc_mod, shared_folder, table
 
 
@@ -68,6 +68,27 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language, "op10_decontamination": op10_decontamination, "op11_lexical": op11_lexical}
+def op12_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes")
+    rows = 1 + clients.count() // 1000
+    path = shared_folder(spark, "clients")
+    upsert.create(clients.filter(crc_mod("client_id", 7) > 3), path, "client_id", rows)
+    h = crc_mod("__first", 16)
+    deletes = F.coalesce(F.col("op") == "D", F.lit(False)) | (crc_mod("change_id", 8) < h)
+    _, kept = upsert.upsert(spark, path, changes, "client_id", ["seq", "change_id"], ["source", "segment", "city", "balance"], rows, deletes=deletes, ignores=h > 7)
+    said = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")])
+    cents = F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)).cast("long")
+    out = upsert.digests(spark, path, "client_id", [F.sum(cents).alias("cents"), F.sum(F.crc32(said.cast("binary"))).alias("rows_crc")])
+    old = F.broadcast(spark.createDataFrame([(p, False) for p in kept], "path string, rewritten boolean"))  # a row for each file
+    return out.join(old, "path", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(True))).select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", "columns", "path", "rewritten")
+
+
+def op13_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_mod("doc_id", 7)
+    out, _ = interpolation.score(table(spark, sf_dir, "documents"), part != 2, part == 5)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_html": op4_html, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_language": op9_language, "op10_decontamination": op10_decontamination, "op11_lexical": op11_lexical, "op12_upsert": op12_upsert, "op13_interpolation": op13_interpolation}
 
 ORACLE_SQL: dict[str, str] = {"op6_licenses": licenses.oracle_sql(), "op11_lexical": lexical.oracle_sql()}
