@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
@@ -44,3 +45,20 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
+#: Rows of one key that meet in one group of `join_in_blocks`, in expectation.
+BLOCK_ROWS = 10_000
+
+
+def join_in_blocks(few: DataFrame, many: DataFrame, keys: list[str], by: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """An inner join by equal keys, for keys that a large part of one side has.
+
+    `many` rows of a key are dealt by the hash of a column to blocks of so many
+    rows; the key's rows of `few` go to every block. No task gets a whole
+    frequent key, and a rare one stays one block.
+    """
+    size = many.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("__blocks"))
+    spread = few.join(size, keys).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    dealt = many.join(size, keys).withColumn("__block", F.pmod(F.xxhash64(by), F.col("__blocks")).cast("int")).drop("__blocks")
+    return spread.join(dealt, [*keys, "__block"]).drop("__block")

@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import align
+from logloom.functions.shared import checkpoint, join_in_blocks
 
 if TYPE_CHECKING:
     from logloom.operators.trie import Trie
 
-#: Characters of the literal beginning that form the join key.
-PREFIX = 4
 #: Templates that a compiled catalog may hold; beyond that the join is used.
 MAX_COMPILED = 20_000
+#: Words of a template whose counts in the contents are taken, and as many words as are broadcast for that.
+RAREST, MAX_BROADCAST_WORDS = 3, 500_000
 _LAST = chr(0x10FFFF)
 
 
@@ -34,47 +35,88 @@ def priority(template: Column) -> Column:
     return F.replace(template, F.lit("<*>"), F.lit(_LAST))
 
 
-def pattern(template: Column, wildcard: str = ".*") -> Column:
-    """Anchored regular expression; every wildcard takes anything, the empty text too."""
-    escaped = F.regexp_replace(template, r"([\\.^$|()?*+\[\]{}])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(escaped, F.lit(r"<\*>"), F.lit(wildcard)), F.lit("$"))
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\.^$|()?*+\[\]{}&~#-])", r"\\$1")
 
 
-def match_join(lines: DataFrame, templates: DataFrame, content_col: str = "content", template_col: str = "template") -> DataFrame:
+def pattern(template: Column, classes: Column | None = None) -> Column:
+    """Regular expression for a whole text, line ends of any kind included.
+
+    Without classes every wildcard takes anything, the empty text too. With them
+    (an array for each wildcard, as `class_union` makes them) a wildcard takes
+    characters of its classes only, and one that ends the template at least one;
+    one without classes takes nothing, one beyond the given ones anything. A
+    template without literal text then stands for no text but itself.
+    """
+    parts = F.split(template, r"<\*>", -1)
+    if classes is None:
+        return F.concat(F.lit("(?s)^"), F.array_join(F.transform(parts, _escaped), ".*"), F.lit("\\z"))
+
+    def wildcard(k: Column) -> Column:
+        last = (k == F.size(parts) - 2) & (F.element_at(parts, -1) == "")
+        own = F.get(classes, k)
+        others = F.array_join(F.transform(F.filter(own, lambda c: c != "alpha"), lambda c: F.when(c == "digit", r"\p{Nd}").otherwise(_escaped(c))), "")
+        taken = F.concat(F.when(F.array_contains(own, "alpha"), r"\p{L}\p{Nl}\p{No}").otherwise(""), others)
+        one = F.when(own.isNull(), ".").when(taken == "", "(?!)").otherwise(F.concat(F.lit("["), taken, F.lit("]")))
+        return F.concat(one, F.when(last, "+").otherwise("*"))
+
+    pieces = F.transform(parts, lambda p, k: F.concat(_escaped(p), F.when(k < F.size(parts) - 1, wildcard(k)).otherwise("")))
+    rx = F.concat(F.lit("(?s)^"), F.array_join(pieces, ""), F.lit("\\z"))
+    return F.when(template.rlike("[^<>* ]") | ~F.contains(template, F.lit("<*>")), rx).otherwise("(?!)")
+
+
+def _whole_words(template: Column) -> Column:
+    """Words of the literal text that have a blank or an end on both sides, so stand in every text that the template fits."""
+    words = F.flatten(F.transform(F.split(template, r"<\*>", -1), lambda p: F.split(p, " ", -1)))
+    padded = F.concat(F.lit(" "), template, F.lit(" "))
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
+
+
+def match_join(lines: DataFrame, templates: DataFrame, content_col: str = "content", template_col: str = "template", classes_col: str | None = None) -> DataFrame:
     """(content, template): each distinct content with the template that fits it best.
 
-    The literal text before a template's first wildcard and after its last one
-    are join keys where they have PREFIX characters. A template with neither is
-    met by a whole word of its literal text, the longest, or by its first literal
-    character where it has no word; only one without any literal text meets every
-    content. Both ends and the longest literal part are compared before the
-    regular expression is.
+    A template without a wildcard is its text: an equal join. One with some is
+    met by the contents that have its rarest whole word: of the RAREST rarest
+    among templates, the rarest in contents. One without a whole word is met by
+    the contents with its first literal character, and one of wildcards only by
+    all. Contents of a frequent key are dealt out in blocks, to each of which its
+    templates go. Both ends and the longest literal part are compared before the
+    regular expression is. classes_col: what each wildcard takes, see `pattern`;
+    without it, anything. Null contents and templates are left out; repeated ones
+    count once.
     """
-    t = templates.select(F.col(template_col).alias("template")).filter("template is not null").distinct().withColumn("rx", pattern(F.col("template")))
+    t = templates.select(F.col(template_col).alias("template"), *([F.col(classes_col).alias("classes")] if classes_col else [])).filter("template is not null").dropDuplicates(["template"])
+    c = lines.select(F.col(content_col).alias("content")).filter("content is not null").distinct()
+    wild = F.contains("template", F.lit("<*>"))
+    exact = c.join(t.filter(~wild).select(F.col("template").alias("content"), "template"), "content")
+
     parts = F.split("template", r"<\*>", -1)
-    t = t.withColumn("head", F.element_at(parts, 1)).withColumn("tail", F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.col("template")))
-    t = t.withColumn("core", F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))).getField("p"))
-    t = t.withColumn("k1", F.when(F.length("head") >= PREFIX, F.substring("head", 1, PREFIX))).withColumn("k2", F.when(F.length("tail") >= PREFIX, F.substring("tail", -PREFIX, PREFIX)))
-    c = lines.select(F.col(content_col).alias("content")).distinct().withColumn("k1", F.substring("content", 1, PREFIX)).withColumn("k2", F.substring("content", -PREFIX, PREFIX))
+    core = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))).getField("p")
+    t = t.filter(wild).select("template", pattern(F.col("template"), F.col("classes") if classes_col else None).alias("rx"), _whole_words(F.col("template")).alias("words"), F.element_at(parts, 1).alias("head"), F.element_at(parts, -1).alias("tail"), core.alias("core"))
+    t = checkpoint(t)
+    asked = t.select("template", F.explode("words").alias("word"))
+    df = asked.groupBy("word").agg(F.count("*").alias("df"))
+    rare = asked.join(df, "word").groupBy("template").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), 1, RAREST).getField("word").alias("word"))
+    rare = checkpoint(rare.select("template", F.explode("word").alias("word")))
+    letter = F.substring(F.replace("template", F.lit("<*>"), F.lit("")), 1, 1)
+    others = t.filter("size(words) = 0").select("template", F.concat(F.lit("c"), letter).alias("key"))
+
+    keys = rare.select("word").distinct()
+    keys = F.broadcast(keys) if rare.count() <= MAX_BROADCAST_WORDS else keys
+    near = c.select("content", F.explode(F.array_distinct(F.split("content", " ", -1))).alias("word")).join(keys, "word")
+    near = checkpoint(near)  # one pass over the contents
+    often = near.groupBy("word").agg(F.count("*").alias("n"))
+    best = rare.join(often, "word").groupBy("template").agg(F.min(F.struct("n", "word")).getField("word").alias("word"))
+    keyed = best.select("template", F.concat(F.lit("w"), "word").alias("key")).unionByName(others)
+    met = near.select("content", F.concat(F.lit("w"), "word").alias("key"))
+    if not others.isEmpty():
+        signs = F.concat(F.array(F.lit("c")), F.transform(F.split("content", ""), lambda x: F.concat(F.lit("c"), x)))
+        met = met.unionByName(checkpoint(c.select("content", F.explode(F.array_distinct(signs)).alias("key")).join(others.select("key").distinct(), "key").select("content", "key")))
+    keyed = checkpoint(keyed.join(t.drop("words"), "template"))
+    met = met.join(keyed.select("key").distinct(), "key")
     fit = F.expr("startswith(content, head) and endswith(content, tail) and contains(content, core) and content rlike rx")
-    hits = None
-    for first, last in ((True, True), (True, False), (False, True), (False, False)):
-        some = t.filter((F.col("k1").isNotNull() if first else F.col("k1").isNull()) & (F.col("k2").isNotNull() if last else F.col("k2").isNull()))
-        keys = ["k1"] * first + ["k2"] * last
-        some = some.drop(*({"k1", "k2"} - set(keys)))
-        if keys:
-            met = c.join(some, keys)
-        else:
-            # a word that is whole in the template is whole in the content: blanks, or the ends, stand on both sides
-            held = F.filter(F.flatten(F.transform(F.split("template", r"<\*>", -1), lambda p: F.split(p, " ", -1))), lambda w: F.contains(F.concat(F.lit(" "), "template", F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" "))) & (w != ""))
-            word = F.array_max(F.transform(held, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
-            letter = F.substring(F.replace("template", F.lit("<*>"), F.lit("")), 1, 1)
-            some = some.withColumn("key", F.when(word.isNotNull(), F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("c"), letter)))
-            own = F.concat(F.transform(F.split("content", " ", -1), lambda w: F.concat(F.lit("w"), w)), F.transform(F.split("content", ""), lambda x: F.concat(F.lit("c"), x)), F.array(F.lit("c")))
-            met = c.select("content", F.explode(F.array_distinct(own)).alias("key")).join(some, "key")
-        met = met.filter(fit).select("content", "template")
-        hits = met if hits is None else hits.unionByName(met)
-    return hits.groupBy("content").agg(F.min_by("template", priority(F.col("template"))).alias("template"))
+    hits = join_in_blocks(keyed, met, ["key"], "content").filter(fit).select("content", "template")
+    return exact.unionByName(hits).groupBy("content").agg(F.min_by("template", priority(F.col("template"))).alias("template"))
 
 
 def class_union(projected: DataFrame, template_col: str = "template", classes_col: str = "classes") -> DataFrame:
@@ -145,17 +187,22 @@ class Catalog:
             rx += (class_regex(classes, last) if classes is not None else ".+" if last else ".*") + re.escape(part)
         return re.compile(rx, re.S)
 
-    def match(self, message: str) -> int:
-        """The id of the best template, or -1."""
+    def best(self, message: str) -> tuple[str, int] | None:
+        """The best template, in order of priority, and its id."""
         if message in self.exact:
-            return self.exact[message]
+            return message, self.exact[message]
         tried: list[int] = []
         for n in self.head_lengths[: bisect.bisect_right(self.head_lengths, len(message))]:
             tried += self.by_head.get(message[:n], ())
         for k in sorted(tried):
             if self.rules[k][2].fullmatch(message):
-                return self.rules[k][3]
-        return -1
+                return self.rules[k][0], self.rules[k][3]
+        return None
+
+    def match(self, message: str) -> int:
+        """The id of the best template, or -1."""
+        found = self.best(message)
+        return found[1] if found else -1
 
 
 def match_catalog(lines: DataFrame, catalog: Catalog | Trie, content_col: str = "content") -> DataFrame:

@@ -3,7 +3,7 @@
 Exact mode is an online pass over the distinct messages in the order of their
 first line: match the catalog, else extract, refine, look up candidates, and
 join one of them or open a new cluster. It runs on masks' representatives,
-which are few in logs and bounded by a parameter. Scalable mode merges masks by
+which are few in logs and bounded by a parameter, one task for each dataset. Scalable mode merges masks by
 token-blocked pairs and connected components, and has no order.
 """
 
@@ -30,6 +30,7 @@ MAX_WILDCARDS = 50
 MAX_MESSAGES = 200_000
 _WORD = re.compile("[a-zA-Z0-9]")
 _NUMBER = re.compile(r"-?\+?\d+|0[Xx][a-fA-F\d]+|[a-fA-F\d]{4,}")
+_RUN = re.compile(r"[^\W_]+")
 _INDEX_TOKEN = re.compile(r"(?s)<\*>|(?:[^\W_]|[._/-])+|.")
 
 
@@ -119,17 +120,41 @@ class Cluster:
 
 
 class Miner:
-    """The online pass. Feed messages in order; clusters keep the messages that opened or widened them."""
+    """The online pass. Feed messages in order; clusters keep the messages that opened or widened them.
+
+    An id is given once. A cluster that became part of another leaves a move;
+    `root` follows moves from an id that was given to the cluster that it is now.
+    What is matched does not depend on when the catalog was compiled, so a miner
+    made again from clusters and entries (`restore`) goes on as the first would have.
+    """
 
     def __init__(self, oracle: Oracle | None = None) -> None:
         self.oracle = oracle or Heuristic()
         self.clusters: dict[int, Cluster] = {}
+        self.words: dict[int, frozenset[str]] = {}
         self.index = Index()
         self.entries: dict[tuple[int, str], Entry] = {}
         self.catalog = Catalog([])
         self.fresh: list[Entry] = []
+        self.young: Catalog | None = None  # the fresh ones, compiled
         self.assigned: dict[str, int] = {}
+        self.moves: dict[int, int] = {}
+        self.next_id = 0
         self.calls = 0
+        self.learned = 0
+
+    def restore(self, clusters: dict[int, Cluster], entries: list[Entry], next_id: int) -> None:
+        """Go on from what another miner held."""
+        self.clusters, self.next_id = clusters, next_id
+        for cid in sorted(clusters):
+            self._describe(cid)
+        self.entries = {(e.tid, e.template): e for e in entries}
+        self._compile()
+
+    def root(self, cid: int) -> int:
+        while cid in self.moves:
+            cid = self.moves[cid]
+        return cid
 
     def _learn(self, cid: int, message: str) -> None:
         """Put the cluster's template, as it fits this message, into the catalog."""
@@ -147,18 +172,20 @@ class Miner:
         else:
             old = self.entries[cid, template] = Entry(cid, template, p.classes)
         self.fresh.append(old)
+        self.young = None
+        self.learned += 1
         if len(self.fresh) > 64:
             self._compile()
 
     def _compile(self) -> None:
         self.catalog = Catalog(list(self.entries.values()))
-        self.fresh = []
+        self.fresh, self.young = [], Catalog([])
 
     def match(self, message: str) -> int:
-        cid = self.catalog.match(message)
-        if cid == -1 and self.fresh:
-            cid = Catalog(self.fresh).match(message)
-        return cid
+        """The cluster with the best template among those compiled and those learned since, or -1."""
+        self.young = self.young or Catalog(self.fresh)
+        found = [self.catalog.best(message), self.young.best(message)]
+        return min((f for f in found if f), default=("", -1))[1]
 
     def feed(self, message: str, first: int = 0, rows: int = 1) -> int:
         """The cluster of a message; first is its first line, rows how many lines have it."""
@@ -193,23 +220,30 @@ class Miner:
                 self._rename(cid, m.template)
                 self._learn(cid, message)
                 return cid if by_rule else self._absorb(cid)
-        cid = max(self.clusters, default=-1) + 1
+        cid = self.next_id
+        self.next_id += 1
         self.clusters[cid] = Cluster(align.realign(template, message).template, first, 0, [message])
-        self.index.put(cid, self.clusters[cid].template)
+        self._describe(cid)
         self._learn(cid, message)
         return self._absorb(cid)
 
     def _rename(self, cid: int, template: str) -> None:
         self.clusters[cid].template = template
+        self._describe(cid)
+
+    def _describe(self, cid: int) -> None:
+        template = self.clusters[cid].template
         self.index.put(cid, template)
+        self.words[cid] = frozenset(_RUN.findall(template))
 
     def _absorb(self, cid: int) -> int:
         """Clusters whose merge with this one is one of the two templates become part of it."""
         taken = []
         for other in list(self.clusters):
-            if other == cid:
-                continue
+            # a merge that is one of the two keeps all words of that one, unless the two only differ in wildcards in a row
             mine, theirs = self.clusters[cid].template, self.clusters[other].template
+            if other == cid or not (self.words[cid] <= self.words[other] or self.words[other] <= self.words[cid]):
+                continue
             ok, m = align.judge(mine, theirs)
             if ok and m.template in (mine, theirs):
                 taken.append(other)
@@ -220,12 +254,10 @@ class Miner:
             for other in taken:
                 c = self.clusters.pop(other)
                 self.index.drop(other)
+                self.moves[other] = cid
                 whole.rows += c.rows
                 whole.first = min(whole.first, c.first)
                 whole.members += c.members
-            for message, at in self.assigned.items():
-                if at in gone:
-                    self.assigned[message] = cid
             for key in [k for k in self.entries if k[0] in gone or k[0] == cid]:
                 del self.entries[key]
             self.fresh = []
@@ -244,30 +276,41 @@ def distinct_messages(lines: DataFrame, content_col: str = "content", order_col:
     return lines.groupBy(F.col(content_col).alias("content")).agg(F.min(order_col).alias("first"), F.count("*").alias("rows"))
 
 
-def mine_exact(lines: DataFrame, content_col: str = "content", order_col: str = "LineId", oracle: Oracle | None = None, most: int = MAX_MESSAGES) -> tuple[DataFrame, DataFrame]:
-    """(structured, catalog) in the order of the lines.
+def mine_exact(lines: DataFrame, content_col: str = "content", order_col: str = "LineId", oracle: Oracle | None = None, most: int = MAX_MESSAGES, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(structured, catalog) in the order of the lines; with `by`, of each dataset that those columns name, side by side.
 
     Messages with equal masks share a fate under the heuristic oracle, so the
-    pass takes one for each mask: the first. More than `most` of them is an
-    error; mine_scalable has no such bound. EventId numbers the clusters by their
-    first line.
+    pass takes one for each mask: the first. A dataset's pass is one task's work,
+    as each message depends on those before it; more than `most` masks in one is
+    an error, and mine_scalable has no such bound. EventId numbers a dataset's
+    clusters by their first line. Lines without content, or with a null in `by`,
+    are mined like others. The driver sees nothing of the messages.
     """
-    spark = lines.sparkSession
-    messages = checkpoint(distinct_messages(lines, content_col, order_col).withColumn("mask", text.mask(F.col("content"))))
-    heads = messages.groupBy("mask").agg(F.min_by("content", "first").alias("content"), F.min("first").alias("first"), F.sum("rows").alias("rows"))
-    if heads.limit(most + 1).count() > most:
+    by = by or []
+    keys = [F.col(f"`{c}`").alias(f"__by{k}") for k, c in enumerate(by)]
+    named = [f"__by{k}" for k in range(len(by))]
+    masked = lines.withColumns({f"__by{k}": x for k, x in enumerate(keys)} | {"__mask": text.mask(F.col(content_col))})
+    heads = masked.groupBy(*named, "__mask").agg(F.min_by(content_col, order_col).alias("content"), F.min(order_col).alias("first"), F.count("*").alias("rows"))
+    heads = checkpoint(heads)
+    if not heads.groupBy(*named).count().filter(F.col("count") > most).isEmpty():
         raise ValueError(f"more than {most} masks; use mine_scalable")
-    miner = Miner(oracle)
-    masks = {}
-    for r in heads.orderBy("first").toLocalIterator():
-        miner.feed(r["content"], r["first"], r["rows"])
-        masks[r["mask"]] = r["content"]
-    order = {cid: k for k, (cid, _) in enumerate(sorted(miner.clusters.items(), key=lambda x: x[1].first))}
-    catalog = [(order[c], x.template, x.rows) for c, x in miner.clusters.items()]
-    where = [(mask, order[miner.assigned[content]], miner.clusters[miner.assigned[content]].template) for mask, content in masks.items()]
-    placed = spark.createDataFrame(where, "mask string, EventId int, EventTemplate string")
-    structured = lines.withColumn("__mask", text.mask(F.col(content_col))).join(placed.withColumnRenamed("mask", "__mask"), "__mask", "left").drop("__mask")
-    return structured, spark.createDataFrame(catalog, "EventId int, EventTemplate string, Occurrences long")
+    kinds = dict(heads.dtypes)
+
+    def mined(group: pd.DataFrame) -> pd.DataFrame:
+        miner = Miner(oracle)
+        group = group.sort_values("first", kind="stable")
+        for content, first, rows in zip(group["content"], group["first"], group["rows"], strict=True):
+            miner.feed(content or "", first, rows)
+        order = {cid: k for k, (cid, _) in enumerate(sorted(miner.clusters.items(), key=lambda x: x[1].first))}
+        at = [miner.root(miner.assigned[c or ""]) for c in group["content"]]
+        return group[[*named, "__mask", "rows"]].assign(EventId=[order[c] for c in at], EventTemplate=[miner.clusters[c].template for c in at])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*named, "__mask", "rows"]), "EventId int", "EventTemplate string"])
+    placed = checkpoint(heads.groupBy(*named).applyInPandas(mined, schema))
+    catalog = placed.groupBy(*named, "EventId", "EventTemplate").agg(F.sum("rows").alias("Occurrences"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*named, "__mask"]]
+    structured = masked.alias("l").join(placed.alias("p"), same, "left").select("l.*", "p.EventId", "p.EventTemplate").drop(*named, "__mask")
+    return structured, catalog.select(*[F.col(f"__by{k}").alias(c) for k, c in enumerate(by)], "EventId", "EventTemplate", "Occurrences")
 
 
 def token_pairs(templates: DataFrame, template_col: str = "template") -> DataFrame:

@@ -1,0 +1,74 @@
+"""Queries of online mining with state: a log of client changes, read in four batches with a restart before each."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.functions.shared import shared_folder
+from logloom.plans.queries import query
+from logloom.streaming import online
+
+BATCHES = 4
+
+
+def _change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, LineId, content, quarter): changes as messages, one dataset for each source. Late deletions
+    are written in words that take in all statements of two words and `stored`."""
+    c = spark.read.parquet(f"{sf_dir}/client_changes.parquet")
+    top = c.agg(F.coalesce(F.max("change_id"), F.lit(0))).first()[0]
+    number = lambda n: F.col(n).cast("string")
+    size = F.when(F.col("balance") > 2500, "large").otherwise("small")
+    pair = F.concat_ws(" ", F.coalesce("segment", F.lit("none")), size, F.lit("stored"))
+    said = F.when(F.col("op") == "I", F.concat_ws(" ", F.lit("inserted"), number("change_id"), F.lit("for"), number("client_id")))
+    said = said.when((F.col("op") == "D") & (F.col("change_id") * 5 >= top * 3), F.concat_ws(" ", number("change_id"), number("client_id"), F.lit("stored")))
+    said = said.when(F.col("op") == "D", F.concat_ws(" ", F.lit("removed"), number("change_id"))).otherwise(pair)
+    quarter = F.expr(f"CAST(({BATCHES} * change_id) div ({top} + 1) AS INT)")
+    return c.select(F.coalesce("source", F.lit("none")).alias("dataset"), (F.col("change_id") + 1).alias("LineId"), said.alias("content"), quarter.alias("quarter"))
+
+
+def _mined(spark: SparkSession, sf_dir: str) -> str:
+    """Mine the lines batch by batch; the stream is started anew for each on one checkpoint. Gives the folder of versions."""
+    where = shared_folder(spark, "online")
+    lines = _change_lines(spark, sf_dir)
+    for k in range(BATCHES):
+        lines.filter(F.col("quarter") == k).drop("quarter").write.mode("append").parquet(f"{where}/lines")
+        stream = spark.readStream.schema(lines.drop("quarter").schema).parquet(f"{where}/lines")
+        online.mine_online(stream, f"{where}/versions", f"{where}/checkpoint").awaitTermination()
+    return f"{where}/versions"
+
+
+#: What the pass makes of these lines by hand: a statement opens a cluster at its first line, unless it is of two words
+#: and `stored` and comes after the dataset's first late deletion, which takes all of those in. k: the batches seen.
+_SAID = f"""said AS (SELECT coalesce(source, 'none') AS dataset, change_id + 1 AS line, CAST(({BATCHES} * change_id) // (top + 1) AS INTEGER) AS batch, op = 'D' AND change_id * 5 >= top * 3 AS late,
+      CASE WHEN op = 'I' THEN 'inserted <*> for <*>' WHEN op = 'D' AND change_id * 5 >= top * 3 THEN '<*> <*> stored' WHEN op = 'D' THEN 'removed <*>'
+        ELSE coalesce(segment, 'none') || CASE WHEN balance > 2500 THEN ' large' ELSE ' small' END || ' stored' END AS key
+      FROM client_changes, (SELECT max(change_id) AS top FROM client_changes) t),
+    seen AS (SELECT k, said.* FROM said JOIN (SELECT unnest(range({BATCHES})) AS k) r ON batch <= k),
+    late AS (SELECT k, dataset, min(line) AS since FROM seen WHERE late GROUP BY k, dataset),
+    mine AS (SELECT seen.*, since, key LIKE '% stored' AND line >= since IS TRUE AS taken FROM seen LEFT JOIN late USING (k, dataset)),
+    own AS (SELECT *, CASE WHEN taken THEN '<*> <*> stored' ELSE key END AS statement FROM mine),
+    opened AS (SELECT k, dataset, statement, row_number() OVER (PARTITION BY k, dataset ORDER BY min(line)) - 1 AS id FROM own GROUP BY k, dataset, statement),
+    placed AS (SELECT own.*, opened.id AS first_id, CASE WHEN key LIKE '% stored' AND since IS NOT NULL THEN '<*> <*> stored' ELSE key END AS now FROM own JOIN opened USING (k, dataset, statement))"""
+
+
+@query(
+    f"""WITH {_SAID} SELECT p.dataset, line AS "LineId", batch, first_id, o.id AS "EventId", now AS "EventTemplate"
+    FROM placed p JOIN opened o ON o.k = p.k AND o.dataset = p.dataset AND o.statement = now WHERE p.k = {BATCHES - 1}"""
+)
+def online_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the id that its batch gave it, and the one that merges of later batches made of it."""
+    return online.structured(spark, _mined(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SAID} SELECT CAST(p.k AS INTEGER) AS batch, p.dataset, o.id AS "EventId", now AS "EventTemplate", count(*) AS "Occurrences"
+    FROM placed p JOIN opened o ON o.k = p.k AND o.dataset = p.dataset AND o.statement = now GROUP BY ALL"""
+)
+def online_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog after each batch."""
+    path = _mined(spark, sf_dir)
+    each = [online.catalog(spark, path, k).withColumn("batch", F.lit(k)) for k in range(BATCHES)]
+    return reduce(DataFrame.unionByName, each).select("batch", "dataset", "EventId", "EventTemplate", "Occurrences")

@@ -281,14 +281,16 @@ def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LINES}, cat AS (SELECT template, '^' || replace(regexp_replace(template, '([\\\\.^$|()?*+\\[\\]{{}}])', '\\\\\\1', 'g'), '<\\*>', '.*') || '$' AS rx FROM mask WHERE contains(template, '<*>')),
+    f"""WITH {LINES}, cat AS (SELECT template, '(?s)^' || replace(regexp_replace(template, '([\\\\.^$|()?*+\\[\\]{{}}])', '\\\\\\1', 'g'), '<\\*>', '.*') || '$' AS rx FROM mask WHERE contains(template, '<*>')),
     c AS (SELECT DISTINCT content FROM content),
-    hit AS (SELECT content, template, row_number() OVER (PARTITION BY content ORDER BY replace(template, '<*>', chr(1114111))) AS k FROM c JOIN cat ON regexp_matches(content, rx))
+    met AS (SELECT content, template FROM c JOIN cat ON regexp_matches(content, rx) UNION ALL SELECT content, template FROM c JOIN mask ON content = template WHERE NOT contains(template, '<*>')),
+    hit AS (SELECT content, template, row_number() OVER (PARTITION BY content ORDER BY replace(template, '<*>', chr(1114111))) AS k FROM met)
     SELECT template, count(*) AS lines FROM hit WHERE k = 1 GROUP BY template"""
 )
 def pattern_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against all masks, with and without wildcards."""
     content = checkpoint(_content(spark, sf_dir).select("content").distinct())
-    masks = content.select(text.mask(F.col("content")).alias("template")).filter(F.contains("template", F.lit("<*>")))
+    masks = content.select(text.mask(F.col("content")).alias("template"))
     return match.match_join(content, masks).groupBy("template").agg(F.count("*").alias("lines"))
 
 
