@@ -67,14 +67,18 @@ RULES = [
     (r"#<\*>#", "<*>"),
     (r'<\*>(?:")+', "<*>"),
 ]
-#: Rules that may apply again to what they made.
-NESTED = frozenset({r"<\*>##<*>", r"<<\*>>", r"'<\*>'", r"\(<\*>\)", r"\[<\*>\]", r'"<\*>"', r"#<\*>#"})
+#: Rules that may apply again to what they made, with what bounds how often: each time takes one of the
+#: signs before a wildcard, or one of the signs anywhere, so the longest run or their number is enough.
+NESTED = {r"<<\*>>": r"(<+)<\*>", r"'<\*>'": r"('+)<\*>", r"\(<\*>\)": r"(\(+)<\*>", r"\[<\*>\]": r"(\[+)<\*>", r'"<\*>"': r'("+)<\*>', r"#<\*>#": r"(#+)<\*>", r"<*>##<*>": None}
 
 
 def _settled(template: Column, pattern: str, to: str) -> Column:
-    """The rule repeated while it matches: each match shortens the text, so its length bounds the steps."""
+    """The rule repeated until it does not match: in as many steps as it can take, not as the text is long."""
+    run = NESTED[pattern]
+
     def fix(t: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t)))
+        most = F.regexp_count(t, F.lit("##")) if run is None else F.array_max(F.transform(F.regexp_extract_all(t, F.lit(run), F.lit(1)), F.length))
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), most))
         return F.when(t.rlike(pattern), F.aggregate(steps, t, lambda held, _: F.regexp_replace(held, pattern, to))).otherwise(t)
 
     # inside a transform the text is a variable: the chain before it stands in the expression once

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.shared import checkpoint
 from logloom.functions.text import alpha_tokens
 
+#: Different tokens of queries, counted for each query, that are sent to every task.
+MAX_SENT = 200_000
+
 
 def postings(templates: DataFrame, id_col: str = "tid", template_col: str = "template") -> DataFrame:
     """(token, tid, tf): how often each letters-only token stands in each template."""
@@ -35,23 +43,64 @@ def rare_tokens(least: float) -> Column:
     return walked.got
 
 
-def candidates(queries: DataFrame, templates: DataFrame, k: int = 3, least: float = 0.5, qid: str = "qid", query_col: str = "template", id_col: str = "tid", template_col: str = "template") -> DataFrame:
-    """(qid, tid, score, rank): the k templates that the query's tokens contain best.
+def _overlaps(have: DataFrame, templates: DataFrame, least: float) -> DataFrame:
+    """(qid, tid, score) for queries few enough to be sent to every task: their tokens are looked up for each template, in one pass without a shuffle."""
+    rows = [(r["token"], r["qid"], r["qtf"]) for r in have.collect()]  # MAX_SENT bounds it
+    place = {t: k for k, t in enumerate(sorted({t for t, _, _ in rows}))}
+    names = sorted({q for _, q, _ in rows})
+    number = {q: k for k, q in enumerate(names)}
+    token, query, qtf = np.array(sorted((place[t], number[q], n) for t, q, n in rows), dtype=np.int64).reshape(-1, 3).T
+    shared = have.sparkSession.sparkContext.broadcast((place, np.searchsorted(token, np.arange(len(place) + 1)), query, qtf, len(names)))
 
-    score is the overlap, counting repeats, over the template's tokens; ties
-    rank by tid. Candidates below `least` are left out, which makes it enough to
-    meet a template by its rarest tokens: common words bring no pairs together.
-    The overlap is taken inside the row, from both sides' tokens.
-    """
-    have = queries.select(F.col(qid).alias("qid"), F.explode(alpha_tokens(F.col(query_col))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, start, query, qtf, n = shared.value
+        for b in batches:
+            found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for r, tokens in enumerate(b.column(1).to_pylist()):
+                count = Counter(tokens)
+                known = [(place[t], c) for t, c in count.items() if t in place]
+                if sum(c for _, c in known) < least * len(tokens) or not known:
+                    continue
+                at, tf = np.array(known, dtype=np.int64).T
+                size = start[at + 1] - start[at]
+                rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[at], size)
+                score = np.bincount(query[rows], weights=np.minimum(qtf[rows], np.repeat(tf, size)), minlength=n) / len(tokens)
+                hit = np.flatnonzero((score >= least) & (score > 0))
+                found.append((np.full(len(hit), r), hit, score[hit]))
+            row, hit, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(hit.astype(np.int32)), pa.array(score)], names=["tid", "q", "score"])
+
+    kinds, src = dict(have.dtypes), templates.select("tid", alpha_tokens(F.col("template")).alias("tokens"))
+    got = src.mapInArrow(run, f"tid {dict(src.dtypes)['tid']}, q int, score double")
+    named = have.sparkSession.createDataFrame(list(enumerate(names)), f"q int, qid {kinds['qid']}")
+    return got.join(F.broadcast(named), "q").select("qid", "tid", "score")
+
+
+def _met_by_rare_tokens(have: DataFrame, templates: DataFrame, least: float) -> DataFrame:
+    """(qid, tid, score) for any number of queries: a template is met by its rarest tokens only, so common words bring no pairs together."""
     # ids may be long texts: rows are numbered, and get their ids back at the end
-    numbered = checkpoint(templates.select(F.col(id_col).alias("id"), F.col(template_col).alias("template"), F.monotonically_increasing_id().alias("n")))
+    numbered = checkpoint(templates.select(F.col("tid").alias("id"), "template", F.monotonically_increasing_id().alias("n")))
     rows = checkpoint(index_rows(postings(numbered, "n", "template")))  # the index: built once, read for each step
     rare = rows.select("tid", F.explode(rare_tokens(least)).alias("token"))
     met = have.select("qid", "token").join(rare, "token").select("qid", "tid").distinct()
     asked = have.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("token", "qtf"))).alias("asked"))
     common = F.aggregate("terms", F.lit(0).cast("long"), lambda s, e: s + F.least(e.tf, F.coalesce(F.col("asked")[e.token], F.lit(0))))
     scored = met.join(rows, "tid").join(asked, "qid").select("qid", "tid", (common / F.col("n_tokens")).alias("score")).filter(F.col("score") >= least)
-    named = scored.join(numbered.select(F.col("n").alias("tid"), "id"), "tid").select("qid", F.col("id").alias("tid"), "score")
-    best = named.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tid")))
+    return scored.join(numbered.select(F.col("n").alias("tid"), "id"), "tid").select("qid", F.col("id").alias("tid"), "score")
+
+
+def candidates(queries: DataFrame, templates: DataFrame, k: int = 3, least: float = 0.5, qid: str = "qid", query_col: str = "template", id_col: str = "tid", template_col: str = "template", most_sent: int = MAX_SENT) -> DataFrame:
+    """(qid, tid, score, rank): the k templates that the query's tokens contain best.
+
+    score is the overlap, counting repeats, over the template's tokens; ties
+    rank by tid. Candidates below `least` are left out. Queries with `most_sent`
+    different tokens in all, or fewer, go to every task; for more, queries and
+    templates are joined by the templates' rarest tokens. Queries and templates
+    without a letters-only token, and queries without an id, meet none.
+    """
+    have = queries.filter(F.col(qid).isNotNull()).select(F.col(qid).alias("qid"), F.explode(alpha_tokens(F.col(query_col))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
+    have = checkpoint(have)
+    templates = templates.select(F.col(id_col).alias("tid"), F.col(template_col).alias("template")).filter("template is not null")
+    scored = (_overlaps if have.count() <= most_sent else _met_by_rare_tokens)(have, templates, least)
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tid")))
     return best.filter(F.col("rank") <= k).select("qid", "tid", "score", F.col("rank").cast("long").alias("rank"))
