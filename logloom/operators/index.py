@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.shared import checkpoint
@@ -43,6 +43,60 @@ def rare_tokens(least: float) -> Column:
     return walked.got
 
 
+class IndexStore:
+    """An inverted index that grows by versions below `path`.
+
+    A version holds the postings of the templates that came or changed, and its
+    heads: a row for each of their ids, and for ids that were removed. The newest
+    version of an id counts. `compact` writes all that counts as a base; later
+    reads take it as it is but for ids that changed since, so a change costs its
+    own postings and not the index. A version that is written again replaces itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def add(self, version: int, changes: DataFrame, id_col: str = "tid", template_col: str = "template") -> None:
+        """Index templates under their ids, in place of what those stood for; a null template removes its id. Ids are not null and stand once."""
+        src = checkpoint(changes.select(F.col(id_col).cast("string").alias("tid"), F.col(template_col).alias("template")))
+        heads = src.select("tid", F.col("template").isNotNull().alias("live"), F.lit(version).alias("version"))
+        heads.write.mode("overwrite").parquet(f"{self.path}/heads/v={version}")
+        postings(src.filter("template is not null")).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.path}/postings/v={version}")
+
+    def _versions(self, kind: str) -> list[int]:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS"))]
+        return sorted(int(n[2:]) for n in done)
+
+    def _read(self, kind: str, versions: list[int], schema: str) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/v={v}" for v in versions])
+
+    def postings(self, version: int | None = None) -> DataFrame:
+        """(token, tid, tf) after a version, the last by default."""
+        upto = [v for v in self._versions("heads") if version is None or v <= version]
+        base = max((v for v in self._versions("base") if version is None or v <= version), default=None)
+        since = [v for v in upto if base is None or v > base]
+        heads = self._read("heads", since, "tid string, live boolean, version int")
+        newest = heads.groupBy("tid").agg(F.max_by("live", "version").alias("live"), F.max("version").alias("version"))
+        fresh = self._read("postings", since, "token string, tid string, tf long, version int")
+        fresh = fresh.join(newest.filter("live").drop("live"), ["tid", "version"]).select("token", "tid", "tf")
+        if base is None:
+            return fresh
+        kept = self._read("base", [base], "token string, tid string, tf long").join(newest, "tid", "left_anti")
+        return kept.unionByName(fresh)
+
+    def compact(self) -> None:
+        """Write what counts after the last version as a base."""
+        upto = self._versions("heads")
+        if upto and upto[-1] not in self._versions("base"):
+            self.postings().write.mode("overwrite").parquet(f"{self.path}/base/v={upto[-1]}")
+
+
 def _overlaps(have: DataFrame, templates: DataFrame, least: float) -> DataFrame:
     """(qid, tid, score) for queries few enough to be sent to every task: their tokens are looked up for each template, in one pass without a shuffle."""
     rows = [(r["token"], r["qid"], r["qtf"]) for r in have.collect()]  # MAX_SENT bounds it

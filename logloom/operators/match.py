@@ -125,6 +125,21 @@ def class_union(projected: DataFrame, template_col: str = "template", classes_co
     return slots.select("template", "slot", F.explode("one").alias("class")).groupBy("template", "slot").agg(F.array_sort(F.collect_set("class")).alias("classes"))
 
 
+def node_class_union(projected: DataFrame, template_col: str = "template", classes_col: str = "classes") -> DataFrame:
+    """(template, slot, classes) as a prefix tree shares them: a wildcard takes what it was seen with
+    in any template that is the same up to it, that wildcard included.
+
+    Classes are summed up by that beginning, whatever templates go on from it, and joined back
+    to each of them. Templates without literal text are in no tree and are left out.
+    """
+    src = projected.select(F.col(template_col).alias("template"), F.col(classes_col).alias("classes")).filter(F.col("template").rlike("[^<>* ]"))
+    parts = F.split(F.regexp_replace("template", r"<\*>?", "<*>"), r"<\*>", -1)
+    slots = src.select("template", parts.alias("parts"), F.posexplode("classes").alias("slot", "one"))
+    slots = slots.withColumn("start", F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("slot") + 1), "<*>"), F.lit("<*>")))
+    shared = slots.select("start", F.explode("one").alias("class")).groupBy("start").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    return slots.select("template", "slot", "start").distinct().join(shared, "start").select("template", "slot", "classes")
+
+
 def class_regex(classes: set[str] | list[str], last: bool) -> str:
     """What a wildcard with these classes takes; a trailing one takes a character at least."""
     letters = [r"[^\W\d_]"] if "alpha" in classes else []

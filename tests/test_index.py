@@ -34,3 +34,26 @@ def test_empty(spark):
     t = spark.createDataFrame([(1, "open file")], "tid int, template string")
     q = t.withColumnRenamed("tid", "qid")
     assert index.candidates(q.limit(0), t).count() == 0 and index.candidates(q, t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("compacted", [(), (1,), (0, 2, 3)])
+def test_versions_equal_an_index_built_anew(spark, tmp_path, compacted):
+    """Deltas with changed, removed and returning ids; reads of older versions too."""
+    rnd = random.Random(len(compacted))
+    words = ["open", "file", "error", "a.b", "<*>", "x"]
+    store, now, states = index.IndexStore(spark, str(tmp_path / "i")), {}, []
+    assert store.postings().count() == 0
+    for v in range(4):
+        changes = {str(rnd.randrange(30)): rnd.choice([None, "", " ".join(rnd.choices(words, k=4))]) for _ in range(15)}
+        now |= changes
+        states.append(dict(now))
+        df = spark.createDataFrame([*changes.items()], "tid string, template string")
+        store.add(v, df)
+        store.add(v, df)  # a version that runs again replaces itself
+        if v in compacted:
+            store.compact()
+            store.compact()
+    for v, state in enumerate(states):
+        want = {(t, tid, n) for tid, x in state.items() if x is not None for t, n in Index.split(x).items()}
+        assert {(r["token"], r["tid"], r["tf"]) for r in store.postings(v).collect()} == want
+    assert store.postings().count() == len(want)
