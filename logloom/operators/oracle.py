@@ -104,13 +104,21 @@ class Http:
             return align.heuristic(message).template
 
     def is_constant(self, message: str, token: str) -> bool:
-        meaning = self.verdicts.ask(f"Log message:\n{message}\n\nIn one sentence, what does the part `{token}` of it mean?")
-        reply = self.verdicts.ask(f"Log message:\n{message}\n\nAbout the part `{token}`: {meaning}\n\nIs this part constant text of the logging statement or the value of a variable? Reply with the one word constant or variable.")
-        return says_constant(reply)
+        meaning = self.verdicts.ask(_filled(MEANING_PROMPT, message, token))
+        return says_constant(self.verdicts.ask(_filled(CONSTANT_PROMPT, message, token, meaning)))
 
     def same(self, first: str, second: str) -> bool:
-        reply = self.verdicts.ask(f"Two log templates, `<*>` stands for a variable part:\n1. {first}\n2. {second}\n\nDo both come from one logging statement? End with a line `Answer: yes` or `Answer: no`.")
-        return says_yes(reply)
+        return says_yes(self.verdicts.ask(_filled(SAME_PROMPT, first, second)))
+
+
+#: Prompts, in the pieces between which values stand.
+MEANING_PROMPT = ("Log message:\n", "\n\nIn one sentence, what does the part `", "` of it mean?")
+CONSTANT_PROMPT = ("Log message:\n", "\n\nAbout the part `", "`: ", "\n\nIs this part constant text of the logging statement or the value of a variable? Reply with the one word constant or variable.")
+SAME_PROMPT = ("Two log templates, `<*>` stands for a variable part:\n1. ", "\n2. ", "\n\nDo both come from one logging statement? End with a line `Answer: yes` or `Answer: no`.")
+
+
+def _filled(prompt: tuple[str, ...], *values: str) -> str:
+    return prompt[0] + "".join(v + piece for v, piece in zip(values, prompt[1:], strict=True))
 
 
 def says_yes(reply: str) -> bool:

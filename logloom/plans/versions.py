@@ -1,7 +1,7 @@
 """Queries of what grows by versions, and of merging and matching at catalog size.
 
 Online mining and the index read a log of client changes in four batches, the
-stream with a restart before each.
+stream with a restart before each; questions are asked in two jobs with one memo.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import align, text
 from logloom.functions.shared import shared_folder
-from logloom.operators import index, match, mine, pairs
-from logloom.plans.queries import _PART_PAIRS, _event_content, _part_templates, query
+from logloom.operators import ask, index, match, mine, pairs
+from logloom.plans.queries import _PART_PAIRS, _SLOTS, LINES, _content, _event_content, _part_templates, query
 from logloom.streaming import online
 
 BATCHES = 4
@@ -151,3 +151,12 @@ def class_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = match.class_union(seen).groupBy("template").agg(F.array_sort(F.collect_list(F.struct("slot", "classes"))).getField("classes").alias("classes"))
     hits = match.match_join(lines, slots, classes_col="classes")
     return lines.join(hits, "content").groupBy(F.col("template").alias("EventTemplate")).agg(F.count("*").alias("lines"))
+
+
+@query(f"WITH {LINES}, {_SLOTS} SELECT content, template, CAST(1 AS BIGINT) AS calls FROM projected WHERE regexp_matches(content, '[0-9]')")
+def asked_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of the lines that hold a digit, asked on executors: half of the documents first, then all; no prompt twice."""
+    lines = _content(spark, sf_dir).filter(F.col("content").rlike("[0-9]"))
+    path = shared_folder(spark, "memo")
+    ask.templates(lines.filter("doc_id % 2 = 0"), ask.Offline(), path)
+    return ask.templates(lines, ask.Offline(), path)
