@@ -15,6 +15,8 @@ from logloom.functions import align, text
 from logloom.functions.shared import shared_folder
 from logloom.operators import ask, index, match, mine, pairs
 from logloom.plans.queries import _PART_PAIRS, _SLOTS, LINES, _content, _event_content, _part_templates, query
+from logloom.sources import formats
+from logloom.streaming import lines as line_stream
 from logloom.streaming import online
 
 BATCHES = 4
@@ -80,6 +82,27 @@ def online_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each).select("batch", "dataset", "EventId", "EventTemplate", "Occurrences")
 
 
+@query(
+    """WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'left' ELSE 'right' END AS source, event_type FROM events WHERE event_type <> 'error')
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS "LineId", CAST(event_id AS VARCHAR) AS "Pid", upper(event_type) AS "Level" FROM e"""
+)
+def stream_line_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log files of two sources that come in three batches: numbers go on over batches, and skip lines that do not match."""
+    where = shared_folder(spark, "numbered")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    top = e.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    source = F.when(F.col("user_id") % 3 == 0, "left").otherwise("right")
+    whole = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"), F.col("event_id").cast("string"), F.upper("event_type"), F.lit("app: got"), "props")
+    said = e.select("event_id", source.alias("source"), F.when(F.col("event_type") == "error", F.lit("broken")).otherwise(whole).alias("value"), F.expr(f"(3 * event_id) div ({top} + 1)").alias("third"))
+    for k in range(3):
+        third = said.filter(F.col("third") == k).repartitionByRange("event_id").sortWithinPartitions("source", "event_id")
+        third.select("source", "value").write.mode("append").partitionBy("source").text(f"{where}/files")
+        files = spark.readStream.schema("value string, source string").text(f"{where}/files")
+        running, state = line_stream.number_stream(files, f"{where}/out", f"{where}/checkpoint", formats.FORMATS["HDFS"])
+        running.awaitTermination()
+    return state.lines().select("source", "LineId", "Pid", "Level")
+
+
 # the index by versions
 
 

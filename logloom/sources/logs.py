@@ -46,17 +46,25 @@ def read_log(spark: SparkSession, path: str, fmt: LineFormat | str) -> DataFrame
     within a file the splits do by position.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"))
-    parsed = parse_lines(raw, fmt).withColumn("__row", F.monotonically_increasing_id())
     fields = compile_format(fmt).fields if isinstance(fmt, str) else fmt.fields
-    # a split is a group of bounded size: rows are ranked inside it, and splits are counted
-    block = ["__file", "__at"]
-    ranked = parsed.withColumn("__k", F.row_number().over(Window.partitionBy(*block).orderBy("__row")))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
-    size = parsed.groupBy(*block).agg(F.count("*").alias("n")).withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    numbered = ranked.join(size, block).withColumn("LineId", F.col("__offset") + F.col("__k"))
+    numbered = number_splits(parse_lines(raw, fmt), ["__file", "__at"], [])
     return numbered.select("LineId", *[F.col(f"`{f}`") for f in fields])
 
 
+def number_splits(rows: DataFrame, split: list[str], by: list[str], name: str = "LineId") -> DataFrame:
+    """Dense numbers from 1, for each value of `by`, of rows as they come from file splits, which follow each other by their columns.
+
+    A split is a group of bounded size: rows are ranked inside it, and splits are
+    counted. Rows keep the order that their scan gives them.
+    """
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    block = [*by, *split]
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*block).orderBy("__row")))
+    before = Window.partitionBy(*by).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    size = rows.groupBy(*block).agg(F.count("*").alias("n")).withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return ranked.join(size, block).withColumn(name, F.col("__offset") + F.col("__k")).drop("__offset", "__k", "__row")
+
+
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, line): free text as log lines; a null text has none."""
     return docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
