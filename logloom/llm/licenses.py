@@ -95,12 +95,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     rows = zipped.select("rid", "id", "n_words", F.posexplode_outer("zipped")).select("rid", "id", "n_words", "pos", F.col("col.a").alias("a"), F.col("col.b").alias("b"))
     rows = rows.withColumn("h", F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")))
     hits = rows.join(F.broadcast(pairs), (rows.h == pairs.h) & (rows.a == pairs.ta) & (rows.b == pairs.tb), "left").filter("t is not null or b is null")
-    hits = hits.select("rid", "id", "n_words", "t", "is_base", "label", "pairs", (F.col("pos") - F.col("tpos")).cast("long").alias("diag"), F.col("pos").cast("long").alias("pos"))
-    votes = hits.repartition("rid").groupBy("rid", "id", "n_words", "t", "is_base", "label", "pairs", "diag").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    by = Window.partitionBy("rid", "t").orderBy("diag")
-    apart = F.when(F.col("is_base") | F.lag("diag").over(by).isNull() | (F.col("diag") - F.lag("diag").over(by) > SLACK), 1).otherwise(0)
-    merged = votes.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by))
-    spans = merged.groupBy("rid", "id", "n_words", "t", "is_base", "label", "pairs", "run").agg(F.sum("votes").alias("votes"), F.min("diag").alias("diag"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    hits = hits.select("rid", "id", "n_words", "t", "is_base", "label", "pairs", F.col("tpos").cast("long").alias("tpos"), (F.col("pos") - F.col("tpos")).cast("long").alias("diag"), F.col("pos").cast("long").alias("pos"))
+    of = Window.partitionBy("rid", "t")
+    # a diagonal has each template pair once at most: its votes are the pairs that it matches
+    voted = hits.repartition("rid").withColumn("votes", F.count("*").over(Window.partitionBy("rid", "t", "diag")))
+    gap = F.col("diag") - F.lag("diag").over(of.orderBy("diag", "tpos"))
+    merged = voted.withColumn("apart", F.when(gap.isNull() | (gap > F.when(F.col("is_base"), 0).otherwise(SLACK)), 1).otherwise(0))
+    merged = merged.withColumn("run", F.sum("apart").over(of.orderBy("diag", "tpos")))
+    # of neighbouring diagonals each template pair counts once, where it is nearest the one with the most votes, and in the template's order
+    in_run = Window.partitionBy("rid", "t", "run")
+    merged = merged.withColumn("main", F.first("diag").over(in_run.orderBy(F.desc("votes"), "diag", "tpos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = merged.withColumn("main", F.when(F.col("t").isNull(), F.lit(None)).otherwise(F.col("main")))
+    nearest = Window.partitionBy("rid", "t", "run", "tpos").orderBy(F.abs(F.col("diag") - F.col("main")), "diag")
+    once = merged.withColumn("nearest", F.row_number().over(nearest)).filter("nearest = 1")
+    before = F.max("pos").over(in_run.orderBy("tpos").rowsBetween(Window.unboundedPreceding, -1))
+    ordered = once.withColumn("counts", F.col("t").isNotNull() & (before.isNull() | (F.col("pos") > before)))
+    held = F.when(F.col("counts"), F.col("pos"))
+    spans = ordered.groupBy("rid", "id", "n_words", "t", "is_base", "label", "pairs", "run").agg(F.count(held).alias("votes"), F.min("diag").alias("diag"), F.min(held).alias("lo"), F.max(held).alias("hi"))
     whole = F.col("is_base") & (F.col("votes") == F.col("pairs"))
     near = ~F.col("is_base") & (F.col("votes") >= cover * F.col("pairs")) & (F.col("hi") - F.col("lo") + 1 <= F.col("pairs") + 2 * SLACK)
     share = F.when(whole | near, F.least(F.lit(1.0), F.col("votes") / F.col("pairs")))
@@ -128,13 +139,16 @@ w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}',
 n AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words FROM w),
 p AS (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w WHERE len(words) > 1),
 g AS (SELECT doc_id, i - 1 AS pos, words[i] AS a, words[i + 1] AS b FROM p),
-v AS (SELECT doc_id, t, is_base, label, pairs, pos - tpos AS diag, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
-      FROM g JOIN tp ON a = ta AND b = tb GROUP BY ALL),
-m AS (SELECT *, CASE WHEN is_base OR lag(diag) OVER q IS NULL OR diag - lag(diag) OVER q > {SLACK} THEN 1 ELSE 0 END AS apart
-      FROM v WINDOW q AS (PARTITION BY doc_id, t ORDER BY diag)),
-r AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diag) AS run FROM m),
-s AS (SELECT doc_id, t, is_base, label, pairs, run, sum(votes) AS votes, min(diag) AS diag, min(lo) AS lo, max(hi) AS hi
-      FROM r GROUP BY doc_id, t, is_base, label, pairs, run),
+v AS (SELECT doc_id, t, is_base, label, pairs, CAST(tpos AS BIGINT) AS tpos, pos, pos - tpos AS diag, count(*) OVER (PARTITION BY doc_id, t, pos - tpos) AS votes
+      FROM g JOIN tp ON a = ta AND b = tb),
+m AS (SELECT *, CASE WHEN coalesce(diag - lag(diag) OVER q > CASE WHEN is_base THEN 0 ELSE {SLACK} END, true) THEN 1 ELSE 0 END AS apart
+      FROM v WINDOW q AS (PARTITION BY doc_id, t ORDER BY diag, tpos)),
+r AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diag, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m),
+e AS (SELECT *, first_value(diag) OVER (PARTITION BY doc_id, t, run ORDER BY votes DESC, diag, tpos) AS main FROM r),
+o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, t, run, tpos ORDER BY abs(diag - main), diag) = 1),
+c AS (SELECT *, coalesce(pos > max(pos) OVER (PARTITION BY doc_id, t, run ORDER BY tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS counts FROM o),
+s AS (SELECT doc_id, t, is_base, label, pairs, run, count(*) FILTER (counts) AS votes, min(diag) AS diag, min(pos) FILTER (counts) AS lo, max(pos) FILTER (counts) AS hi
+      FROM c GROUP BY doc_id, t, is_base, label, pairs, run),
 f AS (SELECT *, is_base AND votes = pairs AS whole,
              NOT is_base AND votes >= {cover} * pairs AND hi - lo + 1 <= pairs + {2 * SLACK} AS near FROM s),
 a AS (SELECT doc_id, sum(CASE WHEN whole THEN 1 ELSE 0 END) AS n_base,
