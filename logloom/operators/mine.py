@@ -21,6 +21,7 @@ from logloom.functions import align, text
 from logloom.functions.shared import checkpoint
 from logloom.operators.match import Catalog, Entry
 from logloom.operators.oracle import Heuristic, Oracle
+from logloom.operators.pairs import contained_pairs
 from logloom.sources.logs import number_lines
 
 #: Candidates looked at for each unmatched message, and their least score.
@@ -330,11 +331,10 @@ def token_pairs(templates: DataFrame, template_col: str = "template") -> DataFra
 def merge_clusters(templates: DataFrame, template_col: str = "template") -> DataFrame:
     """(template, root): templates that a rule merges into one of the two, transitively.
 
-    Pairs come from token_pairs; a template without letters stays alone.
+    Pairs come from contained_pairs, which misses none of these merges.
     """
-    t = templates.select(F.col(template_col).alias("template")).distinct()
-    pairs = token_pairs(t)
-    verdict = pairs.withColumn("v", align.judged("a", "b")).filter("v.mergeable and (v.merged = a or v.merged = b)").select("a", "b")
+    t = templates.select(F.col(template_col).alias("template")).filter("template is not null").distinct()
+    verdict = contained_pairs(t).withColumn("v", align.judged("a", "b")).filter("v.mergeable and (v.merged = a or v.merged = b)").select("a", "b")
     edges = checkpoint(verdict)
     label = checkpoint(t.withColumn("root", F.col("template")))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

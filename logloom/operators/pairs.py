@@ -88,6 +88,23 @@ def rule_pairs(templates: DataFrame, template_col: str = "template") -> DataFram
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def contained_pairs(templates: DataFrame, template_col: str = "template") -> DataFrame:
+    """(a, b), a < b: distinct pairs of different templates, among them all whose merge is one of the two.
+
+    Such a merge keeps all runs of the one that it is, so those are in the other,
+    its rarest too, unless both have one form. What is met by the rarest run and
+    lacks another run goes before any alignment.
+    """
+    t, runs = _described(templates, template_col)
+    own = runs.groupBy("n").agg(F.collect_set("run").alias("runs"), F.min(F.struct("df", "run")).getField("run").alias("rarest"))
+    own = checkpoint(t.select("n", "template", "form").join(own, "n", "left"))
+    small = own.filter("rarest is not null").select(F.col("n").alias("l"), F.col("template").alias("x"), F.col("runs").alias("lr"), F.col("rarest").alias("run"))
+    large = own.select(F.col("n").alias("r"), F.col("template").alias("y"), F.col("runs").alias("rr"), F.explode("runs").alias("run"))
+    met = join_in_blocks(small, large, ["run"], "r", BLOCK).filter((F.col("l") != F.col("r")) & (F.size(F.array_except("lr", "rr")) == 0)).select("x", "y")
+    same = own.select("form", F.col("template").alias("x")).join(own.select("form", F.col("template").alias("y")), "form").filter("x < y").select("x", "y")
+    return met.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def mergeable_pairs(templates: DataFrame, template_col: str = "template") -> DataFrame:
     """(a, b, merged): all pairs of templates that the rule merges, and to what."""
     got = rule_pairs(templates, template_col).withColumn("v", align.judged("a", "b"))

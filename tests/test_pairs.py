@@ -5,7 +5,7 @@ import random
 import pytest
 
 from logloom.functions import align
-from logloom.operators import pairs
+from logloom.operators import mine, pairs
 
 
 def mixed(n, seed):
@@ -39,6 +39,32 @@ def test_all_mergeable_pairs_meet(spark, monkeypatch, seed, block):
     assert len(got) == len(set(got)) and {(a, b): m for a, b, m in got} == want and len(want) > 200
 
 
+def test_merges_into_one_of_two_are_among_the_contained(spark):
+    """And clusters by them equal those of all pairs."""
+    templates = mixed(250, 4)
+    df = spark.createDataFrame([(t,) for t in templates], "template string")
+    got = {(r["a"], r["b"]) for r in pairs.contained_pairs(df).collect()}
+    root = {t: t for t in templates}
+
+    def top(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    n = 0
+    for i, a in enumerate(templates):
+        for b in templates[i + 1 :]:
+            x, y = sorted((a, b))
+            ok, m = align.judge(x, y)
+            if ok and m.template in (a, b):
+                assert (x, y) in got
+                n += 1
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    assert n > 50
+    assert {r["template"]: r["root"] for r in mine.merge_clusters(df).collect()} == {t: top(t) for t in templates}
+
+
 def test_unrelated_templates_do_not_meet(spark):
     """Common words bring no long templates together."""
     rnd = random.Random(3)
