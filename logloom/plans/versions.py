@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import align, text
 from logloom.functions.shared import shared_folder
-from logloom.operators import ask, index, match, mine, pairs
-from logloom.plans.queries import _PART_PAIRS, _SLOTS, LINES, _content, _event_content, _part_templates, query
+from logloom.operators import ask, evaluate, index, match, mine, pairs
+from logloom.plans.queries import _PART_PAIRS, _PRF, _SIZES, _SLOTS, LINES, _content, _event_content, _part_templates, query
 from logloom.sources import formats
 from logloom.streaming import lines as line_stream
 from logloom.streaming import online
@@ -50,7 +50,7 @@ def _mined(spark: SparkSession, sf_dir: str) -> str:
 
 #: What the pass makes of these lines by hand: a statement opens a cluster at its first line, unless it is of two words
 #: and `stored` and comes after the dataset's first late deletion, which takes all of those in. k: the batches seen.
-_SAID = f"""said AS (SELECT coalesce(source, 'none') AS dataset, change_id + 1 AS line, CAST(({BATCHES} * change_id) // (top + 1) AS INTEGER) AS batch, op = 'D' AND change_id * 5 >= top * 3 AS late,
+_SAID = f"""said AS (SELECT coalesce(source, 'none') AS dataset, change_id + 1 AS line, CAST(({BATCHES} * change_id) // (top + 1) AS INTEGER) AS batch, op, op = 'D' AND change_id * 5 >= top * 3 AS late,
       CASE WHEN op = 'I' THEN 'inserted <*> for <*>' WHEN op = 'D' AND change_id * 5 >= top * 3 THEN '<*> <*> stored' WHEN op = 'D' THEN 'removed <*>'
         ELSE coalesce(segment, 'none') || CASE WHEN balance > 2500 THEN ' large' ELSE ' small' END || ' stored' END AS key
       FROM client_changes, (SELECT max(change_id) AS top FROM client_changes) t),
@@ -82,6 +82,19 @@ def online_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each).select("batch", "dataset", "EventId", "EventTemplate", "Occurrences")
 
 
+@query(
+    f"""WITH {_SAID}, pairs AS (SELECT p.dataset || ':' || o.id AS p, op AS g FROM placed p JOIN opened o ON o.k = p.k AND o.dataset = p.dataset AND o.statement = now WHERE p.k = {BATCHES - 1} AND op IS NOT NULL),
+    cell AS (SELECT p, g, count(*) AS n FROM pairs GROUP BY p, g), {_SIZES}, {_PRF}
+    SELECT a / b AS precision, a / c AS recall, 2 * (a / b) * (a / c) / (a / b + a / c) AS f1, (SELECT CAST(sum(n) AS BIGINT) FROM cell) AS rows,
+      (SELECT CAST(sum(CASE WHEN k = 1 AND n_p = n_g THEN n ELSE 0 END) AS DOUBLE) / sum(n) FROM cell JOIN np USING (p) JOIN ng USING (g)) AS ga FROM s"""
+)
+def online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The online grouping against the kind of change that wrote a line: kinds are spread over datasets, and late deletions share a statement with updates."""
+    mined = online.structured(spark, _mined(spark, sf_dir)).select("dataset", "LineId", F.concat_ws(":", "dataset", "EventId").alias("p"))
+    truth = spark.read.parquet(f"{sf_dir}/client_changes.parquet").filter("op is not null").select((F.col("change_id") + 1).alias("LineId"), F.col("op").alias("g")).distinct()
+    return evaluate.scores(mined.join(truth, "LineId").select("p", "g")).select("precision", "recall", "f1", "ga", "rows")
+
+
 @query(
     """WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'left' ELSE 'right' END AS source, event_type FROM events WHERE event_type <> 'error')
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS "LineId", CAST(event_id AS VARCHAR) AS "Pid", upper(event_type) AS "Level" FROM e"""
