@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions.shared import checkpoint, shared_folder, spread  # noqa: F401
 
-#: Rows of whole texts handed to a Python worker at once; bounds the worker's memory.
-BATCH_ROWS = 1000
+#: Rows, and bytes, of whole texts handed to a Python worker at once; a single longer row goes alone. Bounds the worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small. A value the session set itself wins."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10000:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches of long texts small, in rows and in bytes. A value the session set itself wins."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, free: bool = False) -> DataFrame:
     """The rows as a table in the shared folder, read back.
 
     For what a loop makes anew from itself: a checkpoint keeps the constraints
     known of its columns, which grow with each round until planning takes minutes.
+    free: drop the shuffle files of this write when it is done, instead of when
+    the driver happens to collect its garbage.
     """
-    path = shared_folder(df.sparkSession, "written")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_folder(spark, "written"), spark.conf.get(key, "false")
+    spark.conf.set(key, "true" if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(id_col: str, m: int) -> Column:

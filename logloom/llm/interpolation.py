@@ -12,8 +12,10 @@ of its different keys once, adding how often its own texts hold it; keys are dea
 to buckets by their first bits, so that a bucket holds a bounded number of
 different keys in expectation, and a frequent n-gram one row's entry for a chunk.
 Each bucket sums up, and answers every chunk; the answers meet their chunk's
-tokens again, and nothing else is joined. 62 bits hold 10^8 n-grams apart but for
-a chance of a few in a thousand that any two meet.
+tokens again, and nothing else is joined. Keys of words have 62 bits, which hold
+10^8 words apart but for a chance of a few in a thousand that any two meet. Those
+of longer n-grams have as many bits as the texts' n-grams can be counted with and
+20 more, 62 at most: one n-gram in a million shares its key.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ ORDER = 3
 CHUNK_TOKENS = 1 << 20
 #: Keys asked for in a bucket, in expectation, and the least number of buckets.
 BUCKET_KEYS, LEAST_BUCKETS = 4_000_000, 64
+#: Bits that keys of n-grams have beyond those that count them.
+SPARE_BITS = 20
 #: Contexts are as one if their counts have the same number of binary digits, up to this.
 LEVELS = 24
 #: Expectation-maximisation ends at a gain of less than this in log10 a token, or after so many rounds.
@@ -44,7 +48,7 @@ KEPT, DELETED, UNSEEN = 0, 1, 2
 
 def _pack(a: np.ndarray) -> bytes:
     """Compressed, equal bytes of the numbers together."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
 def _unpack(b: bytes, kind: type) -> np.ndarray:
@@ -104,9 +108,10 @@ _LONG = (pa.int64(), "long")
 _CHUNK = [("ids", pa.list_(pa.int64()), "array<long>"), *((n, *_BLOB) for n in ("roles", "sizes", "tokens", "hashes")), *((n, *_LONG) for n in ("held", "kept_docs", "kept_tokens", "deleted_docs", "deleted_tokens"))]
 
 
-def _keys(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
+def _keys(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int, width: int) -> np.ndarray:
     """A row of keys for each order: of the n-grams that end at each token. Before a text stand as many beginnings as there must."""
     word = hashes[tokens]
+    kept = [~np.uint64(3), *[~np.uint64((1 << (64 - min(width, 62))) - 1)] * (order - 1)]
     starts = np.cumsum(sizes) - sizes
     out = np.empty((order, len(word)), dtype=np.uint64)
     before = np.zeros(len(word), dtype=np.uint64)
@@ -117,7 +122,7 @@ def _keys(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
-        out[o] = (x & ~np.uint64(3)) | np.uint64(o)
+        out[o] = (x & kept[o]) | np.uint64(o)
         before = np.roll(out[o], 1)
         before[starts] = np.uint64(o)  # the beginning as a context
     return out
@@ -132,37 +137,72 @@ def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[new], order, np.cumsum(new) - 1
 
 
-def _asks(chunked: DataFrame, order: int, bits: int) -> DataFrame:
-    """(bucket, chunk, keys, kept, deleted): a chunk's different keys with their counts in its own texts."""
+def _pieces(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one order's keys: the different ones, sorted; the order that sorts all; where each sorted one is among the different; and where buckets begin among those, with their end."""
+    have, at, place = _different(keys)
+    return have, at, place, np.searchsorted(have >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _pack_keys(pieces: list[np.ndarray]) -> bytes:
+    """Sorted keys of each order, as the steps between them; the order's bits are left out."""
+    return _pack(np.concatenate([np.diff(p >> np.uint64(2), prepend=np.uint64(0)) for p in pieces]))
+
+
+def _unpack_keys(b: bytes, sizes: list[int]) -> np.ndarray:
+    steps = np.split(_unpack(b, np.uint64), np.cumsum(sizes)[:-1])
+    return np.concatenate([(np.cumsum(x, dtype=np.uint64) << np.uint64(2)) | np.uint64(o) for o, x in enumerate(steps)])
+
+
+def _pack_counts(kept: np.ndarray, deleted: np.ndarray) -> bytes:
+    """Two small counts in one byte; a pair with a larger one apart."""
+    small = (kept < 15) & (deleted < 15)
+    code = _pack(np.where(small, kept + 16 * deleted, 255).astype(np.uint8))
+    return len(code).to_bytes(4, "little") + code + _pack(np.concatenate([kept[~small], deleted[~small]]).astype(np.int64))
+
+
+def _unpack_counts(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 4 + int.from_bytes(b[:4], "little")
+    code, large = _unpack(b[4:cut], np.uint8).astype(np.int64), _unpack(b[cut:], np.int64)
+    kept, deleted, apart = code & 15, code >> 4, code == 255
+    kept[apart], deleted[apart] = np.split(large, 2)
+    return kept, deleted
+
+
+_ASK = [("bucket", pa.int32(), "int"), ("chunk", pa.int64(), "long"), ("sizes", pa.list_(pa.int32()), "array<int>"), ("keys", pa.binary(), "binary"), ("counts", pa.binary(), "binary")]
+
+
+def _asks(chunked: DataFrame, order: int, width: int, bits: int) -> DataFrame:
+    """(bucket, chunk, sizes, keys, counts): a chunk's different keys, order by order, with their counts in its own texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
-                keys = _keys(_unpack(r["tokens"], np.uint32), sizes, _unpack(r["hashes"], np.uint64), order)
                 role = np.repeat(np.frombuffer(r["roles"], dtype=np.uint8), sizes)
-                have, at, place = _different(keys.reshape(-1))
-                role = np.tile(role, order)[at]
-                counts = [np.bincount(place, weights=role == x, minlength=len(have)).astype(np.uint32) for x in (KEPT, DELETED)]
-                bucket = have >> np.uint64(64 - bits)
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    row = [int(bucket[lo]), r["chunk"], _pack(have[lo:hi]), _pack(counts[0][lo:hi]), _pack(counts[1][lo:hi])]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "chunk", "keys", "kept", "deleted"])
+                made = []
+                for keys in _keys(_unpack(r["tokens"], np.uint32), sizes, _unpack(r["hashes"], np.uint64), order, width):
+                    have, at, place, cuts = _pieces(keys, bits)
+                    counts = [np.bincount(place, weights=role[at] == x, minlength=len(have)).astype(np.int64) for x in (KEPT, DELETED)]
+                    made.append((have, *counts, cuts))
+                for k in range(1 << bits):
+                    have, kept, deleted = ([m[x][m[3][k] : m[3][k + 1]] for m in made] for x in range(3))
+                    row = [k, r["chunk"], [len(h) for h in have], _pack_keys(have), _pack_counts(np.concatenate(kept), np.concatenate(deleted))]
+                    if sum(row[2]):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t, _) in zip(row, _ASK, strict=True)], names=[n for n, _, _ in _ASK])
 
-    return map_arrow(chunked.select("chunk", "roles", "sizes", "tokens", "hashes"), run, "bucket int, chunk long, keys binary, kept binary, deleted binary")
+    return map_arrow(chunked.select("chunk", "roles", "sizes", "tokens", "hashes"), run, ", ".join(f"{n} {k}" for n, _, k in _ASK))
 
 
 def _answer(asked: pa.Table) -> pa.Table:
     """Of one bucket: each row's keys with their counts in all texts; the first row says how many different words are known."""
-    keys = [_unpack(x, np.uint64) for x in asked.column("keys").to_pylist()]
+    rows = asked.select(["sizes", "keys", "counts"]).to_pylist()
+    keys = [_unpack_keys(r["keys"], r["sizes"]) for r in rows]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     have, at, place = _different(np.concatenate(keys))
     del keys
     out = []
-    for name in ("kept", "deleted"):
-        given = np.concatenate([_unpack(x, np.uint32) for x in asked.column(name).to_pylist()])
-        total = np.bincount(place, weights=given[at], minlength=len(have)).astype(np.int64)
+    for given in zip(*(_unpack_counts(r["counts"]) for r in rows), strict=True):
+        total = np.bincount(place, weights=np.concatenate(given)[at], minlength=len(have)).astype(np.int64)
         mine = np.empty(len(at), dtype=np.int64)
         mine[at] = total[place]
         out.append((total, mine))
@@ -171,23 +211,34 @@ def _answer(asked: pa.Table) -> pa.Table:
     return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "kept": pa.array(kept, pa.binary()), "deleted": pa.array(deleted, pa.binary()), "known": pa.array([known] + [0] * (len(kept) - 1), pa.int64())})
 
 
-def _counted(chunked: DataFrame, answers: DataFrame, order: int) -> DataFrame:
+def _counted(chunked: DataFrame, answers: DataFrame, order: int, width: int, bits: int) -> DataFrame:
     """(ids, roles, sizes, train, held): for the tokens of a chunk the training counts of their n-grams of each
     order; for those of its deleted texts the kept counts."""
 
     def meet(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         r = chunk.to_pylist()[0]
         sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
-        keys = _keys(_unpack(r["tokens"], np.uint32), sizes, _unpack(r["hashes"], np.uint64), order)
-        _, at, place = _different(keys.reshape(-1))
-        rows = sorted(answer.select(["bucket", "kept", "deleted"]).to_pylist(), key=lambda x: x["bucket"])
-        kept, deleted = (np.concatenate([_unpack(x[n], np.int64) for x in rows]) for n in ("kept", "deleted"))
         deleted_text = np.repeat(np.frombuffer(r["roles"], dtype=np.uint8) == DELETED, sizes)
-        counts = np.empty(keys.size, dtype=np.int64)
-        counts[at] = kept[place]
-        held = counts.reshape(order, -1)[:, deleted_text].reshape(-1)
-        counts[at] = kept[place] + deleted[place]
-        return pa.table({n: pa.array([v], t) for n, v, t in (("ids", r["ids"], pa.list_(pa.int64())), ("roles", r["roles"], pa.binary()), ("sizes", r["sizes"], pa.binary()), ("train", _pack(counts), pa.binary()), ("held", _pack(held), pa.binary()))})
+        rows = {x["bucket"]: (_unpack(x["kept"], np.int64), _unpack(x["deleted"], np.int64)) for x in answer.select(["bucket", "kept", "deleted"]).to_pylist()}
+        taken = dict.fromkeys(rows, 0)  # of each answer: what lower orders took
+        train, held = [], []
+        for keys in _keys(_unpack(r["tokens"], np.uint32), sizes, _unpack(r["hashes"], np.uint64), order, width):
+            _, at, place, cuts = _pieces(keys, bits)
+            mine: list[list[np.ndarray]] = [[], []]
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                lo = taken[k]
+                taken[k] = hi = lo + int(cuts[k + 1] - cuts[k])
+                for x in (0, 1):
+                    mine[x].append(rows[k][x][lo:hi])
+            kept, deleted = (np.concatenate(m) for m in mine)
+            counts = np.empty(len(keys), dtype=np.int64)
+            counts[at] = kept[place]
+            held.append(counts[deleted_text])
+            counts = np.empty(len(keys), dtype=np.int64)
+            counts[at] = (kept + deleted)[place]
+            train.append(counts)
+        blobs = (_pack(np.concatenate(train)), _pack(np.concatenate(held)))
+        return pa.table({n: pa.array([v], t) for n, v, t in (("ids", r["ids"], pa.list_(pa.int64())), ("roles", r["roles"], pa.binary()), ("sizes", r["sizes"], pa.binary()), ("train", blobs[0], pa.binary()), ("held", blobs[1], pa.binary()))})
 
     left = chunked.select("chunk", "ids", "roles", "sizes", "tokens", "hashes")
     right = answers.select("chunk", "bucket", "kept", "deleted")
@@ -288,9 +339,10 @@ def score(docs: DataFrame, learn: Column, deleted: Column, id_col: str = "doc_id
     names = ["held", "kept_docs", "kept_tokens", "deleted_docs", "deleted_tokens"]
     n = chunked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     bits = max((LEAST_BUCKETS - 1).bit_length(), (order * n["held"] // BUCKET_KEYS).bit_length())
-    answers = written(_asks(chunked, order, bits).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, kept binary, deleted binary, known long"))
+    width = (order * n["held"]).bit_length() + SPARE_BITS
+    answers = written(_asks(chunked, order, width, bits).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, kept binary, deleted binary, known long"), free=True)
     types = answers.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()["v"]
-    counted = written(_counted(chunked, answers, order))
+    counted = written(_counted(chunked, answers, order, width, bits), free=True)
     model = Model(n["kept_tokens"] + n["deleted_tokens"], n["kept_docs"] + n["deleted_docs"], types, order, np.zeros((order, LEVELS)))
     _weigh(counted, model, n["kept_tokens"], n["kept_docs"], n["deleted_tokens"])
     shared = spark.sparkContext.broadcast(model)
