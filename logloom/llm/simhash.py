@@ -16,6 +16,7 @@ members are all joined already; a dense group never becomes all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -337,6 +338,8 @@ COPY_BUDGET = 8
 #: Texts, and shingles, of a component that are compared as one block, with themselves or with another block.
 COPY_BLOCK = 1024
 COPY_SHINGLES = 1 << 20
+#: Texts of so many shingles or fewer are met by their first shingles, not by fingerprint, whose bits say little of short texts.
+SHORT = 96
 #: Words of a sketch: 64 bins of four bits.
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Standard errors by which a sketch may fall short of the similarity: about one pair in 30,000 falls shorter.
@@ -389,16 +392,21 @@ def may_be_similar(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similar: fl
     return used - _nibbles(a ^ b) >= similar * used - SLACK * np.sqrt(similar * (1 - similar) * used)
 
 
-def text_print(text: bytes | None) -> tuple[int, int, int, np.ndarray]:
-    """(fingerprint of the set of words, hash of the word sequence, number of shingles, sketch of the shingles)."""
+def first_shingles(s: np.ndarray, similar: float) -> np.ndarray:
+    """Just so many of the least hashes that sets of this similarity share one of them: one more than either can lack of the other."""
+    return s[: len(s) - math.ceil(similar * len(s) - 1e-9) + 1] if 0 < len(s) <= SHORT else s[:0]
+
+
+def text_print(text: bytes | None, similar: float = SIMILAR) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """(fingerprint of the set of words, hash of the word sequence, number of shingles, sketch of the shingles, first shingles of a short text)."""
     words, h = _word_hashes(text)
     if not words:
-        return 0, 0, 0, np.zeros(4, dtype=np.uint64)
+        return 0, 0, 0, np.zeros(4, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     one = np.unique(h)
     seen = np.bincount((one.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     fp = int.from_bytes(np.packbits((seen * 2 > len(one)).ravel(), bitorder="little").tobytes(), "little")
     s = _shingles(h, SHINGLE)
-    return fp, xxhash.xxh64_intdigest(b" ".join(words)), len(s), sketch_of(s)
+    return fp, xxhash.xxh64_intdigest(b" ".join(words)), len(s), sketch_of(s), first_shingles(s, similar)
 
 
 def similar_pairs(fp: np.ndarray, sets: list[np.ndarray], left: int, budget: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
@@ -447,12 +455,15 @@ def similar_pairs(fp: np.ndarray, sets: list[np.ndarray], left: int, budget: int
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = COPY_BUDGET, similar: float = SIMILAR, hot: int = HOT, block: int = COPY_BLOCK, weight: int = COPY_SHINGLES) -> DataFrame:
     """One row per input row: (id, component_id) of texts joined by near-copy links.
 
-    Two different texts link if the fingerprints of their word sets are within
-    `budget` bits and the sets of their five-word shingles (texts of fewer words:
-    one shingle) have the similarity, exactly and over the whole texts. The trie
-    join gives candidate components: its links are pairs within the budget whose
-    sketches allow the similarity, so texts that only look alike by their
-    fingerprints are not chained. Every link lies in such a component, and each
+    Two different texts link if the sets of their five-word shingles (texts of
+    fewer words: one shingle) have the similarity, exactly and over the whole
+    texts, and either both have SHORT shingles or fewer, or the fingerprints of
+    their word sets are within `budget` bits. Short texts that are similar share
+    one of their first shingles, by hash, so none of their links is missed. For
+    the others the trie join gives candidate components: its links are pairs
+    within the budget whose sketches allow the similarity, so texts that only look
+    alike by their fingerprints are not chained. Every link lies in a component,
+    or with a first shingle, and each
     text of one is compared with each other one, block against block, dealt to
     tasks; blocks have a bounded number of texts and of shingles. Shingles are
     made again in a second pass, of one row of each text in a component of
@@ -464,10 +475,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_print(t) for t in b.column(2).to_pylist()]
+            got = [text_print(t, similar) for t in b.column(2).to_pylist()]
             fp, c = (pa.array(np.array([g[k] for g in got], dtype=np.uint64).view(np.int64)) for k in (0, 1))
             sketch = np.array([g[3] for g in got], dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, c, pa.array([g[2] for g in got], pa.int64()), *map(pa.array, sketch.T.copy())], names=["id", "row", "fp", "c", "n", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, c, pa.array([g[2] for g in got], pa.int64()), *map(pa.array, sketch.T.copy()), pa.array([g[4] for g in got], pa.list_(pa.int64()))], names=["id", "row", "fp", "c", "n", *SKETCH, "first"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -475,24 +486,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # `row` finds a row again: its key is crowded only where whole rows repeat
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("t"))
-    sigs = checkpoint(map_arrow(src, prints, "id long, row long, fp long, c long, n long, " + ", ".join(f"{k} long" for k in SKETCH)))
-    classes = checkpoint(sigs.groupBy("c", "fp", "n", *SKETCH).agg(F.min("id").alias("least"), F.min("row").alias("row")))
+    sigs = checkpoint(map_arrow(src, prints, "id long, row long, fp long, c long, n long, " + ", ".join(f"{k} long" for k in SKETCH) + ", first array<long>"))
+    classes = checkpoint(sigs.groupBy("c", "fp", "n", *SKETCH).agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("first").alias("first")))
     crowds = connected_components(trie_links(classes.select("fp", "c", *SKETCH), budget, hot, similar)).withColumnRenamed("node", "c")
-    placed = classes.join(crowds, "c").select("row", "c", "fp", "n", "root")
+    placed = classes.join(crowds, "c").select("row", "c", "fp", "n", "root", F.lit(False).alias("short"))
+    placed = placed.unionByName(classes.select("row", "c", "fp", "n", F.explode("first").alias("root"), F.lit(True).alias("short")))
     # small aggregates are checkpointed: a crowd of very many texts is then split in the join
-    crowd = checkpoint(placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int").alias("parts")))
-    members = checkpoint(placed.join(crowd, "root").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))
-    known = map_arrow(src.select("row", "t").join(members.select("row", "c"), "row").select("c", "t"), sets, "c long, s array<long>")
+    crowd = checkpoint(placed.groupBy("short", "root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int").alias("parts"), F.count("*").alias("texts")).filter("texts > 1").drop("texts"))
+    members = checkpoint(placed.join(crowd, ["short", "root"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))
+    known = map_arrow(src.select("row", "t").join(members.select("row", "c").distinct(), "row").select("c", "t"), sets, "c long, s array<long>")
     known = checkpoint(known.groupBy("c").agg(F.first("s").alias("s")))  # whole rows may repeat
-    whole = members.join(known, "c").select("root", "parts", "part", "c", "fp", "s")
-    sides = whole.select("root", "part", "c", "fp", "s", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
-    sides = sides.select("root", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"), "part", "c", "fp", "s").repartition("root", "pa", "pb").sortWithinPartitions("root", "pa", "pb", "part", "c")
+    whole = members.join(known, "c").select("short", "root", "parts", "part", "c", "fp", "s")
+    sides = whole.select("short", "root", "part", "c", "fp", "s", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    sides = sides.select(F.col("short").cast("int").alias("short"), "root", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"), "part", "c", "fp", "s").repartition("short", "root", "pa", "pb").sortWithinPartitions("short", "root", "pa", "pb", "part", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in split_groups(batches, ["root", "pa", "pb"], rows=512):
-            root, first, second, part, c, fp = (t.column(k).to_numpy() for k in ("root", "pa", "pb", "part", "c", "fp"))
+        for t in split_groups(batches, ["short", "root", "pa", "pb"], rows=512):
+            short, root, first, second, part, c, fp = (t.column(k).to_numpy() for k in ("short", "root", "pa", "pb", "part", "c", "fp"))
             new = np.ones(len(c) + 1, dtype=bool)
-            new[1:-1] = (root[1:] != root[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            new[1:-1] = (short[1:] != short[:-1]) | (root[1:] != root[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
             cut = np.flatnonzero(new)
             us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -501,7 +513,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 s = t.column("s").slice(a, b - a).combine_chunks()
                 at, flat = s.offsets.to_numpy(), s.values.to_numpy()
-                i, j = similar_pairs(fp[a:b].view(np.uint64), [flat[p:q] for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], left, budget, similar)
+                i, j = similar_pairs(fp[a:b].view(np.uint64), [flat[p:q] for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], left, 64 if short[a] else budget, similar)
                 label = local_components(b - a, i, j)  # pairs that passed, as a forest
                 got = np.flatnonzero(label != np.arange(b - a))
                 us.append(c[a:b][got])

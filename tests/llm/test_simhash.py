@@ -194,3 +194,27 @@ def test_near_copies_equal_brute_force_over_texts_with_like_words(spark):
     want = local_components(len(docs), i[ok], j[ok])
     got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), block=64).collect()}
     assert [got[k] for k in range(len(docs))] == want.tolist()
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_no_near_copy_of_a_short_text_is_missed(spark, block):
+    """One word changed, put in or left out, at every length from 5 words up: the components are those of all pairs."""
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "a b"]
+    for n in (5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 64, 90, 100):
+        for _ in range(6):
+            words = [f"w{x}" for x in rng.integers(0, 400, n)]
+            texts.append(" ".join(words))
+            for _ in range(4):
+                k, kind = int(rng.integers(0, n)), int(rng.integers(0, 4))
+                texts.append(" ".join([words[:k] + ["new"] + words[k + 1 :], words[:k] + ["put"] + words[k:], words[:k] + words[k + 1 :], [*words, f"end{k}"]][kind]))
+    sets = [set(simhash.shingles(t.encode()).tolist()) for t in texts]
+    short = [0 < len(s) <= simhash.SHORT for s in sets]
+    i, j = np.array([(a, b) for a in range(len(texts)) for b in range(a) if texts[a] == texts[b] or (short[a] and short[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))], dtype=np.int64).T
+    want = local_components(len(texts), i, j)
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()}
+    for k in range(len(texts)):
+        if short[k]:
+            assert got[k] == want[k]
+    linked = np.array([len(simhash.shingles(t.encode())) for t in texts])[i]
+    assert len(set(linked.tolist())) > 8
