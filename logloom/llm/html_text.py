@@ -19,6 +19,7 @@ lie between large ones or close to one and read as sentences.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -98,6 +99,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
     held: list[str] = []
     linked = 0
     open_: list[tuple[str, int]] = []  # elements and how noisy they are
+    number = Counter()  # open elements by name: an end tag that closes none looks at none
     noisy = [0, 0, 0]
     article = links = 0
 
@@ -145,10 +147,11 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
         if name in VOID:
             continue
         if m["end"]:
-            for k in range(len(open_) - 1, -1, -1):
+            for k in range(len(open_) - 1, -1, -1) if number[name] else ():
                 if open_[k][0] == name:
                     for gone, bad in open_[k:]:
                         noisy[bad] -= 1
+                        number[gone] -= 1
                         article -= gone in ("article", "main")
                         links -= gone == "a"
                     del open_[k:]
@@ -156,15 +159,18 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
         elif not m["attrs"].endswith("/") or name not in ("path", "use"):
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and open_ and open_[-1][0] == name:
                 noisy[open_.pop()[1]] -= 1
+                number[name] -= 1
             if name == "a" and links:
                 for k in range(len(open_) - 1, -1, -1):
                     if open_[k][0] == "a":
                         noisy[open_[k][1]] -= 1
                         del open_[k]
                         links -= 1
+                        number["a"] -= 1
                         break
             bad = _noisy(name, m["attrs"], article)
             open_.append((name, bad))
+            number[name] += 1
             noisy[bad] += 1
             article += name in ("article", "main")
             links += name == "a"

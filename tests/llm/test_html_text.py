@@ -71,3 +71,12 @@ def test_unmarked_pages():
 @pytest.mark.parametrize(("value", "kind"), [("ad", 2), ("site-footer", 2), ("cookieNotice", 2), ("notice", 1), ("social-links", 1), ("social-history", 0), ("side-effects", 0), ("shared-values", 0), ("article", 0), ("", 0), ("commentary", 0), ("x ad", 2)])
 def test_names_of_parts(value, kind):
     assert html_text.names_part(value) == kind
+
+
+def test_broken_markup_takes_linear_time():
+    """Open elements that nothing closes, and end tags that close nothing."""
+    import time
+
+    began = time.perf_counter()
+    got = html_text.main_text("<div>" * 100_000 + "</span>" * 100_000 + "<p>" + "Some words of an article. " * 20 + "</p>")
+    assert time.perf_counter() - began < 10 and got.startswith("Some words")
