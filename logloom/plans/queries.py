@@ -110,12 +110,16 @@ def line_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join("('{}', '{}/{}_2k.log', '{}', {})".format(k, k, k, v.replace("'", "''"), len(formats.compile_format(v).fields)) for k, v in formats.FORMATS.items())
-    + ") AS t(dataset, log_file, log_format, n_fields)"
+    f"WITH {EVENT_LINE}, r AS (SELECT * FROM (VALUES "
+    + ", ".join("('{}', '{}/{}_2k.log', '{}', {}, '{}')".format(k, k, k, v.replace("'", "''"), len(c.fields), c.pattern.replace("'", "''")) for k, v in formats.FORMATS.items() for c in [formats.compile_format(v)])
+    + ") AS t(dataset, log_file, log_format, n_fields, rx)) SELECT dataset, log_file, log_format, n_fields, count(*) FILTER (regexp_matches(value, rx)) AS lines FROM r CROSS JOIN event_line GROUP BY ALL"
 )
 def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.registry(spark)
+    """The known formats, and how many of the events' lines each takes: one pass over the lines."""
+    takes = {k: F.col("value").rlike(formats.compile_format(v).pattern) for k, v in formats.FORMATS.items()}
+    counts = _event_lines(spark, sf_dir).agg(*[F.count_if(x).alias(k) for k, x in takes.items()])
+    lines = counts.unpivot([], list(takes), "dataset", "lines")
+    return formats.registry(spark).join(F.broadcast(lines), "dataset")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type")

@@ -29,7 +29,7 @@ from logloom.operators.oracle import Oracle
 
 #: What a batch leaves. line: id; move: id became part of other; cluster: its template and lines so far; closed: the dataset's state ended.
 VERSION = "kind string, dataset string, LineId long, id long, other long, template string, lines long"
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class OnlineMiner(StatefulProcessor):
@@ -119,8 +119,6 @@ def mine_online(lines: DataFrame, path: str, checkpoint: str, oracle: Oracle | N
     """
     if idle_ms is not None and "processingTime" not in trigger:
         raise ValueError("idle_ms needs a processingTime trigger")
-    spark = lines.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     src = lines.select(F.col("dataset").cast("string"), F.col("LineId").cast("long"), text.content(F.col("content")).alias("content"))
     src = src.filter("dataset is not null and LineId is not null and content != ''")
     mined = src.groupBy("dataset").transformWithStateInPandas(OnlineMiner(oracle, idle_ms), outputStructType=VERSION, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
@@ -128,7 +126,13 @@ def mine_online(lines: DataFrame, path: str, checkpoint: str, oracle: Oracle | N
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return mined.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    conf, (key, provider) = lines.sparkSession.conf, _PROVIDER
+    before = conf.get(key)
+    conf.set(key, provider)  # a stream takes the settings of its start along
+    try:
+        return mined.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        conf.set(key, before)
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
