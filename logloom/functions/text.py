@@ -57,8 +57,8 @@ def index_tokens(template: Column) -> Column:
 
 
 def alpha_tokens(template: Column) -> Column:
-    """Index tokens made of letters only."""
-    return F.filter(index_tokens(template), lambda t: t.rlike(r"^\p{L}+$"))
+    """Index tokens made of letters only: whole runs, found without making the tokens between them."""
+    return F.regexp_extract_all(template, F.lit(r"(?<![\p{L}\p{N}._/-])\p{L}++(?![\p{N}._/-])"), F.lit(0))
 
 
 def collapse_wildcards(template: Column) -> Column:

@@ -18,8 +18,16 @@ MAX_SENT = 200_000
 
 
 def postings(templates: DataFrame, id_col: str = "tid", template_col: str = "template") -> DataFrame:
-    """(token, tid, tf): how often each letters-only token stands in each template."""
-    return templates.select(F.col(id_col).alias("tid"), F.explode(alpha_tokens(F.col(template_col))).alias("token")).groupBy("token", "tid").agg(F.count("*").alias("tf"))
+    """(token, tid, tf): how often each letters-only token stands in each template. Ids stand once.
+
+    A template's tokens are sorted and counted in its row: ids, which may be long
+    texts, are not shuffled for each token.
+    """
+    own = templates.select(F.col(id_col).alias("tid"), F.sort_array(alpha_tokens(F.col(template_col))).alias("own"))
+    starts = F.filter(F.transform("own", lambda t, k: F.when((k == 0) | (F.get("own", k - 1) != t), k)), lambda k: k.isNotNull())
+    own = own.withColumn("starts", starts)
+    runs = F.transform("starts", lambda at, k: F.struct(F.get("own", at).alias("token"), (F.coalesce(F.get("starts", k + 1), F.size("own")) - at).cast("long").alias("tf")))
+    return own.select("tid", F.inline(runs)).select("token", "tid", "tf")
 
 
 def lengths(templates: DataFrame, id_col: str = "tid", template_col: str = "template") -> DataFrame:

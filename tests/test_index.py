@@ -30,6 +30,17 @@ def test_candidates_equal_the_plain_index(spark, most_sent, k, least):
     assert sorted(got) == brute(queries, templates, k, least)
 
 
+def test_postings_are_counted_without_a_shuffle_of_ids(spark):
+    """Ids may be whole texts; shuffled for each token they filled the disk."""
+    rnd = random.Random(3)
+    words = ["open", "Übung", "a.b", "7", "x1", "<*>", "<*", "of", "the", "the", "日本", "n_m", "y-z", "½", "a/", ","]
+    texts = {rnd.choice(["", " ", "\n", "("]).join(rnd.choices(words, k=rnd.randint(0, 12))) for _ in range(300)}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "template string")
+    got = index.postings(df, "template", "template")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((t, x, n) for x in texts for t, n in Index.split(x).items())
+
+
 def test_empty(spark):
     t = spark.createDataFrame([(1, "open file")], "tid int, template string")
     q = t.withColumnRenamed("tid", "qid")
