@@ -32,6 +32,7 @@ MAX_MESSAGES = 200_000
 _WORD = re.compile("[a-zA-Z0-9]")
 _NUMBER = re.compile(r"-?\+?\d+|0[Xx][a-fA-F\d]+|[a-fA-F\d]{4,}")
 _RUN = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _INDEX_TOKEN = re.compile(r"(?s)<\*>|(?:[^\W_]|[._/-])+|.")
 
 
@@ -43,6 +44,10 @@ def word_like(captured: str) -> bool:
     return captured.isalpha() and len(captured) >= 3 and captured.lower() not in ("true", "false", "null")
 
 
+def _has_digit(text: str) -> bool:
+    return _DIGIT.search(text) is not None or not text.isascii() and any(c.isdigit() for c in text)
+
+
 def _worded(p: align.Projection, message: str) -> align.Projection:
     return p if _WORD.search(p.template) else align.heuristic(message)
 
@@ -50,6 +55,8 @@ def _worded(p: align.Projection, message: str) -> align.Projection:
 def restore_constants(template: str, message: str, oracle: Oracle) -> align.Projection:
     """Captured words that the oracle calls constant go back into the template."""
     p = align.realign(template, message)
+    if "<*" not in p.template:
+        return _worded(align.realign(p.template, message), message)
     back = [c if word_like(c) and oracle.is_constant(message, c) else align.WILD for c in p.contents]
     slots = iter(back)
     made = "".join(next(slots, align.WILD) if t == align.WILD else t for t in align.chars(p.template))
@@ -58,6 +65,8 @@ def restore_constants(template: str, message: str, oracle: Oracle) -> align.Proj
 
 def mask_variables(template: str, message: str, oracle: Oracle) -> align.Projection:
     """Number-like words of the template that the oracle does not call constant become wildcards, word by word."""
+    if not _has_digit(template):  # so has every number-like word
+        return _worded(align.realign(template, message), message)
     verdict: dict[str, bool] = {}
     made = ""
     for t in align.words(template):
