@@ -26,8 +26,10 @@ if TYPE_CHECKING:
 
 #: Templates that a compiled catalog may hold; beyond that the join is used.
 MAX_COMPILED = 20_000
-#: Words of a template whose counts in the contents are taken, and as many words as are broadcast for that.
-RAREST, MAX_BROADCAST_WORDS = 3, 500_000
+#: Words of a template whose counts in the contents are taken, and as many keys as are broadcast for that.
+RAREST, MAX_BROADCAST_KEYS = 3, 500_000
+#: Characters at both ends of a text that are keys; a template has those of the greatest length that its literal ends reach.
+ENDS = (8, 16, 32)
 _LAST = chr(0x10FFFF)
 
 
@@ -42,7 +44,8 @@ def _escaped(text: Column) -> Column:
 def pattern(template: Column, classes: Column | None = None) -> Column:
     """Regular expression for a whole text, line ends of any kind included.
 
-    Without classes every wildcard takes anything, the empty text too. With them
+    Without classes every wildcard takes anything, the empty text too; each literal
+    part stands at its first place then, without going back, so a text is read once. With them
     (an array for each wildcard, as `class_union` makes them) a wildcard takes
     characters of its classes only, and one that ends the template at least one;
     one without classes takes nothing, one beyond the given ones anything. A
@@ -50,7 +53,9 @@ def pattern(template: Column, classes: Column | None = None) -> Column:
     """
     parts = F.split(template, r"<\*>", -1)
     if classes is None:
-        return F.concat(F.lit("(?s)^"), F.array_join(F.transform(parts, _escaped), ".*"), F.lit("\\z"))
+        last = F.size(parts) - 1
+        anywhere = F.transform(parts, lambda p, k: F.when(k == 0, _escaped(p)).when(k == last, F.concat(F.lit(".*"), _escaped(p))).otherwise(F.concat(F.lit("(?>.*?"), _escaped(p), F.lit(")"))))
+        return F.concat(F.lit("(?s)^"), F.array_join(anywhere, ""), F.lit("\\z"))
 
     def wildcard(k: Column) -> Column:
         last = (k == F.size(parts) - 2) & (F.element_at(parts, -1) == "")
@@ -72,51 +77,76 @@ def _whole_words(template: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (w != "") & F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
 
 
+def _end_keys(text: Column) -> Column:
+    """The ends of a text as keys, of each length that it has."""
+    ends = [(F.length(text) >= n, F.concat(F.lit(f"{at}{n}:"), cut(text, F.lit(n)))) for n in ENDS for at, cut in (("h", F.left), ("t", F.right))]
+    return F.filter(F.array(*[F.when(long, key) for long, key in ends]), lambda k: k.isNotNull())
+
+
+def _longest_end(part: Column, at: str, cut) -> Column:
+    """The key of a template's literal end, null for one that is too short."""
+    return F.coalesce(*[F.when(F.length(part) >= n, F.concat(F.lit(f"{at}{n}:"), cut(part, F.lit(n)))) for n in sorted(ENDS, reverse=True)])
+
+
 def match_join(lines: DataFrame, templates: DataFrame, content_col: str = "content", template_col: str = "template", classes_col: str | None = None) -> DataFrame:
     """(content, template): each distinct content with the template that fits it best.
 
-    A template without a wildcard is its text: an equal join. One with some is
-    met by the contents that have its rarest whole word: of the RAREST rarest
-    among templates, the rarest in contents. One without a whole word is met by
+    A template without a wildcard is its text: an equal join. Its content needs no
+    other, for a wildcard is the largest character. The other contents meet a
+    template with wildcards by one of its keys, whichever is rarest among them: a
+    literal end, or one of the RAREST whole words that are rarest among templates.
+    A template with a key that no content has fits none. One without keys is met by
     the contents with its first literal character, and one of wildcards only by
-    all. Contents of a frequent key are dealt out in blocks, to each of which its
-    templates go. Both ends and the longest literal part are compared before the
-    regular expression is. classes_col: what each wildcard takes, see `pattern`;
-    without it, anything. Null contents and templates are left out; repeated ones
-    count once.
+    all. Contents are numbers until the keys are chosen. Those of a frequent key
+    are dealt out in blocks, to each of which its templates go. Both ends and the
+    longest literal part are compared before the regular expression is.
+    classes_col: what each wildcard takes, see `pattern`; without it, anything.
+    Null contents and templates are left out; repeated ones count once.
     """
-    t = templates.select(F.col(template_col).alias("template"), *([F.col(classes_col).alias("classes")] if classes_col else [])).filter("template is not null").dropDuplicates(["template"])
-    c = lines.select(F.col(content_col).alias("content")).filter("content is not null").distinct()
+    t = templates.select(F.col(template_col).alias("template"), *([F.col(classes_col).alias("classes")] if classes_col else [])).filter("template is not null")
     wild = F.contains("template", F.lit("<*>"))
-    exact = c.join(t.filter(~wild).select(F.col("template").alias("content"), "template"), "content")
+    literal = t.filter(~wild).select(F.col("template").alias("content"), F.lit(False).alias("asked"), F.lit(True).alias("own"))
+    texts = lines.select(F.col(content_col).alias("content"), F.lit(True).alias("asked"), F.lit(False).alias("own")).filter("content is not null").unionByName(literal)
+    texts = texts.groupBy("content").agg(F.bool_or("asked").alias("asked"), F.bool_or("own").alias("own")).filter("asked")  # texts go by one shuffle
+    marked = checkpoint(texts.select("content", "own"))
+    sure = F.col("own") & ~F.contains("content", F.lit(_LAST))  # that character itself may tie with a wildcard
 
     parts = F.split("template", r"<\*>", -1)
     core = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))).getField("p")
-    t = t.filter(wild).select("template", pattern(F.col("template"), F.col("classes") if classes_col else None).alias("rx"), _whole_words(F.col("template")).alias("words"), F.element_at(parts, 1).alias("head"), F.element_at(parts, -1).alias("tail"), core.alias("core"))
+    head, tail = F.element_at(parts, 1), F.element_at(parts, -1)
+    ends = F.filter(F.array(_longest_end(head, "h", F.left), _longest_end(tail, "t", F.right)), lambda k: k.isNotNull())
+    t = t.filter(wild).dropDuplicates(["template"]).select("template", pattern(F.col("template"), F.col("classes") if classes_col else None).alias("rx"), _whole_words(F.col("template")).alias("words"), ends.alias("ends"), head.alias("head"), tail.alias("tail"), core.alias("core"))
     t = checkpoint(t)
+    if t.isEmpty():
+        return marked.filter("own").select("content", F.col("content").alias("template"))
+    rest = checkpoint(marked.filter(~sure).withColumn("n", F.monotonically_increasing_id()))
+
     asked = t.select("template", F.explode("words").alias("word"))
     df = asked.groupBy("word").agg(F.count("*").alias("df"))
     rare = asked.join(df, "word").groupBy("template").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), 1, RAREST).getField("word").alias("word"))
-    rare = checkpoint(rare.select("template", F.explode("word").alias("word")))
+    rare = rare.select("template", F.explode("word").alias("word")).select("template", F.concat(F.lit("w"), "word").alias("key"))
+    rare = checkpoint(rare.unionByName(t.select("template", F.explode("ends").alias("key"))))
     letter = F.substring(F.replace("template", F.lit("<*>"), F.lit("")), 1, 1)
-    others = t.filter("size(words) = 0").select("template", F.concat(F.lit("c"), letter).alias("key"))
-
-    keys = rare.select("word").distinct()
-    keys = F.broadcast(keys) if rare.count() <= MAX_BROADCAST_WORDS else keys
-    near = c.select("content", F.explode(F.array_distinct(F.split("content", " ", -1))).alias("word")).join(keys, "word")
-    near = checkpoint(near)  # one pass over the contents
-    often = near.groupBy("word").agg(F.count("*").alias("n"))
-    best = rare.join(often, "word").groupBy("template").agg(F.min(F.struct("n", "word")).getField("word").alias("word"))
-    keyed = best.select("template", F.concat(F.lit("w"), "word").alias("key")).unionByName(others)
-    met = near.select("content", F.concat(F.lit("w"), "word").alias("key"))
+    others = t.filter("size(words) = 0 and size(ends) = 0").select("template", F.concat(F.lit("c"), letter).alias("key"))
+
+    keys = rare.select("key").distinct()
+    keys = F.broadcast(keys) if rare.count() <= MAX_BROADCAST_KEYS else keys
+    has = F.concat(_end_keys(F.col("content")), F.transform(F.array_distinct(F.split("content", " ", -1)), lambda w: F.concat(F.lit("w"), w)))
+    near = checkpoint(rest.select("n", F.explode(has).alias("key")).join(keys, "key"))  # one pass over the contents
+    often = near.groupBy("key").agg(F.count("*").alias("often"))
+    best = rare.join(often, "key", "left").groupBy("template").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")).alias("best"))
+    keyed = best.filter("best.often > 0").select("template", F.col("best.key").alias("key")).unionByName(others)
+    met = near.select("n", "key")
     if not others.isEmpty():
         signs = F.concat(F.array(F.lit("c")), F.transform(F.split("content", ""), lambda x: F.concat(F.lit("c"), x)))
-        met = met.unionByName(checkpoint(c.select("content", F.explode(F.array_distinct(signs)).alias("key")).join(others.select("key").distinct(), "key").select("content", "key")))
-    keyed = checkpoint(keyed.join(t.drop("words"), "template"))
-    met = met.join(keyed.select("key").distinct(), "key")
+        met = met.unionByName(checkpoint(rest.select("n", F.explode(F.array_distinct(signs)).alias("key")).join(others.select("key").distinct(), "key").select("n", "key")))
+    keyed = checkpoint(keyed.join(t.drop("words", "ends"), "template"))
+    met = met.join(keyed.select("key").distinct(), "key").join(rest.select("n", "content"), "n")
     fit = F.expr("startswith(content, head) and endswith(content, tail) and contains(content, core) and content rlike rx")
-    hits = join_in_blocks(keyed, met, ["key"], "content").filter(fit).select("content", "template")
-    return exact.unionByName(hits).groupBy("content").agg(F.min_by("template", priority(F.col("template"))).alias("template"))
+    hits = join_in_blocks(keyed, met, ["key"], "n").filter(fit).select("content", "template")
+    hits = hits.unionByName(rest.filter("own").select("content", F.col("content").alias("template")))
+    best = hits.groupBy("content").agg(F.min_by("template", priority(F.col("template"))).alias("template"))
+    return marked.filter(sure).select("content", F.col("content").alias("template")).unionByName(best)
 
 
 def class_union(projected: DataFrame, template_col: str = "template", classes_col: str = "classes") -> DataFrame:

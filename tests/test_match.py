@@ -1,6 +1,8 @@
 """The match join against compiled patterns, on texts and templates that differ in hard places."""
 
 import random
+import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,40 @@ def test_line_ends_inside(spark):
     assert sorted(r["content"] for r in got) == sorted(["user a\rb left", "user a\x85b left", "user a b left", "user a left"])
 
 
+def test_best_template_of_all(spark):
+    """Against every template: literal ends of all lengths, texts that are templates, and the greatest character itself."""
+    rnd = random.Random(5)
+    words = ["connection", "from", "x", "12", "", LAST, "closed after", "(3)", "<*>", "the listening socket", "a.b"]
+    messages = {" ".join(rnd.choices(words, k=rnd.randint(1, 7))) for _ in range(250)}
+    templates = {"".join("<*>" if rnd.random() < p else x for x in re.findall("<.>|[^ ]+| ", m)) for m in sorted(messages) for p in (0, 0.1, 0.3)}
+    rx = {t: re.compile("(?s)" + ".*".join(map(re.escape, t.split("<*>")))) for t in templates}
+    key = lambda t: t.replace("<*>", LAST).encode()
+    fits = {m: [key(t) for t in templates if rx[t].fullmatch(m)] for m in messages}
+    lines = spark.createDataFrame([(m,) for m in messages], "content string").repartition(3)
+    got = {r["content"]: key(r["template"]) for r in match.match_join(lines, spark.createDataFrame([(t,) for t in templates], "template string")).collect()}
+    assert got == {m: min(k) for m, k in fits.items() if k}
+
+
+def test_a_text_is_read_once(spark):
+    """Going back over the places of six parts took a time with the sixth power of the length."""
+    lines = spark.createDataFrame([("start of it " + "x " * 4000 + "end of it",)], "content string")
+    table = spark.createDataFrame([("start of it <*> x <*> x <*> x <*> x <*> x <*> y <*> end of it",)], "template string")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    assert match.match_join(lines, table).count() == 0
+    late.cancel()
+
+
+def test_texts_that_are_templates_are_not_looked_up(spark, monkeypatch):
+    """Only the others meet templates with wildcards: copies of a long text for each of its words filled the disk."""
+    lines = spark.createDataFrame([("rare words of a long text",), ("page 7 of a long text",)], "content string")
+    table = spark.createDataFrame([("rare words of a long text",), ("page <*> of a long text",), ("rare words <*>",)], "template string")
+    seen = []
+    monkeypatch.setattr(match, "join_in_blocks", lambda few, many, *a: (seen.extend(r["content"] for r in many.collect()), shared.join_in_blocks(few, many, *a))[1])
+    assert {(r["content"], r["template"]) for r in match.match_join(lines, table).collect()} == {("rare words of a long text",) * 2, ("page 7 of a long text", "page <*> of a long text")}
+    assert seen == ["page 7 of a long text"]
+
+
 def test_frequent_keys_go_in_blocks(spark, monkeypatch):
     """Every content has the only word of every template."""
     monkeypatch.setattr(shared.join_in_blocks, "__defaults__", (20,))
