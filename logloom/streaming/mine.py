@@ -3,7 +3,8 @@
 Every micro-batch is matched against the newest catalog version; what it misses
 is mined, as masks that a rule merges, and makes the next version. Versions are
 numbered by the batch, so a batch that runs again writes the same version again.
-A version is a whole catalog: its size is that of the templates, not the lines.
+A version holds the templates of its batch's lines with their counts, the catalog
+is the sum of the versions: what is written for a batch does not grow with those before.
 """
 
 from __future__ import annotations
@@ -45,21 +46,21 @@ class StreamMiner:
         known = [v for v in self._versions() if before is None or v < before]
         if not known:
             return self.spark.createDataFrame([], CATALOG)
-        return self.spark.read.schema(CATALOG).parquet(f"{self.path}/v={known[-1]}")
+        seen = self.spark.read.schema(CATALOG).parquet(*[f"{self.path}/v={v}" for v in known])
+        return seen.groupBy("template").agg(F.min("first_batch").alias("first_batch"), F.sum("lines").alias("lines"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         content = batch.select(text.content(F.col("value")).alias("content")).filter("content != ''")
         old = self.catalog(before=batch_id)
-        counts = content.groupBy("content").agg(F.count("*").alias("n"))
+        counts = checkpoint(content.groupBy("content").agg(F.count("*").alias("n")))  # bounded by the trigger
         hit = match_join(counts, old)
         named = counts.join(hit, "content", "left").withColumn("missed", F.col("template").isNull()).withColumn("template", F.coalesce("template", text.mask(F.col("content"))))
         if self.merge:
             named = checkpoint(named)
             groups = merged_masks(named.filter("missed").select("template").distinct())
             named = named.join(groups, "template", "left").withColumn("template", F.when(F.col("missed"), F.col("merged")).otherwise(F.col("template")))
-        seen = named.groupBy("template").agg(F.sum("n").alias("n"))
-        new = old.join(seen, "template", "full").select("template", F.coalesce("first_batch", F.lit(batch_id)).cast("long").alias("first_batch"), (F.coalesce("lines", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("lines"))
-        new.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        seen = named.groupBy("template").agg(F.lit(batch_id).cast("long").alias("first_batch"), F.sum("n").alias("lines"))
+        seen.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
 
 
 def mine_stream(lines: DataFrame, path: str, checkpoint: str, merge: bool = True, **trigger) -> tuple[StreamingQuery, StreamMiner]:

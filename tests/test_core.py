@@ -184,6 +184,18 @@ def test_stream(spark, tmp_path):
     assert len(miner._versions()) == 2
 
 
+def test_stream_version_holds_its_batch(spark, tmp_path):
+    """Each version was a whole catalog, written anew for each batch."""
+    from logloom.streaming.mine import StreamMiner
+
+    miner = StreamMiner(spark, str(tmp_path / "cat"))
+    for k, said in enumerate((["took 1 ms", "hello"], ["took 2 ms", "bye"], ["hello", "hello"])):
+        miner(spark.createDataFrame([(x,) for x in said], "value string"), k)
+    assert [spark.read.parquet(f"{miner.path}/v={k}").count() for k in range(3)] == [2, 2, 1]
+    assert sorted(map(tuple, miner.catalog().collect())) == [("bye", 1, 1), ("hello", 0, 3), ("took <*> ms", 0, 2)]
+    assert sorted(map(tuple, miner.catalog(before=1).collect())) == [("hello", 0, 1), ("took <*> ms", 0, 1)]
+
+
 def test_entry_has_sql_for_queries():
     import __spark_entry__ as e
 
