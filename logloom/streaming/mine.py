@@ -41,20 +41,28 @@ class StreamMiner:
         done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted(int(n[2:]) for n in done)
 
+    def _read(self, versions: list[int]) -> DataFrame:
+        return self.spark.read.schema(CATALOG).parquet(*[f"{self.path}/v={v}" for v in versions])
+
     def catalog(self, before: int | None = None) -> DataFrame:
         """The newest version, or the newest before a batch."""
         known = [v for v in self._versions() if before is None or v < before]
         if not known:
             return self.spark.createDataFrame([], CATALOG)
-        seen = self.spark.read.schema(CATALOG).parquet(*[f"{self.path}/v={v}" for v in known])
-        return seen.groupBy("template").agg(F.min("first_batch").alias("first_batch"), F.sum("lines").alias("lines"))
+        if len(known) == 1:
+            return self._read(known)  # a version has each template once
+        return self._read(known).groupBy("template").agg(F.min("first_batch").alias("first_batch"), F.sum("lines").alias("lines"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         content = batch.select(text.content(F.col("value")).alias("content")).filter("content != ''")
-        old = self.catalog(before=batch_id)
-        counts = checkpoint(content.groupBy("content").agg(F.count("*").alias("n")))  # bounded by the trigger
-        hit = match_join(counts, old)
-        named = counts.join(hit, "content", "left").withColumn("missed", F.col("template").isNull()).withColumn("template", F.coalesce("template", text.mask(F.col("content"))))
+        mask = text.mask(F.col("content"))
+        known = [v for v in self._versions() if v < batch_id]
+        if known:
+            counts = checkpoint(content.groupBy("content").agg(F.count("*").alias("n")))  # bounded by the trigger
+            hit = match_join(counts, self._read(known))
+            named = counts.join(hit, "content", "left").withColumn("missed", F.col("template").isNull()).withColumn("template", F.coalesce("template", mask))
+        else:  # there is nothing to meet: masks are counted in one shuffle, whatever the batch's size
+            named = content.groupBy(mask.alias("template")).agg(F.count("*").alias("n")).withColumn("missed", F.lit(True))
         if self.merge:
             named = checkpoint(named)
             groups = merged_masks(named.filter("missed").select("template").distinct())

@@ -196,6 +196,20 @@ def test_stream_version_holds_its_batch(spark, tmp_path):
     assert sorted(map(tuple, miner.catalog(before=1).collect())) == [("hello", 0, 1), ("took <*> ms", 0, 1)]
 
 
+def test_first_stream_batch_meets_no_catalog(spark, tmp_path, monkeypatch):
+    """Its lines were counted, checkpointed and matched against nothing."""
+    from logloom.streaming import mine as stream
+
+    met, join = [], stream.match_join
+    monkeypatch.setattr(stream, "match_join", lambda *of: met.append(of) or join(*of))
+    miner = stream.StreamMiner(spark, str(tmp_path / "cat"), merge=False)
+    for k, said in enumerate((["took 1 ms", "took 2 ms", " "], ["took 3 ms", "bye"])):
+        miner(spark.createDataFrame([(x,) for x in said], "value string"), k)
+        assert len(met) == k
+    assert sorted(map(tuple, miner.catalog(before=1).collect())) == [("took <*> ms", 0, 2)]
+    assert sorted(map(tuple, miner.catalog().collect())) == [("bye", 1, 1), ("took <*> ms", 0, 3)]
+
+
 def test_entry_has_sql_for_queries():
     import __spark_entry__ as e
 
